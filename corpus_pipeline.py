@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import language_id, ngram_join
+from millrace.llm import language_id, line_dedup, ngram_join
 from millrace.llm.common import Written, table
 
 STAGES = [
     ("language_id", language_id.stage),
+    ("line_dedup", line_dedup.stage),
     ("ngram_jaccard_join", ngram_join.stage),
 ]
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, ngram_join
+from . import language_id, line_dedup, ngram_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": line_dedup.op2,
         "op1_ngram_jaccard_join": ngram_join.op1,
         "op5_language_id": language_id.op5,
     }
