@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import language_id, line_dedup, ngram_join
+from millrace.llm import language_id, line_dedup, ngram_join, packing
 from millrace.llm.common import Written, table
 
 STAGES = [
     ("language_id", language_id.stage),
     ("line_dedup", line_dedup.stage),
     ("ngram_jaccard_join", ngram_join.stage),
+    ("packing", packing.stage),
 ]
 
 #: Fuzzy matching, learned scores and semantic retrieval are beyond SQL; a brute-force version stands in the tests.

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, ngram_join
+from . import language_id, line_dedup, ngram_join, packing, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_packing": packing.op8,
+        "op7_token_counts": token_counts.op7,
         "op2_line_dedup": line_dedup.op2,
         "op1_ngram_jaccard_join": ngram_join.op1,
         "op5_language_id": language_id.op5,
