@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import language_id, line_dedup, ngram_join, packing
+from millrace.llm import decontaminate, language_id, line_dedup, ngram_join, packing
 from millrace.llm.common import Written, table
 
 STAGES = [
     ("language_id", language_id.stage),
     ("line_dedup", line_dedup.stage),
     ("ngram_jaccard_join", ngram_join.stage),
+    ("benchmark_decontamination", decontaminate.stage),
     ("packing", packing.stage),
 ]
 

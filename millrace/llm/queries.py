@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, line_dedup, ngram_join, packing, suffix_dedup, token_counts, topk_search, url_filter
+from . import chat_format, decontaminate, language_id, line_dedup, ngram_join, packing, suffix_dedup, token_counts, topk_search, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": suffix_dedup.op3,
         "op4_url_filter": url_filter.op4,
         "op5_language_id": language_id.op5,
+        "op6_decontaminate": decontaminate.op6,
         "op7_token_counts": token_counts.op7,
         "op8_packing": packing.op8,
         "op9_chat_format": chat_format.op9,
