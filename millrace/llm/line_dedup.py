@@ -58,17 +58,14 @@ def line_spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     inner = np.flatnonzero(row[1:] == row[:-1])
     ends[inner] = starts[inner + 1] - 1
     number = np.arange(len(row)) - np.searchsorted(row, row)
-    blank = np.concatenate((np.isin(points, np.array([9, 11, 12, 13, 32, 160], np.uint32)), [False]))
-    for _ in range(1 << 30):
-        move = (starts < ends) & blank[np.minimum(starts, len(blank) - 1)]
-        if not move.any():
-            break
-        starts = starts + move
-    for _ in range(1 << 30):
-        move = (starts < ends) & blank[np.maximum(ends - 1, 0)]
-        if not move.any():
-            break
-        ends = ends - move
+    filled = np.flatnonzero(~np.isin(points, np.array([9, 11, 12, 13, 32, 160], np.uint32)))
+    if len(filled):
+        at = np.searchsorted(filled, starts)
+        starts = np.minimum(np.where(at < len(filled), filled[np.minimum(at, len(filled) - 1)], ends), ends)
+        at = np.searchsorted(filled, ends) - 1
+        ends = np.maximum(np.where(at >= 0, filled[np.maximum(at, 0)] + 1, starts), starts)
+    else:
+        starts = ends
     return starts, ends, row, number
 
 
@@ -244,7 +241,9 @@ def _verify(shingle: int, least: float):
                 starts, ends = _trimmed(points, offsets)
                 h, bounds, _ = shingles(points, starts, ends, shingle)
                 row = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
-                both = np.unique(row << _U(44) | h >> _U(20)) if len(bounds) <= 1 << 20 else None
+                both = row << _U(44) | h >> _U(20)
+                both.sort()
+                both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
                 values.append(both & _U((1 << 44) - 1))
                 sizes.append(np.bincount((both >> _U(44)).astype(np.int64), minlength=len(bounds) - 1))
             sets, size = np.concatenate(values), np.concatenate(sizes)
@@ -256,21 +255,24 @@ def _verify(shingle: int, least: float):
             hit = similar_pairs(size, sets, bounds, a, b, least)
             left += [keys[i] for i in a[hit]]
             right += [keys[i] for i in b[hit]]
-            for g in np.flatnonzero(length > 2):
-                group = np.arange(cuts[g], cuts[g + 1])
-                root = np.arange(len(group))
-                for c in range(len(group) - 1):
-                    others = c + 1 + np.flatnonzero(root[c + 1 :] != root[c])
-                    if not len(others):
-                        if (root == root[0]).all():
-                            break
-                        continue
-                    hit = others[similar_pairs(size, sets, bounds, np.full(len(others), group[c]), group[others], least)]
-                    for x in hit.tolist():
-                        if root[x] != root[c]:
-                            left.append(keys[group[c]])
-                            right.append(keys[group[x]])
-                            root[root == root[x]] = root[c]
+            # larger groups together: the next member of each is compared with those behind it that no chain links to it yet
+            group = np.repeat(np.arange(len(length)), length)
+            place = np.arange(len(code)) - cuts[group]
+            root, parts, c = np.arange(len(code)), np.where(length > 2, length, 1), 0
+            while len(rows := np.flatnonzero((parts[group] > 1) & (place > c))):
+                pivot = cuts[group[rows]] + c
+                apart = root[rows] != root[pivot]
+                rows, pivot = rows[apart], pivot[apart]
+                hit = similar_pairs(size, sets, bounds, pivot, rows, least)
+                for p, x in zip(pivot[hit].tolist(), rows[hit].tolist()):
+                    if root[x] != root[p]:
+                        left.append(keys[p])
+                        right.append(keys[x])
+                        g = group[p]
+                        own = root[cuts[g] : cuts[g + 1]]
+                        own[own == root[x]] = root[p]
+                        parts[g] -= 1
+                c += 1
             return pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
