@@ -156,6 +156,7 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str
     declared: column with the declared language; host: column with the host (or another source name)."""
     spark, names, keep = df.sparkSession, model.languages, df.columns
     score, guess, h, d, s, dom = (fresh(keep, x) for x in ("text_scores", "text_guess", "host_key", "declared_key", "suffix_key", "domain_key"))
+    own_h, own_d, own_s, hp, dp, sp = (fresh(keep, x) for x in ("found_host", "found_declared", "found_suffix", "host_logs", "declared_logs", "suffix_logs"))
     scored = with_text_scores(df, model, text, score, weight, most)
     scored = scored.withColumns({h: F.lower(col(host)) if host else F.lit(None).cast("string"), d: F.lower(F.trim(col(declared))) if declared else F.lit(None).cast("string")})
     scored = scored.withColumns({dom: domain_of(col(h)), s: suffix_of(col(h)), guess: F.when(F.array_max(col(score)) > 0, F.array_position(col(score), F.array_max(col(score)).cast("double")).cast("int") - 1)})
@@ -182,32 +183,33 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str
 
     hosts = counts.where("h is not null").withColumn("dom", domain_of(F.col("h")))
     by_domain = vectors(hosts, "dom").select("dom", F.transform("c", lambda x, i: (x + smooth * F.get(F.lit(prior), i)) / (total_of("c") + smooth)).alias("pd"))
-    by_host = vectors(hosts, "h").withColumn("dom", domain_of(F.col("h"))).join(by_domain, "dom").select(F.col("h").alias("_h"), F.transform("c", lambda x, i: F.log((x + smooth * F.get("pd", i)) / (total_of("c") + smooth))).alias("_hp"))
+    by_host = vectors(hosts, "h").withColumn("dom", domain_of(F.col("h"))).join(by_domain, "dom").select(F.col("h").alias(own_h), F.transform("c", lambda x, i: F.log((x + smooth * F.get("pd", i)) / (total_of("c") + smooth))).alias(hp))
 
-    def reliability(rows: DataFrame, key: str, out: str) -> DataFrame:
+    def reliability(rows: DataFrame, key: str, name: str, out: str) -> DataFrame:
         """log P(value | language) for every value, smoothed towards the value's overall share."""
         n = float(total.sum()) or 1.0
-        return vectors(rows, key).select(F.col(key).alias(f"_{out}"), F.transform("c", lambda x, i: F.log((x + smooth * total_of("c") / n) / (F.get(F.lit(sizes), i) + smooth))).alias(f"_{out}p"))
+        return vectors(rows, key).select(F.col(key).alias(name), F.transform("c", lambda x, i: F.log((x + smooth * total_of("c") / n) / (F.get(F.lit(sizes), i) + smooth))).alias(out))
 
     result = scored
-    result = result.join(by_host, col(h) == F.col("_h"), "left")
-    result = result.join(reliability(counts.where("d is not null"), "d", "d"), col(d) == F.col("_d"), "left")
+    result = result.join(by_host, col(h) == col(own_h), "left")
+    result = result.join(reliability(counts.where("d is not null"), "d", own_d, dp), col(d) == col(own_d), "left")
     suffixes = counts.withColumn("s", suffix_of(F.col("h"))).where("s is not null").groupBy("s", "l").agg(F.sum("n").alias("n"))
-    result = result.join(reliability(suffixes, "s", "s"), col(s) == F.col("_s"), "left")
+    result = result.join(reliability(suffixes, "s", own_s, sp), col(s) == col(own_s), "left")
     zero = F.lit(0.0)
-    logs = F.transform(col(score), lambda x, i: x + F.coalesce(F.get(F.col("_hp"), i), F.log(F.get(F.lit(prior), i))) + F.coalesce(F.get(F.col("_dp"), i), zero) + F.coalesce(F.get(F.col("_sp"), i), zero))
+    logs = F.transform(col(score), lambda x, i: x + F.coalesce(F.get(col(hp), i), F.log(F.get(F.lit(prior), i))) + F.coalesce(F.get(col(dp), i), zero) + F.coalesce(F.get(col(sp), i), zero))
     # `und` has the mean reliability of every declaration and suffix: neither speaks for it
-    mean = lambda c: F.coalesce(F.aggregate(F.col(c), zero, lambda a, x: a + x) / len(names), zero)
-    unknown = F.lit(math.log(0.02)) + mean("_dp") + mean("_sp")
+    mean = lambda c: F.coalesce(F.aggregate(col(c), zero, lambda a, x: a + x) / len(names), zero)
+    unknown = F.lit(math.log(0.02)) + mean(dp) + mean(sp)
     top, logs_c = fresh(keep, "top_log"), fresh(keep, "logs")
     result = result.withColumn(logs_c, F.concat(logs, F.array(unknown)))
     result = result.withColumn(top, F.array_max(col(logs_c)))
     mass = F.aggregate(col(logs_c), zero, lambda a, x: a + F.exp(x - col(top)))
     where = F.array_position(col(logs_c), col(top)).cast("int")
     language, probability, accepted = (fresh(keep, x) for x in ("language", "probability", "accepted"))
-    evidence = (F.length(col(text)) > 0) | F.col("_hp").isNotNull() | F.col("_dp").isNotNull() | F.col("_sp").isNotNull()
-    result = result.select(*[col(c) for c in keep], F.element_at(F.lit([*names, UNKNOWN]), where).alias(language), (1 / mass).alias(probability), F.coalesce(evidence, F.lit(False)).alias("_e"))
-    return result.select(*[col(c) for c in keep], col(language), col(probability), ((col(language) != UNKNOWN) & (col(probability) >= least) & F.col("_e")).alias(accepted))
+    seen = fresh(keep, "seen_evidence")
+    evidence = (F.length(col(text)) > 0) | col(hp).isNotNull() | col(dp).isNotNull() | col(sp).isNotNull()
+    result = result.select(*[col(c) for c in keep], F.element_at(F.lit([*names, UNKNOWN]), where).alias(language), (1 / mass).alias(probability), F.coalesce(evidence, F.lit(False)).alias(seen))
+    return result.select(*[col(c) for c in keep], col(language), col(probability), ((col(language) != UNKNOWN) & (col(probability) >= least) & col(seen)).alias(accepted))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

@@ -327,15 +327,17 @@ def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", shing
     linked = roots.join(first.select("line", "at"), roots.node == F.col("line"))
     out = linked.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("at"))).where("n > 1").select("line")
     kept = first.join(out, "line", "left_anti").groupBy("at.k1", "at.k2").agg(F.array_sort(F.collect_list("at.number")).alias("_kept"))
-    kept = kept.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_kept")
-    joined = keyed.join(kept, (col(k1) == F.col("_k1")) & (col(k2) == F.col("_k2")), "left")
-    once = fresh([*joined.columns], "copy_number")
-    joined = joined.withColumn(once, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1))).where(col(once) == 1).select(*[col(c) for c in keep], "_kept")
+    keyed_columns = [*keep, k1, k2]
+    o1, o2, kept_c, once = (fresh(keyed_columns, x) for x in ("own_1", "own_2", "kept_numbers", "copy_number"))
+    kept = kept.select(F.col("k1").alias(o1), F.col("k2").alias(o2), F.col("_kept").alias(kept_c))
+    joined = keyed.join(kept, (col(k1) == col(o1)) & (col(k2) == col(o2)), "left")
+    joined = joined.withColumn(once, F.row_number().over(Window.partitionBy(col(k1), col(k2)).orderBy(col(k1)))).where(col(once) == 1).select(*[col(c) for c in keep], col(kept_c))
+    dropped = dropped and fresh(keep, dropped)
     extra = [T.StructField(dropped, T.IntegerType(), True)] if dropped else []
-    return joined.mapInArrow(_rebuild(keep.index(text), bool(dropped)), T.StructType([*docs.schema.fields, *extra]))
+    return joined.mapInArrow(_rebuild(keep.index(text), dropped), T.StructType([*docs.schema.fields, *extra]))
 
 
-def _rebuild(at: int, count: bool):
+def _rebuild(at: int, count: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = batch.column(batch.num_columns - 1).to_pylist()
@@ -361,7 +363,7 @@ def _rebuild(at: int, count: bool):
             columns[at] = pa.array(out, batch.column(at).type)
             names = batch.schema.names[:-1]
             if count:
-                columns, names = [*columns, pa.array(gone, pa.int32())], [*names, "dropped"]
+                columns, names = [*columns, pa.array(gone, pa.int32())], [*names, count]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import fresh, table
 from .vectext import prefix_hash, slices, span_hash
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -190,10 +190,10 @@ class Counter:
 
 
 def token_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, tokens: str = "n_tokens", words: str | None = None) -> DataFrame:
-    """df with the number of pieces of `text` (and of words, if a name is given for it). The vocabulary is read by the driver."""
+    """df with the number of pieces of `text` (and of words, if a name is given for it), renamed with leading underscores if there are such columns. The vocabulary is read by the driver."""
     automaton, at = build_automaton(read_vocabulary(vocabulary)), df.columns.index(text)
-    if {c.lower() for c in df.columns} & {tokens.lower(), (words or "").lower()}:
-        raise ValueError(f"a column {tokens} or {words} is there already")
+    tokens = fresh(df.columns, tokens)
+    words = words and fresh([*df.columns, tokens], words)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(automaton)
