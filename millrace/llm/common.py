@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -43,21 +44,39 @@ class Written:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
+    def by_kind(self, df: DataFrame, *kinds: int) -> list[DataFrame]:
+        """Written in one pass, apart by the column `kind`: a table for each of these kinds."""
+        self.count += 1
+        base = f"{self.base}/{self.count}"
+        df.write.partitionBy("kind").parquet(base)
+        out = []
+        for kind in kinds:
+            # a kind without rows has no folder; the base then reads as empty
+            part = self.spark.read.schema(df.schema).parquet(base).where(F.col("kind") == kind).select(*df.columns)
+            self.paths[id(part)] = part, f"{base}/kind={kind}"
+            out.append(part)
+        return out
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of steps that are over, which it does once the driver's references to them are collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *dfs: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in dfs:
-            if path := self.paths.pop(id(df), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
+            if found := self.paths.pop(id(df), None):
+                p = jvm.org.apache.hadoop.fs.Path(found[1])
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 

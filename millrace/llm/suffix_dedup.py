@@ -109,10 +109,9 @@ def _shards(least: int, w: int, most: int):
         task = TaskContext.get().partitionId() << 32
 
         def close() -> pa.RecordBatch:
-            keys, doc, start, length, symbol = (np.concatenate(x) for x in zip(*held))
-            return _row([(task + number, 0, 0, dump(keys=keys, doc=doc, start=start, length=length, symbol=symbol))])
+            keys, count, length, symbol = (np.concatenate(x) for x in zip(*held))
+            return _row([(task + number, 0, 0, dump(keys=keys, count=count, length=length, symbol=symbol))])
 
-        docs = 0
         for batch in batches:
             batch = batch.filter(batch.column(2).is_valid())
             k = np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1)
@@ -126,12 +125,11 @@ def _shards(least: int, w: int, most: int):
                     s = phrase_starts(h, bounds, w)
                     e = np.append(s[1:], len(h))
                     doc = np.searchsorted(bounds, s, "right") - 1
-                    held.append((k[at + long_], (doc + docs).astype(np.int32), (s - bounds[doc]).astype(np.int32), (e - s).astype(np.uint16), stretch_hash(prefix_sums(h), s, e)))
-                    docs += len(long_)
+                    held.append((k[at + long_], np.bincount(doc, minlength=len(long_)).astype(np.int32), (e - s).astype(np.uint8 if 2 * w + 2 < 256 else np.uint16), stretch_hash(prefix_sums(h), s, e)))
                 size += len(data)
                 if size >= most and held:
                     yield close()
-                    number, held, size, docs = number + 1, [], 0, 0
+                    number, held, size = number + 1, [], 0
         if held:
             yield close()
 
@@ -264,7 +262,7 @@ def advance(state: dict[str, np.ndarray], again: np.ndarray, t: int) -> tuple[di
         "sa": sa,
         "place": before.astype(np.int32),
         "block": mix(block * _U(0x9E3779B97F4A7C15) ^ mix(static["symbol"][before])),
-        "size": size + static["length"][before],
+        "size": np.minimum(size.astype(np.int32) + static["length"][before], 0xFFFF).astype(np.uint16),
     }
     return (found if len(before) else None), hit
 
@@ -282,8 +280,13 @@ def _send(n: int):
 
 
 def started(state: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A shard's state; at first only phrases are stored, and the rest follows from them."""
     if "block" not in state:
-        state |= {"block": state["symbol"], "pos": np.arange(len(state["symbol"]), dtype=np.int32)}
+        count = state.pop("count")
+        before = np.cumsum(state["length"], dtype=np.int64) - state["length"]
+        first = np.cumsum(count) - count
+        n = len(state["symbol"])
+        state |= {"block": state["symbol"], "pos": np.arange(n, dtype=np.int32), "doc": np.repeat(np.arange(len(count), dtype=np.int32), count), "start": (before - np.repeat(before[first], count)).astype(np.int32)}
     return state
 
 
@@ -314,7 +317,8 @@ def _advance(n: int, t: int):
             more, hit = advance(state, answered(names, replies, n), t)
             rows = [(s, 0, 0, dump(**more))] if more else []
             if len(hit):
-                rows.append((s, 2, 0, dump(keys=state["keys"], doc=state["doc"][hit], start=state["start"][hit])))
+                docs, doc = np.unique(state["doc"][hit], return_inverse=True)
+                rows.append((s, 2, 0, dump(keys=state["keys"][docs], doc=doc.astype(np.int32), start=state["start"][hit])))
             yield _row(rows)
 
     return run
@@ -447,19 +451,25 @@ def repeated_passages(docs: DataFrame, ident: str = "doc_id", text: str = "text"
     while True:
         replies = met_again(now.mapInArrow(_send(n), _ROW))
         both = now.unionAll(replies).repartition("shard").sortWithinPartitions("shard", "kind")
-        made = write(both.mapInArrow(_advance(n, t), _ROW))
+        more, hit = write.by_kind(both.mapInArrow(_advance(n, t), _ROW), 0, 2)
         write.drop(now)
-        hits.append(made.where("kind = 2"))
-        now = write(made.where("kind = 0"))
+        del both, replies
+        write.release()
+        hits.append(hit)
+        now = more
         if now.isEmpty():
             break
     found = hits[0]
     for more in hits[1:]:
         found = found.unionAll(more)
     found = found.mapInArrow(_hits, "_k1 long, _k2 long, starts binary").groupBy("_k1", "_k2").agg(F.collect_list("starts").alias("starts"))
+    found = write(found)
+    write.release()
     texts = keyed.join(found, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("id", "text", "starts")
     lists = f"ids array<{kind}>, texts array<string>, starts array<array<binary>>"
     units = write(texts.mapInArrow(_units(shard_bytes), f"{_ROW}, id array<{kind}>, text array<string>, starts array<array<binary>>").toDF("shard", "kind", "bucket", "blob", "ids", "texts", "starts"))
+    del texts
+    write.release()
     replies = met_again(units.mapInArrow(_send_windows(n, least, w), _ROW))
     none = [F.lit(None).cast(x.strip().split(" ", 1)[1]).alias(x.strip().split(" ", 1)[0]) for x in lists.split(", ")]
     both = units.unionAll(replies.select("*", *none)).repartition("shard").sortWithinPartitions("shard", F.desc("kind"))
