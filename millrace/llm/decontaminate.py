@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Written, col, table
 from .vectext import slices, words
@@ -69,12 +70,12 @@ def hashes_of(texts: list[str | None]) -> list[np.ndarray]:
 def read_items(benchmark: DataFrame, ident: str = "item_id", text: str = "text", answer: str = "answer") -> Items:
     """The benchmark is a table of questions, which is small beside any corpus; the driver reads it whole."""
     has = answer in benchmark.columns
-    rows = benchmark.select(col(ident).alias("i"), col(text).cast("string").alias("t"), (col(answer).cast("string") if has else F.lit(None).cast("string")).alias("a")).toPandas()
-    items, answers = hashes_of(rows.t.tolist()), hashes_of(rows.a.tolist())
+    rows = benchmark.select(col(ident).alias("i"), col(text).cast("string").alias("t"), (col(answer).cast("string") if has else F.lit(None).cast("string")).alias("a")).collect()
+    items, answers = hashes_of([r.t for r in rows]), hashes_of([r.a for r in rows])
     every = np.unique(np.concatenate([np.zeros(0, np.uint64), *items, *answers]))
     terms = [np.searchsorted(every, x) for x in items]
     own = [np.searchsorted(every, a) if len(a) else t[len(t) - len(t) // 4 :] for a, t in zip(answers, terms)]
-    return Items(rows.i.tolist(), every, terms, own)
+    return Items([r.i for r in rows], every, terms, own)
 
 
 def terms_of(hashes: np.ndarray, items: Items, lookup: tuple[np.ndarray, int]) -> np.ndarray:
@@ -352,7 +353,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: st
     if ready is None:
         return spark.createDataFrame([], schema)
     rows, idf, latent = ready
-    item_kind = pa.int64() if kinds[1] in ("bigint", "int") else None
+    item_kind = to_arrow_type(benchmark.schema[item].dataType)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(items, idf, latent, cosine, strong, weak, answer_share)
@@ -363,7 +364,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: st
                 for d, k, s in search(*joined(blobs[a:b], items)):
                     best[d + a, k] = max(s, best.get((d + a, k), 0.0))
                 ids = [items.ids[k] for _, k in best]
-                yield pa.record_batch([batch.column(0).take(pa.array([d for d, _ in best], pa.int64())), pa.array(ids, item_kind).cast(pa.int32()) if kinds[1] == "int" else pa.array(ids, item_kind), pa.array(list(best.values()), pa.float64())], names=["doc_id", "item_id", "share"])
+                yield pa.record_batch([batch.column(0).take(pa.array([d for d, _ in best], pa.int64())), pa.array(ids, item_kind), pa.array(list(best.values()), pa.float64())], names=["doc_id", "item_id", "share"])
 
     return rows.mapInArrow(found, schema).groupBy("doc_id", "item_id").agg(F.round(F.max("share"), 4).alias("share"))
 
