@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_BATCH, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,9 @@ class Written:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
+        # rows here are whole texts: fewer of them at a time keep the memory of Python workers small
+        if int(spark.conf.get(_BATCH)) > MOST_ROWS:
+            spark.conf.set(_BATCH, MOST_ROWS)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.count += 1
