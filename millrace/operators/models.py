@@ -155,7 +155,7 @@ class OneVsRest:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        keep, has = df.columns, "probability" in [p.name for p in self.base.params] and not isinstance(self.base, LinearSVC)
+        keep, has = df.columns, self.base.hasParam("probabilityCol")
         raw, probability = [], []
         for k, m in enumerate(self.models):
             extra = {m.rawPredictionCol: f"_raw{k}", m.predictionCol: f"_pred{k}"} | ({m.probabilityCol: f"_prob{k}"} if has else {})

@@ -32,7 +32,7 @@ def with_random_variable(df: DataFrame, source: str, name: str | None = None) ->
 
 
 def random_split(df: DataFrame, weights: Sequence[float], seed: int = SEED) -> list[DataFrame]:
-    return df.randomSplit(list(weights), seed)
+    return df.randomSplit([float(w) for w in weights], seed)
 
 
 def conditional_split(df: DataFrame, conditions: Sequence[str]) -> list[DataFrame]:

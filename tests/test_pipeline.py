@@ -1,0 +1,84 @@
+import json
+
+import pytest
+from conftest import DATA
+from pyspark.ml import PipelineModel
+
+from millrace.plans import config, pipeline
+from millrace.sources import readers
+from millrace.streaming import scoring
+
+
+def settings(spark, tmp_path, **more):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").join(spark.read.parquet(f"{DATA}/sf0.001/labels.parquet"), "doc_id")
+    docs.withColumnRenamed("quality", "good").write.mode("overwrite").json(f"{tmp_path}/input.json")
+    return {
+        "project": "p",
+        "model": "m",
+        "method": "multi_intent",
+        "input": {"source": f"file://{tmp_path}/input.json", "format": "json", "queries": ["select * from input where text is not null"]},
+        "roles": {"keys": ["doc_id"], "response": "lang", "text": ["text"], "numerical": ["n_chars"]},
+        "preprocessing": [{"input": "text", "output": "clean", "transformations": [{"type": "case_normalization"}, {"type": "regex_removal", "parameter": ["[0-9]+"]}, {"type": "stopwords"}, {"type": "tokenizer"}]}],
+        "grams": [{"input": "clean", "output": "grams", "type": "ngram", "parameter": [2]}],
+        "binning": [{"input": "n_chars", "output": "size", "type": "intervals", "parameter": [100, 1000]}],
+        "vectorization": [{"input": "grams", "output": "tf", "method": "hashingtf", "slots": 256}],
+        "algorithm": {"type": "logistic_regression", "parameters": {"maxIter": 8}},
+        "steps": ["read", "modelling", "scoring", "metrics", "publish"],
+    } | more
+
+
+def test_configured_run_and_stream(spark, tmp_path):
+    out = pipeline.run(spark, settings(spark, tmp_path), f"file://{tmp_path}/root")
+    measured = spark.read.json(f"file://{tmp_path}/root/p/m/0/model/metrics/standard0.json").first()
+    assert measured.accuracy > 0.8 and len(out["scored"]) == 2
+    model = readers.SavePoints(spark, f"file://{tmp_path}/root", "p", "m").load_pipeline("modelling")
+    assert isinstance(model, PipelineModel)
+    out["parts"][1].write.parquet(f"{tmp_path}/stream")
+    rows = scoring.read_stream(spark, f"{tmp_path}/stream", out["parts"][1].schema)
+    done = scoring.score_stream(rows, model, f"{tmp_path}/scores", f"{tmp_path}/state", ["doc_id", "prediction"], once=True)
+    done.awaitTermination(120)
+    want = model.transform(spark.read.parquet(f"{tmp_path}/stream")).select("doc_id", "prediction")
+    assert sorted(spark.read.parquet(f"{tmp_path}/scores").collect()) == sorted(want.collect())
+
+
+def test_bad_configurations_name_every_problem(spark, tmp_path):
+    good = settings(spark, tmp_path)
+    config.load_config(good)
+    bad = good | {"method": "single_intent_uplift", "sampling": {"type": "stratified", "split": [80, 30]}, "vectorization": [{"input": "nowhere", "method": "bag", "slots": 0}], "algorithm": {"type": "naive_bayes"}, "hyperparameters": "hyperband"}
+    with pytest.raises(config.ConfigError) as e:
+        config.load_config(bad)
+    for part in ("roles.treatment", "stratified", "percent", "nowhere", "bag" if False else "method", "slots", "hyperband"):
+        assert part in str(e.value)
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps(good))
+    assert config.load_config(str(path)).get("algorithm.parameters.maxIter") == 8
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    (tmp_path / "a.tsv").write_text("x\ty\n1\t2\n")
+    (tmp_path / "b.json").write_text('{"x": 1}\n{"x": 2}\n')
+    assert readers.read(spark, f"file://{tmp_path}/a.csv", "csv").collect()[0].y == "2"
+    assert readers.read(spark, f"file://{tmp_path}/a.tsv", "tsv").columns == ["x", "y"]
+    assert readers.read(spark, f"file://{tmp_path}/b.json", "json", ["select sum(x) as s from b", "select s + 1 as s from t1"], "t").first().s == 4
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("a_view")
+    assert readers.read(spark, "hive://a_view").count() == 1 and readers.read(spark, "hive://", queries=["select * from a_view"]).count() == 1
+    for wrong in ("nothing", "ftp://x"):
+        with pytest.raises(ValueError):
+            readers.read(spark, wrong)
+    with pytest.raises(ValueError):
+        readers.run_sql_chain(spark, ["drop table x"], "t")
+    assert readers.select_roles(spark.createDataFrame([(1, None), (2, 3)], "a int, y int"), {"k": ["a"], "r": ["y", "a"]}, "y").collect() == [(2, 3)]
+
+
+def test_save_points(spark, tmp_path):
+    s = readers.SavePoints(spark, f"file://{tmp_path}", "p", "m", job="predict")
+    df = spark.createDataFrame([(1, "a")], "x int, y string")
+    assert s.save(df, "step", 1, 2).collect() == df.collect() and "predict/page2/noSegment/data/step1" in s.data("step", 1, 2)
+    assert s.save_input(df).count() == 1 and s.load_pipeline("none", missing=True) is None
+    s.save_metrics(df, "m")
+    s.save_sample(df, "json")
+    s.append_predictions(df)
+    s.append_predictions(df)
+    assert spark.read.parquet(f"{s.base}/predictions/cv").count() == 2 and spark.read.option("header", True).csv(f"{s.base}/metrics/m.csv").first().y == "a"
+    assert "/model/" in s.pipeline("x")
