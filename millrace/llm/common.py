@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _BATCH, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,8 @@ class Written:
         # rows here are whole texts: fewer of them at a time keep the memory of Python workers small
         if int(spark.conf.get(_BATCH)) > MOST_ROWS:
             spark.conf.set(_BATCH, MOST_ROWS)
+        if spark.conf.get(_BYTES) == "67108864b":  # the default; a row larger than this is a batch of its own
+            spark.conf.set(_BYTES, "8m")
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.count += 1

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Written, col, table
 from .vectext import WORD_BREAK, mix, powers, slices, words
 
-LEAST, SHARD_BYTES = 50, 8 << 20
+LEAST, SHARD_BYTES = 50, 4 << 20
 _U = np.uint64
 
 

@@ -27,7 +27,7 @@ def folder(tmp_path_factory, spark):
         w = rows[i - 80][1].split(" ")
         w[5] = "changed"
         rows.append((i, " ".join(w)))
-    rows += [(90, "%%% ### 0000 1111 &&& === 77" * 8), (91, None), (92, "")]
+    rows += [(90, " ".join("".join(rng.choice("qxzjkvwy") for _ in range(6)) for _ in range(60))), (91, None), (92, "")]
     d = tmp_path_factory.mktemp("corpus")
     docs = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{d}/documents.parquet")
