@@ -194,7 +194,7 @@ def categorical_array(spark, d):
 # --- bins
 
 
-@query("select bin, count(*) as n from (select case when l_quantity < 10 then 0.0 when l_quantity < 20 then 1.0 when l_quantity < 40 then 2.0 else 3.0 end as bin from lineitem) group by 1")
+@query("select bin, count(*) as n from (select case when l_quantity < 10 then 0.0 when l_quantity < 20 then 1.0 when l_quantity < 40 then 2.0 else 3.0 end::double as bin from lineitem) group by 1")
 def bin_intervals(spark, d):
     return table(spark, d, "lineitem").groupBy(binning.intervals(F.col("l_quantity"), [10, 20, 40]).alias("bin")).agg(F.count("*").alias("n"))
 
