@@ -8,7 +8,8 @@
    What reaches the driver is Y, terms times `rank` numbers, which depends on the benchmark alone.
 3. Latent vectors are scaled by the inverse singular values, so that frequent words don't drown the others. At every eighth word a window
    begins, of twice to about four times an item's length; it is a candidate for the items of that length with which its cosine
-   is at least `cosine`.
+   is at least `cosine`. Where the words around an item are the benchmark's too, they drown it in the cosine. So a window is also a
+   candidate where the item's words in it, summed by weight, could reach a share of `weak`: no leak is lost to the cosine.
 4. A candidate is verified on its words: by the weights of the item's words that occur at all (an upper bound), then by the heaviest
    common subsequence, each word weighing its inverse document frequency. A share of `strong` of the item's weight is a leak;
    a share from `weak` on is one if `answer_share` of the answer's weight is found in order too. The answer is a column of the benchmark; where it
@@ -34,7 +35,7 @@ from .common import Written, col, table
 from .vectext import slices, words
 
 RANK, COSINE, STRONG, WEAK, ANSWER_SHARE = 64, 0.4, 0.6, 0.4, 0.75
-BLOCK, PASSAGE = 8, 64
+BLOCK, PASSAGE, COLUMNS = 8, 64, 256
 
 
 @dataclass(frozen=True)
@@ -236,6 +237,7 @@ class Search:
         self.widest = max(self.classes, default=0)
         self.has = {k: self._mask(items.terms[k]) for own in self.classes.values() for k in own}
         self.total = {k: float(self.weight[items.terms[k]].sum()) for k in self.has}
+        self.bounds = {blocks: [self._bound(own[a : a + COLUMNS]) for a in range(0, len(own), COLUMNS)] for blocks, own in self.classes.items()}
 
     def _mask(self, terms: np.ndarray) -> np.ndarray:
         """For each term the weight with which its occurrences in the item can count."""
@@ -243,6 +245,36 @@ class Search:
         np.add.at(out, terms, self.weight[terms])
         return out
 
+    def _bound(self, own: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The row of each term, for each row the weights it has in these items, and the least weight that each item needs."""
+        used = np.unique(np.concatenate([self.items.terms[k] for k in own]))
+        row = np.full(self.size + 1, len(used), np.int32)
+        row[used] = np.arange(len(used))
+        weights = np.ascontiguousarray(np.stack([self.has[k][used] for k in own], axis=1))
+        # a little less than verify() asks for, as sums are rounded here in another order
+        return row, weights, np.array([(self.weak - 1e-4) * self.total[k] for k in own], np.float32)
+
+    def reachable(self, flat: np.ndarray, real: np.ndarray, width: int) -> np.ndarray:
+        """Windows x items of this width: whether the item's words in all that verify() looks at can weigh enough."""
+        out = []
+        for row, weights, least in self.bounds[width]:
+            place = row[flat]
+            known = np.flatnonzero(place < len(weights))
+            one = np.zeros((len(flat) // BLOCK + 1, weights.shape[1]), np.float32)  # an empty block before the first
+            for cut in range(0, len(known), 1 << 13):
+                at = known[cut : cut + (1 << 13)]
+                block = at // BLOCK
+                first = np.flatnonzero(np.diff(block, prepend=-1))
+                one[block[first] + 1] += np.add.reduceat(weights[place[at]], first, axis=0)
+            many, reach = one.copy(), 1
+            while reach < width:
+                many[:-reach] += many[reach:].copy()
+                reach *= 2
+            # the window's blocks, one before and one after them
+            many[: -width - 1] += one[width:-1] + one[width + 1 :]
+            out.append(many[real] >= least)
+        return np.concatenate(out, axis=1)
+
     def __call__(self, terms: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float]]:
         """(text, item, share of the item's weight) of all leaks."""
         if not self.widest or not len(terms):
@@ -266,11 +298,13 @@ class Search:
         width = 1
         while width <= self.widest:
             if width in self.query:
+                reachable = self.reachable(flat, real, width)
                 for cut in range(0, len(real), 1 << 14):
                     r = real[cut : cut + (1 << 14)]
                     x = sums[r]
                     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-                    w, q = np.nonzero(x @ self.query[width].T >= self.cosine * np.maximum(norm, 1e-12)[:, None])
+                    near = x @ self.query[width].T >= self.cosine * np.maximum(norm, 1e-12)[:, None]
+                    w, q = np.nonzero(near | reachable[cut : cut + (1 << 14)])
                     if len(w):
                         out += self.verify(flat, r[w], np.array(self.classes[width])[q], width, text_of[cut + w])
             # windows of twice the width; what lies beyond a text is empty

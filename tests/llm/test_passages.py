@@ -119,3 +119,26 @@ def test_latent_factors_are_those_of_the_whole_decomposition():
     # the same up to signs
     got = f[:, :6]
     assert np.allclose(np.abs((want / np.linalg.norm(want, axis=0)).T @ (got / np.linalg.norm(got, axis=0))), np.eye(6), atol=1e-3)
+
+
+def test_leaks_among_the_words_of_the_benchmark_are_those_of_every_window(spark):
+    """Verbatim items, strong shares, and weak ones with the answer, in documents of the benchmark's own vocabulary."""
+    rng = random.Random(12)
+    vocabulary = [f"word{k}" for k in range(2000)]
+    draw = lambda n: rng.choices(vocabulary, [1 / (k + 3) ** 0.8 for k in range(2000)], k=n)
+    items = [(i, " ".join(draw(rng.randrange(26, 29)))) for i in range(200)]
+    rows = []
+    for i, t in items:
+        for kind in range(3):
+            w = t.split()
+            last = len(w) - len(w) // 4 if kind == 2 else len(w)
+            for x in rng.sample(range(last), (0, len(w) * 3 // 10, len(w) * 11 // 20)[kind]):
+                w[x] = f"other{rng.randrange(10**6)}"
+            host, at = draw(200), rng.randrange(200)
+            rows.append((3 * i + kind, " ".join(host[:at] + w + host[at:])))
+    df, bench = documents(spark, rows), benchmark(spark, items)
+    every = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(df, bench, cosine=-1.0).collect()}
+    assert {(3 * i, i) for i, _ in items} <= set(every) and len(every) > 550
+    assert {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(df, bench).collect()} == every
+    kept = {r.doc_id for r in decontaminate.without_leaks(df, bench).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, _ in every}
