@@ -81,17 +81,18 @@ def encode(df: DataFrame, ident: str, vector: str) -> DataFrame:
 
 
 def _send(cuts: dict[int, list[tuple[int, int]]], radius: int, low: int):
-    """Rows (bits, rep, code, bound, open) to tiles: each code once for each segment, each open query to all tiles in reach."""
+    """Rows (bits, key, code, bound, open, rep) to tiles: each code once for each segment, each open query to all tiles in reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits, reps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             codes, bounds, open_ = batch.column(2).to_pylist(), batch.column(3).to_numpy(), np.array(batch.column(4).to_pylist(), bool)
+            least = batch.column(5).to_numpy()
             tiles, kinds, left, blobs = [], [], [], []
             for b in np.unique(bits):
                 rows = np.flatnonzero(bits == b)
                 words = words_of([codes[i] for i in rows.tolist()])
-                packed = np.concatenate((reps[rows].astype(np.int64)[:, None], bounds[rows].astype(np.int64)[:, None], words.view(np.int64)), axis=1)
+                packed = np.concatenate((reps[rows].astype(np.int64)[:, None], bounds[rows].astype(np.int64)[:, None], least[rows].astype(np.int64)[:, None], words.view(np.int64)), axis=1)
 
                 def put(tile: tuple[int, int], high: np.ndarray, of: np.ndarray, kind: int, weight: int) -> None:
                     order = np.argsort(high, kind="stable")
@@ -118,27 +119,27 @@ def _send(cuts: dict[int, list[tuple[int, int]]], radius: int, low: int):
     return run
 
 
-def best_of(q: np.ndarray, c: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (by distance, then smaller code id) distinct codes of each query."""
-    order = np.lexsort((c, d, q))
-    q, c, d = q[order], c[order], d[order]
+def best_of(q: np.ndarray, c: np.ndarray, d: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (by distance, then smallest id r of a code) distinct codes of each query."""
+    order = np.lexsort((c, r, d, q))
+    q, c, d, r = q[order], c[order], d[order], r[order]
     new = np.ones(len(q), bool)
     new[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
-    q, c, d = q[new], c[new], d[new]
+    q, c, d, r = q[new], c[new], d[new], r[new]
     first = np.searchsorted(q, q)
     keep = np.arange(len(q)) - first < k
-    return q[keep], c[keep], d[keep]
+    return q[keep], c[keep], d[keep], r[keep]
 
 
 def _meet(cuts: dict[int, list[tuple[int, int]]], low: int, k: int, most: int = 1 << 21):
-    """Rows of tiles, codes before queries: (query, code, distance), the k best of each query in each tile."""
+    """Rows of tiles, codes before queries: (query, code, distance, smallest id of the code), the k best of each query in each tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(tile: str, rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
             bits, s, _ = map(int, tile.split("/"))
             begin, end = cuts[bits][s]
             near = min(low, end - begin)
-            width = 2 + (((bits + 7) // 8) + 7) // 8
+            width = 3 + (((bits + 7) // 8) + 7) // 8
 
             def unpack(blobs: list[bytes]) -> np.ndarray:
                 return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, width)
@@ -148,16 +149,16 @@ def _meet(cuts: dict[int, list[tuple[int, int]]], low: int, k: int, most: int =
             if not own or not asked:
                 return
             codes = unpack(own)
-            words = np.ascontiguousarray(codes[:, 2:]).view(np.uint64)
+            words = np.ascontiguousarray(codes[:, 3:]).view(np.uint64)
             key = segment_values(words, begin, end) & ((1 << near) - 1)
             order = np.argsort(key, kind="stable")
-            reps, words = codes[order, 0], words[order]
+            keys, reps, words = codes[order, 0], codes[order, 2], words[order]
             start = np.searchsorted(key[order], np.arange((1 << near) + 1))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, ...]] = []
             held = 0
             for weight in asked:
                 queries = unpack([x for kind, w, x in rows if kind and w == weight])
-                asks = np.ascontiguousarray(queries[:, 2:]).view(np.uint64)
+                asks = np.ascontiguousarray(queries[:, 3:]).view(np.uint64)
                 at = segment_values(asks, begin, end) & ((1 << near) - 1)
                 for mask in masks(near, weight).tolist():
                     x = at ^ mask
@@ -173,15 +174,15 @@ def _meet(cuts: dict[int, list[tuple[int, int]]], low: int, k: int, most: int =
                         done = stop
                         far = np.bitwise_count(asks[i] ^ words[j]).sum(axis=1, dtype=np.int64)
                         good = far <= queries[i, 1]
-                        out.append((queries[i[good], 0], reps[j[good]], far[good]))
+                        out.append((queries[i[good], 0], keys[j[good]], far[good], reps[j[good]]))
                         held += int(good.sum())
                         if held > 4 * most:
                             out = [best_of(*(np.concatenate(y) for y in zip(*out)), k)]
                             held = min(len(out[0][0]), 2 * most)
             if out:
-                q, c, d = best_of(*(np.concatenate(y) for y in zip(*out)), k)
+                q, c, d, r = best_of(*(np.concatenate(y) for y in zip(*out)), k)
                 for cut in range(0, len(q), 1 << 16):
-                    yield pa.record_batch([pa.array(q[cut : cut + (1 << 16)]), pa.array(c[cut : cut + (1 << 16)]), pa.array(d[cut : cut + (1 << 16)].astype(np.int32))], names=["q", "c", "d"])
+                    yield pa.record_batch([pa.array(q[cut : cut + (1 << 16)]), pa.array(c[cut : cut + (1 << 16)]), pa.array(d[cut : cut + (1 << 16)].astype(np.int32)), pa.array(r[cut : cut + (1 << 16)])], names=["q", "c", "d", "r"])
 
         now, rows = None, []
         for batch in batches:
@@ -216,19 +217,19 @@ def top_k(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", k: in
     key = codes.select("bits", "rep", "code", F.xxhash64("bits", "code").alias("key"))
     found = found.join(key.select("bits", "code", "key"), ["bits", "code"]) if numbers else found.withColumn("key", F.lit(0).cast("long"))
     found = write(found)
-    keyed = found.select("bits", "key", "code")
+    keyed = found.select("bits", "key", "code", "rep")
     still = len(numbers) > 0
     while still:
         covered = F.create_map(*[F.lit(x) for b in numbers for x in (b, len(cuts[b]) * (radius + 1) - 1)])
         last = F.create_map(*[F.lit(x) for b in numbers for x in (b, max(y - x for x, y in cuts[b]) <= radius)])
-        asks = found.select("bits", "key", "code", "bound", F.lit(True).alias("open")).unionAll(keyed.join(found.select("key"), "key", "left_anti").select("bits", "key", "code", F.lit(0).alias("bound"), F.lit(False).alias("open"))) if radius else found.select("bits", "key", "code", "bound", "open")
+        asks = found.select("bits", "key", "code", "bound", F.lit(True).alias("open"), "rep").unionAll(keyed.join(found.select("key"), "key", "left_anti").select("bits", "key", "code", F.lit(0).alias("bound"), F.lit(False).alias("open"), "rep")) if radius else found.select("bits", "key", "code", "bound", "open", "rep")
         tiles = asks.mapInArrow(_send(cuts, radius, low), "tile string, kind int, weight int, blob binary")
-        pairs = tiles.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_meet(cuts, low, 2 * (k + 1)), "q long, c long, d int")
-        pairs = pairs.join(key.select(F.col("key").alias("c"), "rep"), "c").groupBy("q").agg(F.collect_set(F.struct("d", F.col("rep").alias("r"), "c")).alias("new"))
+        pairs = tiles.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_meet(cuts, low, k + 1), "q long, c long, d int, r long")
+        pairs = pairs.groupBy("q").agg(F.collect_set(F.struct("d", "r", "c")).alias("new"))
         merged = found.join(pairs, found.key == pairs.q, "left")
         old = F.coalesce(F.col("best"), F.expr("cast(array() as array<struct<d:int,r:bigint,c:bigint>>)")) if radius else F.expr("cast(array() as array<struct<d:int,r:bigint,c:bigint>>)")
         new = F.coalesce(F.col("new"), F.expr("cast(array() as array<struct<d:int,r:bigint,c:bigint>>)"))
-        merged = merged.select("bits", "key", "code", F.slice(F.array_sort(F.array_distinct(F.concat(old, new))), 1, k + 1).alias("best"))
+        merged = merged.select("bits", "key", "code", "rep", F.slice(F.array_sort(F.array_distinct(F.concat(old, new))), 1, k + 1).alias("best"))
         enough = F.size("best") >= F.element_at(want, F.col("bits"))
         bound = F.when(enough, F.element_at(F.col("best"), -1)["d"]).otherwise(no_bound)
         merged = write(merged.withColumn("bound", bound).withColumn("open", ~((F.col("bound") <= F.element_at(covered, F.col("bits"))) | F.element_at(last, F.col("bits")))))

@@ -42,3 +42,17 @@ def test_search_bears_hard_rows(spark):
     rows = [(1, same), (1, same), (2, same), (3, None), (4, []), (None, v(16)), (5, [None] * 16), (6, [float("nan")] * 16), (7, v(8)), (8, v(8)), (9, v(3)), (2, v(16))]
     assert run(spark, rows, 3) == brute([(i, [x if x is not None and x == x else 0.0 for x in w] if w else w) for i, w in rows], 3)
     assert run(spark, [], 3) == {} and run(spark, [(1, same)], 3) == {}
+
+
+def test_many_ties_within_a_tile_go_to_the_smaller_id(spark):
+    """More codes at the kth distance than a tile returns: codes two bits from one centre, whose smallest ids decide."""
+    rng = np.random.default_rng(4)
+    centre, rows = rng.random(32) > 0.5, []
+    for a in range(32):
+        for b in range(a + 1, 32):
+            code = centre.copy()
+            code[[a, b]] ^= True
+            rows.append([1.0 if x else -1.0 for x in code])
+    order = rng.permutation(len(rows))
+    rows = [(int(i), rows[j]) for i, j in enumerate(order)]
+    assert run(spark, rows, 5) == brute(rows, 5)
