@@ -3,11 +3,12 @@
 A vector's code has a bit for each component, set where the component is positive. Codes are cut into segments of
 about log2(number of codes) bits. By the pigeonhole principle, two codes that differ in at most m * (r + 1) - 1 bits
 agree up to r bits in one of their m segments. So all segments are searched with radius 0, 1, 2, ...; a query is
-finished in the round in which the distance of its kth best verified code is covered by that bound.
+finished in the round in which the distance of its (k + 1)th best id, one of which is its own, is covered by that bound.
 
 Equal codes are grouped first. A code is searched once for all vectors that have it, and no more than k + 1 of its
 vectors (those of smallest id) can be in anyone's answer, so only these are kept with it: nothing is lost, and
-thousands of equal codes cost no more than one.
+thousands of equal codes cost no more than k + 1. What is listed for a query is k + 1 distinct ids, each with its
+least distance, so that an id with many near codes takes one place only.
 
 A round is one exchange: codes and the queries that are still open are sent to tiles, a tile being a segment and the
 leading bits of its value. A query goes to the tiles whose leading bits differ in j <= r bits from its own, and is
@@ -81,18 +82,17 @@ def encode(df: DataFrame, ident: str, vector: str) -> DataFrame:
 
 
 def _send(cuts: dict[int, list[tuple[int, int]]], radius: int, low: int):
-    """Rows (bits, key, code, bound, open, rep) to tiles: each code once for each segment, each open query to all tiles in reach."""
+    """Rows (bits, number, code, bound, open) to tiles: those of ids once for each segment, open queries to all tiles in reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, reps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            bits, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             codes, bounds, open_ = batch.column(2).to_pylist(), batch.column(3).to_numpy(), np.array(batch.column(4).to_pylist(), bool)
-            least = batch.column(5).to_numpy()
             tiles, kinds, left, blobs = [], [], [], []
             for b in np.unique(bits):
                 rows = np.flatnonzero(bits == b)
                 words = words_of([codes[i] for i in rows.tolist()])
-                packed = np.concatenate((reps[rows].astype(np.int64)[:, None], bounds[rows].astype(np.int64)[:, None], least[rows].astype(np.int64)[:, None], words.view(np.int64)), axis=1)
+                packed = np.concatenate((numbers[rows].astype(np.int64)[:, None], bounds[rows].astype(np.int64)[:, None], words.view(np.int64)), axis=1)
 
                 def put(tile: tuple[int, int], high: np.ndarray, of: np.ndarray, kind: int, weight: int) -> None:
                     order = np.argsort(high, kind="stable")
@@ -107,8 +107,8 @@ def _send(cuts: dict[int, list[tuple[int, int]]], radius: int, low: int):
                     near = min(low, end - begin)
                     far = end - begin - near
                     high = segment_values(words, begin, end) >> near
-                    every = np.arange(len(rows))
-                    put((int(b), s), high, every, 0, 0)
+                    own = np.flatnonzero(~open_[rows])
+                    put((int(b), s), high[own], own, 0, 0)
                     asks = np.flatnonzero(open_[rows])
                     for j in range(min(radius, far) + 1):
                         if radius - j <= near and len(asks):
@@ -119,27 +119,28 @@ def _send(cuts: dict[int, list[tuple[int, int]]], radius: int, low: int):
     return run
 
 
-def best_of(q: np.ndarray, c: np.ndarray, d: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (by distance, then smallest id r of a code) distinct codes of each query."""
-    order = np.lexsort((c, r, d, q))
-    q, c, d, r = q[order], c[order], d[order], r[order]
+def best_of(q: np.ndarray, i: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (by least distance, then smaller id) distinct ids of each query."""
+    order = np.lexsort((d, i, q))
+    q, i, d = q[order], i[order], d[order]
     new = np.ones(len(q), bool)
-    new[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
-    q, c, d, r = q[new], c[new], d[new], r[new]
-    first = np.searchsorted(q, q)
-    keep = np.arange(len(q)) - first < k
-    return q[keep], c[keep], d[keep], r[keep]
+    new[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+    q, i, d = q[new], i[new], d[new]
+    order = np.lexsort((i, d, q))
+    q, i, d = q[order], i[order], d[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], i[keep], d[keep]
 
 
 def _meet(cuts: dict[int, list[tuple[int, int]]], low: int, k: int, most: int = 1 << 21):
-    """Rows of tiles, codes before queries: (query, code, distance, smallest id of the code), the k best of each query in each tile."""
+    """Rows of tiles, ids before queries: (query, id, distance), the k best ids of each query in each tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(tile: str, rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
             bits, s, _ = map(int, tile.split("/"))
             begin, end = cuts[bits][s]
             near = min(low, end - begin)
-            width = 3 + (((bits + 7) // 8) + 7) // 8
+            width = 2 + (((bits + 7) // 8) + 7) // 8
 
             def unpack(blobs: list[bytes]) -> np.ndarray:
                 return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, width)
@@ -149,16 +150,16 @@ def _meet(cuts: dict[int, list[tuple[int, int]]], low: int, k: int, most: int =
             if not own or not asked:
                 return
             codes = unpack(own)
-            words = np.ascontiguousarray(codes[:, 3:]).view(np.uint64)
+            words = np.ascontiguousarray(codes[:, 2:]).view(np.uint64)
             key = segment_values(words, begin, end) & ((1 << near) - 1)
             order = np.argsort(key, kind="stable")
-            keys, reps, words = codes[order, 0], codes[order, 2], words[order]
+            ids, words = codes[order, 0], words[order]
             start = np.searchsorted(key[order], np.arange((1 << near) + 1))
             out: list[tuple[np.ndarray, ...]] = []
             held = 0
             for weight in asked:
                 queries = unpack([x for kind, w, x in rows if kind and w == weight])
-                asks = np.ascontiguousarray(queries[:, 3:]).view(np.uint64)
+                asks = np.ascontiguousarray(queries[:, 2:]).view(np.uint64)
                 at = segment_values(asks, begin, end) & ((1 << near) - 1)
                 for mask in masks(near, weight).tolist():
                     x = at ^ mask
@@ -174,15 +175,15 @@ def _meet(cuts: dict[int, list[tuple[int, int]]], low: int, k: int, most: int =
                         done = stop
                         far = np.bitwise_count(asks[i] ^ words[j]).sum(axis=1, dtype=np.int64)
                         good = far <= queries[i, 1]
-                        out.append((queries[i[good], 0], keys[j[good]], far[good], reps[j[good]]))
+                        out.append((queries[i[good], 0], ids[j[good]], far[good]))
                         held += int(good.sum())
                         if held > 4 * most:
                             out = [best_of(*(np.concatenate(y) for y in zip(*out)), k)]
                             held = min(len(out[0][0]), 2 * most)
             if out:
-                q, c, d, r = best_of(*(np.concatenate(y) for y in zip(*out)), k)
+                q, n, d = best_of(*(np.concatenate(y) for y in zip(*out)), k)
                 for cut in range(0, len(q), 1 << 16):
-                    yield pa.record_batch([pa.array(q[cut : cut + (1 << 16)]), pa.array(c[cut : cut + (1 << 16)]), pa.array(d[cut : cut + (1 << 16)].astype(np.int32)), pa.array(r[cut : cut + (1 << 16)])], names=["q", "c", "d", "r"])
+                    yield pa.record_batch([pa.array(q[cut : cut + (1 << 16)]), pa.array(n[cut : cut + (1 << 16)]), pa.array(d[cut : cut + (1 << 16)].astype(np.int32))], names=["q", "i", "d"])
 
         now, rows = None, []
         for batch in batches:
@@ -205,31 +206,27 @@ def top_k(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", k: in
     rows = encode(df, ident, vector).distinct()
     ids = F.array_sort(F.collect_set("id"))
     all_ids = write(rows)
-    codes = write(all_ids.groupBy("bits", "code").agg(F.min("id").alias("rep"), F.slice(ids, 1, k + 1).alias("ids")))
+    codes = write(all_ids.groupBy("bits", "code").agg(F.slice(ids, 1, k + 1).alias("ids")).withColumn("key", F.xxhash64("bits", "code")))
     numbers = {r.bits: r.n for r in codes.groupBy("bits").agg(F.count("*").alias("n")).collect()}
     cuts = {b: segments(b, n) for b, n in numbers.items()}
-    want = F.create_map(*[F.lit(x) for b, n in numbers.items() for x in (b, min(k + 1, n))]) if numbers else None
+    others = {r.bits: r.n for r in all_ids.groupBy("bits").agg(F.countDistinct("id").alias("n")).collect()}
+    want = F.create_map(*[F.lit(x) for b, n in others.items() for x in (b, min(k + 1, n))]) if numbers else None
     no_bound = 1 << 30
-    found = codes.select("bits", "rep", "code", F.lit(None).cast("array<struct<d:int,c:bigint>>").alias("best"), F.lit(no_bound).alias("bound"), F.lit(True).alias("open"))
+    owners = codes.select("bits", F.explode("ids").alias("number"), "code", F.lit(0).alias("bound"), F.lit(False).alias("open"))
+    found = codes.select("bits", "key", "code", F.expr("cast(array() as array<struct<d:int,i:bigint>>)").alias("best"), F.lit(no_bound).alias("bound"), F.lit(True).alias("open"))
     finished: list[DataFrame] = []
     radius = 0
-    # an id with several codes of one length has the same rep twice; the key of a code is then not unique
-    key = codes.select("bits", "rep", "code", F.xxhash64("bits", "code").alias("key"))
-    found = found.join(key.select("bits", "code", "key"), ["bits", "code"]) if numbers else found.withColumn("key", F.lit(0).cast("long"))
-    found = write(found)
-    keyed = found.select("bits", "key", "code", "rep")
     still = len(numbers) > 0
     while still:
         covered = F.create_map(*[F.lit(x) for b in numbers for x in (b, len(cuts[b]) * (radius + 1) - 1)])
         last = F.create_map(*[F.lit(x) for b in numbers for x in (b, max(y - x for x, y in cuts[b]) <= radius)])
-        asks = found.select("bits", "key", "code", "bound", F.lit(True).alias("open"), "rep").unionAll(keyed.join(found.select("key"), "key", "left_anti").select("bits", "key", "code", F.lit(0).alias("bound"), F.lit(False).alias("open"), "rep")) if radius else found.select("bits", "key", "code", "bound", "open", "rep")
+        asks = owners.unionAll(found.select("bits", "key", "code", "bound", "open"))
         tiles = asks.mapInArrow(_send(cuts, radius, low), "tile string, kind int, weight int, blob binary")
-        pairs = tiles.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_meet(cuts, low, k + 1), "q long, c long, d int, r long")
-        pairs = pairs.groupBy("q").agg(F.collect_set(F.struct("d", "r", "c")).alias("new"))
-        merged = found.join(pairs, found.key == pairs.q, "left")
-        old = F.coalesce(F.col("best"), F.expr("cast(array() as array<struct<d:int,r:bigint,c:bigint>>)")) if radius else F.expr("cast(array() as array<struct<d:int,r:bigint,c:bigint>>)")
-        new = F.coalesce(F.col("new"), F.expr("cast(array() as array<struct<d:int,r:bigint,c:bigint>>)"))
-        merged = merged.select("bits", "key", "code", "rep", F.slice(F.array_sort(F.array_distinct(F.concat(old, new))), 1, k + 1).alias("best"))
+        pairs = tiles.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_meet(cuts, low, k + 1), "q long, i long, d int")
+        if radius:
+            pairs = pairs.unionAll(found.select(F.col("key").alias("q"), F.explode("best").alias("b")).select("q", "b.i", "b.d"))
+        pairs = pairs.repartition("q").groupBy("q", "i").agg(F.min("d").alias("d")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "i"))), 1, k + 1).alias("new"))
+        merged = found.join(pairs, found.key == pairs.q, "left").select("bits", "key", "code", F.coalesce("new", "best").alias("best"))
         enough = F.size("best") >= F.element_at(want, F.col("bits"))
         bound = F.when(enough, F.element_at(F.col("best"), -1)["d"]).otherwise(no_bound)
         merged = write(merged.withColumn("bound", bound).withColumn("open", ~((F.col("bound") <= F.element_at(covered, F.col("bits"))) | F.element_at(last, F.col("bits")))))
@@ -243,11 +240,8 @@ def top_k(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", k: in
     best = finished[0]
     for more in finished[1:]:
         best = best.unionAll(more)
-    near = best.select("bits", "code", F.explode("best").alias("b")).select("bits", "code", "b.d", F.col("b.c").alias("key"))
-    lists = key.join(codes.select("bits", "code", "ids"), ["bits", "code"]).select("key", "ids")
-    answer = near.join(lists, "key").groupBy("bits", "code").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("i")))))).alias("a"))
     # of an id that occurs with several codes the nearest counts
-    per_id = all_ids.join(answer, ["bits", "code"]).select("id", F.filter("a", lambda x: x["i"] != F.col("id")).alias("a"))
+    per_id = all_ids.join(best, ["bits", "code"]).select("id", F.filter("best", lambda x: x["i"] != F.col("id")).alias("a"))
     listed = per_id.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("a"))).alias("a")).select("id", F.transform("a", lambda x: x["i"]).alias("i"), "a")
     first = F.filter("a", lambda x, n: F.array_position(F.col("i"), x["i"]) == n + 1)
     return listed.select(F.col("id").alias("query_id"), F.posexplode(F.slice(first, 1, k)).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.i").alias("neighbour_id"), F.col("x.d").alias("distance"))

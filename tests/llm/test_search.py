@@ -56,3 +56,16 @@ def test_many_ties_within_a_tile_go_to_the_smaller_id(spark):
     order = rng.permutation(len(rows))
     rows = [(int(i), rows[j]) for i, j in enumerate(order)]
     assert run(spark, rows, 5) == brute(rows, 5)
+
+
+def test_ids_with_several_vectors_take_one_place_each(spark):
+    """Every id has near copies of its vector, more than k + 1 codes in all, and still k neighbours."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i, v in enumerate(rng.standard_normal((40, 48))):
+        for _ in range(9):
+            near = v.copy()
+            near[rng.integers(48, size=2)] *= -1
+            rows.append((i, [float(x) for x in near]))
+    found = run(spark, rows, 4)
+    assert found == brute(rows, 4) and len(found) == 4 * 40
