@@ -6,7 +6,8 @@ host. The reliabilities of the last three are read from the corpus itself by gro
 how often each declaration, suffix and host goes with each language that the text alone suggests. Host priors
 are smoothed hierarchically (host, then registered domain, then the whole corpus).
 
-Only the text model is fitted on a bounded sample of labelled rows (`sample`). One more hypothesis, `und`,
+Only the text model is fitted on a bounded sample of labelled rows (`sample`), shared among the labels so that a rare
+language keeps all its rows beside frequent ones. One more hypothesis, `und`,
 spreads text evenly over all trigrams; it wins for text that resembles no language.
 
 Cases: a null or empty text has no text evidence, so the other evidence decides; null declarations, addresses and
@@ -80,23 +81,38 @@ def text_sums(column: pa.Array, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, count
 
 
+def part_of(numbers: list[int], sample: int, least: int) -> int:
+    """The bound, `least` or more, with which labels of so many rows give `sample` rows in all."""
+    left = sample
+    for k, n in enumerate(sorted(numbers)):
+        if n * (len(numbers) - k) > left:
+            return max(least, left // (len(numbers) - k))
+        left -= n
+    return max(least, *numbers)
+
+
 def fit_text_model(labelled: DataFrame, text: str, label: str, sample: int = 4000, bits: int = 14, alpha: float = 0.5, least_rows: int = 5) -> TextModel | None:
     """Fit on about `sample` labelled rows, chosen by a hash of text and label and so the same at every run.
 
-    Labels with fewer than `least_rows` sampled rows are left out. None if no label is left."""
+    A label with no more rows than its part of the sample (100 at least) gives all of them, another one distinct texts. Labels with fewer
+    than `least_rows` rows in the whole table are left out. None if no label is left."""
     rows = labelled.where(col(text).isNotNull() & col(label).isNotNull() & (F.length(col(text)) > 0)).select(col(text).alias("text"), col(label).cast("string").alias("label"))
-    total = rows.count()
-    if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64("text", "label"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    numbers = {r.label: (r.n, r.texts) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("text", 0.02).alias("texts")).where(F.col("n") >= least_rows).collect()}
+    if not numbers:
+        return None
+    bound = part_of([n for n, _ in numbers.values()], sample, least=min(sample, 100))
+    rates = [(name, None if n <= bound else math.ceil(min(1.0, bound / max(texts, 1)) * (1 << 40))) for name, (n, texts) in numbers.items()]
+    rows = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(rates, "label string, rate long")), "label")
+    chance = F.xxhash64("text", "label")
+    sampled = rows.where(F.pmod(chance, F.lit(1 << 40)) < F.col("rate")).withColumn("chance", chance).dropDuplicates(["label", "chance"])
+    rows = rows.where("rate is null").select("text", "label").unionAll(sampled.select("text", "label"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch in batches:
             names = np.array(batch.column(1).to_pylist(), object)
             for name in set(names.tolist()):
                 part = batch.column(0).filter(pa.array(names == name))
-                seen[name] = seen.get(name, 0) + len(part)
                 into = totals.setdefault(name, np.zeros(1 << bits, np.int64))
                 for _, _, data, offsets in slices(part, lower=True):
                     if len(data) >= 3:
@@ -108,16 +124,13 @@ def fit_text_model(labelled: DataFrame, text: str, label: str, sample: int = 400
                         into += np.bincount(buckets(data, bits)[ok], minlength=1 << bits)
         for name, counts in totals.items():
             at = np.flatnonzero(counts)
-            yield pa.record_batch([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(counts[at], seen[name]))], names=["label", "bucket", "n"])
+            yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["label", "bucket", "n"])
 
     found = rows.mapInArrow(counted, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    enough = found[(found.bucket < 0) & (found.n >= least_rows)].label
-    languages = tuple(sorted(enough))
-    if not languages:
-        return None
+    languages = tuple(sorted(numbers))
     counts = np.zeros((len(languages), 1 << bits))
     for k, name in enumerate(languages):
-        own = found[(found.label == name) & (found.bucket >= 0)]
+        own = found[found.label == name]
         counts[k, own.bucket.to_numpy()] = own.n.to_numpy()
     return TextModel(languages, np.log((counts + alpha) / (counts.sum(1, keepdims=True) + alpha * (1 << bits))).astype(np.float32))
 

@@ -162,3 +162,17 @@ def test_language_stage_bears_hard_rows(spark):
     assert language_id.stage(spark, empty(spark), "").count() == 0
     clean = documents(spark, [(i, prose(random.Random(i), 50)) for i in range(30)])
     assert language_id.stage(spark, clean, "").count() == 30
+
+
+def test_rare_languages_stay_beside_many_rows_and_copies_count_once(spark):
+    """Above the sample's size: a language of six rows is in the model, and a text of thousands of copies doesn't make it."""
+    rng = random.Random(21)
+    rows = [(i, spoken(rng, "aa", 30), "aa") for i in range(2000)] + [(2000 + i, spoken(rng, "bb", 30), "bb") for i in range(6)]
+    rows += [(3000 + i, f"copied {'zzz ' * 40}", "cc") for i in range(3000)] + [(6000 + i, spoken(rng, "cc", 30), "cc") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_text_model(df, "text", "lang", sample=400)
+    assert model.languages == ("aa", "bb", "cc")
+    asked = spark.createDataFrame([(i, spoken(rng, lang, 30), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 10)], df.schema)
+    assert all(r.language == r.lang and r.accepted for r in language_id.identify(asked, model).collect())
+    few = language_id.fit_text_model(df.where("lang != 'bb' or doc_id < 2004"), "text", "lang", sample=400)
+    assert few.languages == ("aa", "cc")
