@@ -250,9 +250,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are accepted; declared language and source are evidence beside the text."""
+    """The documents that are accepted; declared language and source are evidence beside the text.
+
+    Where no label has enough rows for a model, no language can be found: every document is `und` and none is accepted, as in op5."""
     model = fit_text_model(docs, "text", "lang")
     if model is None:
-        return docs
+        return docs.where(F.lit(False))
     found = identify(docs, model, declared="lang", host="source")
     return found.where(col(found.columns[-1])).select(*[col(c) for c in docs.columns])
