@@ -226,7 +226,9 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """(doc_id, declared, host) of pages whose address ends in a document's number; one row for a document, that of the smallest page_id."""
+    """(doc_id, declared, host) of pages whose address ends in a document's number; one row for a document.
+
+    Of all its pages' declarations the most frequent counts, and so of their hosts; ties go to the smallest page_id."""
     address = F.col("url")
     found = pages.select(
         F.expr("try_cast(nullif(regexp_extract(url, '://[^/?#]+/(?:[^?#]*/)?([0-9]{1,18})(?:[.]html)?/?(?:[?#].*)?$', 1), '') as bigint)").alias("page_doc"),
@@ -234,7 +236,10 @@ def page_evidence(pages: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract(address, r"://([^/?#:]+)", 1), F.lit("")).alias("page_host"),
         "page_id",
     ).where("page_doc is not null")
-    return found.groupBy("page_doc").agg(F.min_by(F.struct("page_lang", "page_host"), "page_id").alias("e")).select("page_doc", "e.page_lang", "e.page_host")
+    each = found.select("page_doc", "page_id", F.explode(F.array(F.struct(F.lit(0).alias("of"), F.col("page_lang").alias("value")), F.struct(F.lit(1).alias("of"), F.col("page_host").alias("value")))).alias("x")).select("page_doc", "page_id", "x.of", "x.value")
+    counts = each.where("value is not null").groupBy("page_doc", "of", "value").agg(F.struct((-F.count("*")).alias("n"), F.min("page_id").alias("p")).alias("place"))
+    first = lambda k: F.min_by(F.when(F.col("of") == k, F.col("value")), F.when(F.col("of") == k, F.col("place")))
+    return counts.groupBy("page_doc").agg(first(0).alias("page_lang"), first(1).alias("page_host"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

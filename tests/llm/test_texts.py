@@ -176,3 +176,9 @@ def test_rare_languages_stay_beside_many_rows_and_copies_count_once(spark):
     assert all(r.language == r.lang and r.accepted for r in language_id.identify(asked, model).collect())
     few = language_id.fit_text_model(df.where("lang != 'bb' or doc_id < 2004"), "text", "lang", sample=400)
     assert few.languages == ("aa", "cc")
+
+
+def test_all_pages_of_a_document_are_evidence(spark):
+    rows = [(1, "http://a.aa/7", "<html>"), (2, "http://b.bb/7", "<html lang=bb>"), (3, "http://b.bb/x/7", "<html lang='bb'>"), (4, "http://c.cc/7.html", "<html lang=aa>"), (5, "http://d.dd/8", "<html>")]
+    found = {r.page_doc: (r.page_lang, r.page_host) for r in language_id.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {7: ("bb", "b.bb"), 8: (None, "d.dd")}
