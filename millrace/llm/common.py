@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
-_BATCH, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
-_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,26 +35,41 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+#: While a result is written: rows here are whole texts, and fewer of them at a time keep the memory of Python workers small
+#: (a row larger than the bytes is a batch of its own); shuffle files go when the write is over, as it is read again from what it wrote.
+_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 class Written:
     """Intermediate results written as Parquet in the shared folder.
 
     A written table cuts lineage as checkpoint() does and survives the loss of executors, but is computed
     once, keeps only its columns and has known sizes, from which the planner picks its joins. drop() removes
-    tables that later steps no longer read; the last ones stay for the lazy result."""
+    tables that later steps no longer read; the last ones stay for the lazy result, until close() or the end of the driver.
+    Settings of the session are changed for the time of a write only."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
-        # rows here are whole texts: fewer of them at a time keep the memory of Python workers small
-        if int(spark.conf.get(_BATCH)) > MOST_ROWS:
-            spark.conf.set(_BATCH, MOST_ROWS)
-        if spark.conf.get(_BYTES) == "67108864b":  # the default; a row larger than this is a batch of its own
-            spark.conf.set(_BYTES, "8m")
+        atexit.register(self._leave)
+
+    def _save(self, writer: DataFrameWriter, path: str) -> None:
+        before = {k: self.spark.conf.get(k, None) for k in _SETTINGS}
+        rows = before["spark.sql.execution.arrow.maxRecordsPerBatch"]
+        try:
+            for k, v in _SETTINGS.items():
+                if k.endswith("maxRecordsPerBatch") and rows and 0 < int(rows) < int(v):
+                    continue
+                self.spark.conf.set(k, v)
+            writer.parquet(path)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
+        self._save(df.write, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out
@@ -65,7 +78,7 @@ class Written:
         """Written in one pass, apart by the column `kind`: a table for each of these kinds."""
         self.count += 1
         base = f"{self.base}/{self.count}"
-        df.write.partitionBy("kind").parquet(base)
+        self._save(df.write.partitionBy("kind"), base)
         out = []
         for kind in kinds:
             # a kind without rows has no folder; the base then reads as empty
@@ -74,11 +87,6 @@ class Written:
             out.append(part)
         return out
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of steps that are over, which it does once the driver's references to them are collected."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *dfs: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in dfs:
@@ -86,6 +94,23 @@ class Written:
                 p = jvm.org.apache.hadoop.fs.Path(found[1])
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def _leave(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            self.close()
+
+    def close(self) -> None:
+        """Deletes everything that was written; results that read it can't be used afterwards."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths.clear()
+
+
+def least_rows(df: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+    """Of the rows that agree in the columns `by` the least one by all of `keep` (maps are compared as JSON)."""
+    row = F.struct(*[col(c) for c in keep])
+    has_map = any("map<" in df.schema[c].dataType.simpleString() for c in keep)
+    return df.groupBy(*[col(c) for c in by]).agg((F.min_by(row, F.to_json(row)) if has_map else F.min(row)).alias("d")).select("d.*")
+
 
 def fresh(columns: Iterable[str], wanted: str) -> str:
     """A column name that clashes with none of `columns` (compared as Spark does, without case)."""
@@ -100,16 +125,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def components(spark: SparkSession, edges: DataFrame, write: Written, most_rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, write: Written) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root being the smallest node of the component.
 
-    Distributed union-find by alternating large-star and small-star steps: every round hangs each node's larger
+    Distributed union-find by alternating large-star and small-star steps until nothing changes: every round hangs each node's larger
     (then smaller) neighbours under the smallest one, so trees flatten in a number of rounds that is logarithmic
     in practice. Each round's edges are written to the shared folder. A node of large degree is handled by a
     group-wise minimum and a join, never gathered in one row. Null ends and loops are ignored."""
     now = write(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -126,4 +151,3 @@ def components(spark: SparkSession, edges: DataFrame, write: Written, most_round
         if before == sums:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = sums
-    raise RuntimeError("components did not settle")

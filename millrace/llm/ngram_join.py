@@ -1,20 +1,28 @@
-"""N-gram Jaccard join: all pairs of texts whose sets of word n-grams have a Jaccard similarity of at least `least`.
-
-1. Every text becomes the set of hashes of its n-word windows. Equal sets are grouped first, so that copies are
-   joined once and multiplied out at the end.
-2. Each set goes to the tiles of its `anchors` smallest hashes. Two sets with similarity J share none of them with
-   probability (1 - J) ** anchors at most, which with the default is 0.00024 at the threshold of 0.5 and less above.
-   Sets whose prefix (the hashes beyond which similarity `least` is out of reach) is shorter go to its tiles only,
-   which loses nothing. `anchors=None` uses full prefixes: the join is then exact.
-3. In a tile, sets are sorted by size, and each meets the band of sizes from its own to size / least. Hashed bitmaps
-   bound the overlap from above: every bit that one set has and the other lacks stands for a gram that is not
-   shared. What the bound leaves is compared in the first tile that both share, so a pair is met once.
-4. Texts that are left with partners go once to each tile in which they have one, where the sorted arrays are
-   intersected exactly.
-
-Cases: a null or empty text, and one without words, has no grams and no partners. A text of fewer than n words has one
-gram. Rows whose id is null take no part. Several rows with the same id and equal sets count once; an id with different texts takes
-part with each, and pairs with itself only never. An empty table gives an empty result. Only the id and the text are read.
+"""N-gram Jaccard join: which texts have sets of word n-grams with a Jaccard similarity of at least `least`, exactly.
+
+The result has one row for every document that has a link: (doc_id, class_id, n_links). A link joins two documents that are similar
+enough. A class is a connected component of links, named by its smallest id; n_links is the number of links of the
+document, so no link is lost though copies are never multiplied out into pairs. A document without links is a class of its own and has no row.
+
+1. Every text becomes the set of hashes of its n-word windows. Hashes are sent to buckets, which learn how many sets have
+   each; those of one set only can't be shared and are dropped, the others come back with a level, the logarithm of their
+   number. So every set has a sorted array, rare grams first, and the number of its grams that no other set has.
+2. Equal sets are one from here on, with the number of their documents.
+3. Two sets that are similar enough share one of the first grams of either in that order (the prefix beyond which the
+   similarity is out of reach; grams of one set only come first and need no tile). Sizes are cut into bands such that partners are in the same or the
+   next band. A tile is a gram and a band: a set lives in its own band's tiles and visits those of the next one, with
+   the shorter prefix that suffices for larger partners. A tile of more than `most` sets of 1024 grams is cut into blocks, and pairs of blocks meet in tiles of their own.
+4. In a tile, pairs that share one of the two grams before this one have met there already; what remains of both arrays
+   bounds the overlap of the others. Sets with partners go once to the tile in which they have them. There, hashed bitmaps bound the
+   overlap from above (every bit that one set has and the other lacks stands for a gram that is not shared), and what the bound leaves is
+   decided by intersecting the sorted arrays.
+5. Links of equal sets are counted, those of different ones summed, and distributed union-find gives the classes.
+
+Nothing is cut off: prefixes are whole, tiles of any size are processed, and there is no bound on partners.
+
+Cases: a null or empty text, and one without words, has no grams and no links. A text of fewer than n words has one
+gram. Rows whose id is null take no part. Several rows with the same id and equal sets count once; an id with different texts has a row for each
+set, which are documents of their own. An empty table gives an empty result. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -24,14 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, col, components, fresh, table
+from .common import Written, col, components, fresh, least_rows, table
 from .vectext import WORD_BREAK, grams, mix, popcount_rows, slices, sorted_sets, words
 
-N, LEAST, ANCHORS, MOST_BITS = 3, 0.5, 12, 8192
+N, LEAST, MOST, SHARD_BYTES = 3, 0.5, 4096, 4 << 20
 _U = np.uint64
+_LEVEL = _U(59)
+_KEY = np.dtype([("tile", "<u8"), ("k", "<i8"), ("one", "<u8"), ("two", "<u8"), ("size", "<i4"), ("rest", "<i4"), ("role", "<i4"), ("level", "<i4")])
 
 
 def needed(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -40,24 +52,16 @@ def needed(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
 
 
 def prefix_length(size: int, least: float) -> int:
+    """How many first grams a set needs so that every partner shares one; `least` of its size is the smallest overlap."""
     return size - math.ceil(least * size - 1e-9) + 1
 
 
-def bitmap(values: np.ndarray, most_bits: int) -> np.ndarray:
-    """A bitmap of 2 to 4 bits a value, in 64-bit words; a narrower one of the same set is its fold."""
-    width = min(most_bits, max(64, 1 << (2 * len(values) - 1).bit_length()))
-    at = (values >> _U(20)) & _U(width - 1)
-    out = np.zeros(width, np.uint8)
-    out[at.astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").view(np.uint64)
-
-
-def fold(bits: np.ndarray, words: int) -> np.ndarray:
-    """Bitmaps (rows, more words) of the width that the same sets would have with `words` words."""
-    while bits.shape[1] > words:
-        half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
-    return bits
+def band_edges(least: float, largest: int) -> np.ndarray:
+    """First sizes of bands such that the partners of a set are in its band or a neighbouring one."""
+    edges = [1, 2]
+    while edges[-1] <= largest:
+        edges.append(math.floor((edges[-1] - 1) / least + 1e-9) + 1)
+    return np.array(edges)
 
 
 def text_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -71,212 +75,375 @@ def fingerprint(values: np.ndarray) -> bytes:
     return np.array([a.sum(dtype=np.uint64), b.sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
-def signatures(docs: DataFrame, ident: str, text: str, n: int, least: float, anchors: int | None, most_bits: int) -> DataFrame:
-    """One row for each text with words: id, set fingerprint, size, bitmap and anchors in ascending order."""
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _head(kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+    s, k, b, x, ids, texts, prints, sizes = zip(*rows) if rows else ((),) * 8
+    return pa.record_batch(
+        [pa.array(s, pa.int64()), pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.binary()), pa.array(ids, pa.list_(kind)), pa.array(texts, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32()))],
+        names=["shard", "kind", "bucket", "blob", "ids", "texts", "prints", "sizes"],
+    )
+
+
+def _send(n: int, buckets: int, most: int):
+    """Texts to shards. kind 0: what a shard's sets are called; kind 1: hashes for a bucket, 40 bits each, with the set's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, size = TaskContext.get().partitionId() << 32, 0, 0
+        held: list[tuple] = []
+
+        def close(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            shard = task + number
+            ids, texts, sets = zip(*held)
+            lengths = np.array([len(s) for s in sets])
+            yield _head(kind, [(shard, 0, shard % buckets, None, list(ids), list(texts), [fingerprint(s) for s in sets], lengths.tolist())])
+            h, at = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), lengths)
+            bucket = ((h >> _U(32)) * _U(buckets)) >> _U(32)
+            order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            h, at = h[order], at[order]
+            low, high = h.astype(np.uint32), (h >> _U(32)).astype(np.uint8)
+            rows = [(shard, 1, b, low[(s := slice(cuts[b], cuts[b + 1]))].tobytes() + at[s].tobytes() + high[s].tobytes(), None, None, None, None) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+            for cut in range(0, len(rows), 4096):
+                yield _head(kind, rows[cut : cut + 4096])
+
+        kind = pa.int64()
         for batch in batches:
-            ids, prints, sizes, maps, heads, ends, at = [], [], [], [], [], [0], []
-            for k, values in enumerate(text_sets(batch.column(1), n)):
+            kind = batch.column(0).type
+            keys = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())
+            for (i, t), values, length in zip(keys, text_sets(batch.column(1), n), pc.binary_length(batch.column(1)).to_pylist()):
                 if len(values):
-                    keep = prefix_length(len(values), least)
-                    head = values[: keep if anchors is None else min(keep, anchors)]
-                    at.append(k)
-                    prints.append(fingerprint(values))
-                    sizes.append(len(values))
-                    maps.append(bitmap(values, most_bits).tobytes())
-                    heads.append(head)
-                    ends.append(ends[-1] + len(head))
-            ids = batch.column(0).take(pa.array(at, pa.int64()))
-            flat = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
-            yield pa.record_batch([ids, pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "print", "size", "bits", "anchors"])
-
-    kind = docs.schema[ident].dataType.simpleString()
-    rows = docs.where(col(ident).isNotNull()).select(col(ident).alias("id"), col(text).alias("text"))
-    return rows.mapInArrow(signed, f"id {kind}, print binary, size int, bits binary, anchors array<long>")
-
-
-def meet(tile: np.ndarray, key: np.ndarray, size: np.ndarray, bits: list[bytes], anchors: np.ndarray, ends: np.ndarray, least: float, most_pairs: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tile, key, key) of the pairs that their bitmaps leave, for rows sorted by tile and size. A tile is whole."""
-    n = len(tile)
-    if n < 2:
-        return
-    starts = np.concatenate(([0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [n]))
-    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    # partners of row i: from i + 1 up to the last row of its tile whose size is at most size / least
-    order = group.astype(np.int64) << 32 | size
-    last = np.searchsorted(order, group.astype(np.int64) << 32 | np.floor(size / least + 1e-9).astype(np.int64), "right")
-    counts = last - np.arange(n) - 1
-    if not counts.sum():
-        return
-    width = np.array([len(b) // 8 for b in bits])
-    by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    place = np.zeros(n, np.int64)
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        place[rows] = np.arange(len(rows))
-        by_width[int(w)] = (rows, np.frombuffer(b"".join([bits[r] for r in rows.tolist()]), np.uint64).reshape(len(rows), w))
-    folded: dict[tuple[int, int], np.ndarray] = {}
-    first = 0
+                    held.append((i, t, values))
+                    size += length
+                    if size >= most or len(held) == 1 << 16:
+                        yield from close(kind)
+                        number, held, size = number + 1, [], 0
+        if held:
+            yield from close(kind)
+
+    return run
+
+
+def _level(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """What shards sent to a bucket, to what they get back: grams of several sets, with the level as their first bits."""
+    sizes = np.array([len(x) // 7 for _, x in rows])
+    value = np.concatenate([np.frombuffer(x, np.uint32, k).astype(np.uint64) | np.frombuffer(x, np.uint8, k, 6 * k).astype(np.uint64) << _U(32) for (_, x), k in zip(rows, sizes.tolist())])
+    at = np.concatenate([np.frombuffer(x, np.uint16, k, 4 * k) for (_, x), k in zip(rows, sizes.tolist())])
+    order = np.argsort(value)
+    ordered = value[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(order)))
+    level = np.ceil(np.log2(count)).astype(np.uint64).clip(0, 31)
+    out = np.empty(len(order), np.uint64)
+    out[order] = np.repeat(level, count) << _LEVEL | _U(bucket) << _U(40) | ordered
+    ends = np.cumsum(sizes)
+    for (shard, _), end, size in zip(rows, ends.tolist(), sizes.tolist()):
+        own, number = out[end - size : end], at[end - size : end]
+        good = own >> _LEVEL > 0
+        yield shard, own[good].tobytes() + number[good].tobytes()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: names of sets pass, hashes are counted bucket by bucket."""
+    now, held, kind = None, [], pa.int64()
+
+    def flush() -> pa.RecordBatch:
+        return _head(kind, [(s, 1, now, x, None, None, None, None) for s, x in _level(now, held)])
+
+    for batch in batches:
+        kind = batch.column(4).type.value_type
+        names = batch.filter(pc.equal(batch.column(1), 0))
+        if names.num_rows:
+            yield names
+        hashes = batch.filter(pc.equal(batch.column(1), 1))
+        for s, b, x in zip(*(hashes.column(i).to_pylist() for i in (0, 2, 3))):
+            if b != now:
+                if held:
+                    yield flush()
+                now, held = b, []
+            held.append((s, x))
+    if held:
+        yield flush()
+
+
+def _gather(least: float):
+    """Rows sorted by shard and kind, to one row for each set; its array only if it can have partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "text", "print", "size", "alone", "grams"]
+
+        def flush(own: pa.RecordBatch, blobs: list[bytes]) -> pa.RecordBatch:
+            size = own.column(7)[0].values.to_numpy()
+            counts = [len(x) // 10 for x in blobs]
+            g = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64, k) for x, k in zip(blobs, counts)]])
+            at = np.concatenate([np.zeros(0, np.uint16), *[np.frombuffer(x, np.uint16, k, 8 * k) for x, k in zip(blobs, counts)]])
+            order = np.lexsort((g, at))
+            g, cuts = g[order], np.searchsorted(at[order], np.arange(len(size) + 1))
+            alone = size - np.diff(cuts)
+            keep = np.array([prefix_length(s, least) for s in size.tolist()])
+            arrays = [g[cuts[k] : cuts[k + 1]].tobytes() if keep[k] > alone[k] else None for k in range(len(size))]
+            return pa.record_batch([own.column(4)[0].values, own.column(5)[0].values, own.column(6)[0].values, pa.array(size), pa.array(alone.astype(np.int32)), pa.array(arrays, pa.binary())], names=names)
+
+        now, own, blobs = None, None, []
+        for batch in batches:
+            for i, (s, kind, x) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 1, 3)))):
+                if s != now:
+                    if own is not None:
+                        yield flush(own, blobs)
+                    now, own, blobs = s, None, []
+                if kind:
+                    blobs.append(x)
+                else:
+                    own = batch.slice(i, 1)
+        if own is not None:
+            yield flush(own, blobs)
+
+    return run
+
+
+def _tiles(least: float, largest: int):
+    """Sets to the rows of their tiles. role: 0 lives there, 1 visits. one, two: the grams before this one; rest: how many come after it."""
+    edges = band_edges(least, largest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, size, alone = (batch.column(i).to_numpy() for i in range(3))
+            out = []
+            for j, blob in enumerate(batch.column(3).to_pylist()):
+                g, s = np.frombuffer(blob, np.uint64), int(size[j])
+                band = int(np.searchsorted(edges, s, "right"))
+                for role, share in ((0, least), (1, 2 * least / (1 + least))):
+                    count = min(prefix_length(s, share) - int(alone[j]), len(g))
+                    if count <= 0:
+                        continue
+                    rows = np.zeros(count, _KEY)
+                    rows["tile"] = mix(g[:count] * _U(0x9E3779B97F4A7C15) + _U(band + role))
+                    rows["k"], rows["size"], rows["role"] = k[j], s, role
+                    rows["one"][1:], rows["two"][2:] = g[: count - 1], g[: max(0, count - 2)]
+                    rows["rest"] = len(g) - 1 - np.arange(count)
+                    # the logarithm of a bound on what the tile holds, in sets of 1024 grams
+                    rows["level"] = (g[:count] >> _LEVEL).astype(np.int32) + max(0, int(edges[min(band + role, len(edges) - 1)]).bit_length() - 10)
+                    out.append(rows)
+            rows = np.concatenate(out) if out else np.zeros(0, _KEY)
+            for cut in range(0, len(rows), 1 << 16):
+                r = rows[cut : cut + (1 << 16)]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(r[c]).view(np.int64 if r[c].dtype.itemsize == 8 else np.int32)) for c in _KEY.names], names=list(_KEY.names))
+
+    return run
+
+
+def pairs_of(r: dict[str, np.ndarray], least: float, most_pairs: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of whole tiles that can be similar enough and have not met in an earlier tile; r is sorted by tile and `one`."""
+    n = len(r["tile"])
+    new_tile = np.flatnonzero(np.diff(r["tile"], prepend=r["tile"][:1] - 1))
+    tile_end = np.repeat(np.append(new_tile[1:], n), np.diff(np.append(new_tile, n)))
+    # rows with the same gram before this one have met there
+    change = (r["one"][1:] != r["one"][:-1]) | (r["tile"][1:] != r["tile"][:-1]) | (r["one"][1:] == 0)
+    run = np.concatenate(([0], np.flatnonzero(change) + 1))
+    run_end = np.repeat(np.append(run[1:], n), np.diff(np.append(run, n)))
+    counts = tile_end - run_end
     before = np.concatenate(([0], np.cumsum(counts)))
+    first = 0
     while first < n:
         stop = max(first + 1, int(np.searchsorted(before, before[first] + most_pairs, "right")) - 1)
         c = counts[first:stop]
         i = np.repeat(np.arange(first, stop), c)
-        j = i + 1 + np.arange(len(i)) - np.repeat(before[first:stop] - before[first], c)
+        j = np.repeat(run_end[first:stop], c) + np.arange(len(i)) - np.repeat(before[first:stop] - before[first], c)
         first = stop
         if not len(i):
             continue
-        need = needed(size[i], size[j], least)
-        good = np.zeros(len(i), bool)
-        for w in np.unique(width[i]):
-            of_w = np.flatnonzero(width[i] == w)
-            for v in np.unique(width[j[of_w]]):
-                some = of_w[width[j[of_w]] == v]
-                a = by_width[int(w)][1]
-                if (int(v), int(w)) not in folded:
-                    folded[int(v), int(w)] = fold(by_width[int(v)][1], int(w))
-                b = folded[int(v), int(w)]
-                for cut in range(0, len(some), 1 << 15):
-                    s = some[cut : cut + (1 << 15)]
-                    x, y = a[place[i[s]]], b[place[j[s]]]
-                    only_a, only_b = popcount_rows(x & ~y), popcount_rows(y & ~x)
-                    good[s] = np.minimum(size[i[s]] - only_a, size[j[s]] - only_b) >= need[s]
+        # visitors don't meet each other, nor do rows of the same block where blocks meet (roles 2 and 4 for the first, 3 and 5 for the other)
+        a, b = r["role"][i], r["role"][j]
+        good = ((a & 1) + (b & 1) < 2) & ((a < 2) | (a >> 1 != b >> 1))
         i, j = i[good], j[good]
-        if not len(i):
-            continue
-        # the first tile that both share takes the pair
-        width_a = int(np.diff(ends).max())
-        for cut in range(0, len(i), 1 << 15):
-            p, q = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
-            t = tile[p]
-            earlier = np.zeros(len(p), bool)
-            for k in range(width_a):
-                at = ends[p] + k
-                ok = at < ends[p + 1]
-                x = anchors[np.minimum(at, len(anchors) - 1)]
-                ok &= x < t
-                if not ok.any():
-                    break
-                r = np.flatnonzero(ok)
-                hit = np.zeros(len(r), bool)
-                for m in range(width_a):
-                    to = ends[q[r]] + m
-                    hit |= (to < ends[q[r] + 1]) & (anchors[np.minimum(to, len(anchors) - 1)] == x[r])
-                earlier[r] |= hit
-            p, q = p[~earlier], q[~earlier]
-            yield tile[p], key[p], key[q]
-
-
-def survivors(sets: DataFrame, least: float) -> DataFrame:
-    """(tile, left, right): pairs of set prints that the sizes and bitmaps leave, each in its first common tile."""
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tile", "left", "right"]
-
-        def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = t.combine_chunks()
-            arrays = t["anchors"].combine_chunks() if t.num_rows else None
-            if t.num_rows < 2:
-                return
-            if isinstance(arrays, pa.ChunkedArray):
-                arrays = arrays.chunk(0)
-            ends = arrays.offsets.to_numpy().astype(np.int64)
-            flat = arrays.values.to_numpy().view(np.uint64)
-            tile = t["tile"].to_numpy().view(np.uint64)
-            prints = t["print"].combine_chunks()
-            for a, b, c in meet(tile, np.arange(t.num_rows), t["size"].to_numpy().astype(np.int64), t["bits"].to_pylist(), flat, ends, least):
-                yield pa.record_batch([pa.array(a.view(np.int64)), prints.take(pa.array(b)), prints.take(pa.array(c))], names=names)
-
-        held: list[pa.RecordBatch] = []
+        overlap = 1 + np.minimum(r["rest"][i], r["rest"][j])
+        good = overlap >= needed(r["size"][i], r["size"][j], least)
+        i, j = i[good], j[good]
+        one_i, two_i, one_j, two_j = r["one"][i], r["two"][i], r["one"][j], r["two"][j]
+        met = ((one_i != 0) & ((one_i == one_j) | (one_i == two_j))) | ((two_i != 0) & ((two_i == one_j) | (two_i == two_j)))
+        yield i[~met], j[~met]
+
+
+def _meet(least: float):
+    """Rows sorted by tile and `one`, to (left, right, tile) of what can be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for i, j in pairs_of(r, least):
+                a, b = r["k"][i], r["k"][j]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(r["tile"][i])], names=["left", "right", "tile"])
+
+        names = [c for c in _KEY.names if c != "level"]
+        held: list[dict] = []
+
+        def joined() -> dict[str, np.ndarray]:
+            return {c: np.concatenate([h[c] for h in held]) for c in names}
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tiles = batch.column(0).to_numpy()
-            if held and held[-1].column(0)[-1].as_py() != tiles[0]:
-                yield from flush(pa.Table.from_batches(held))
+            now = {c: batch.column(c).to_numpy() for c in names}
+            if held and held[-1]["tile"][-1] != now["tile"][0]:
+                yield from flush(joined())
+                held = []
+            cut = int(np.argmax(now["tile"] == now["tile"][-1]))  # the last tile may go on
+            if cut:
+                held.append({c: v[:cut] for c, v in now.items()})
+                yield from flush(joined())
                 held = []
-            cut = int(np.searchsorted(-(tiles[::-1] == tiles[-1]).astype(int), 0))  # rows of the last tile
-            head, tail = batch.slice(0, len(tiles) - cut), batch.slice(len(tiles) - cut)
-            if head.num_rows:
-                yield from flush(pa.Table.from_batches([*held, head]))
-                held = [tail]
-            else:
-                held.append(tail)
+            held.append({c: v[cut:] for c, v in now.items()})
         if held:
-            yield from flush(pa.Table.from_batches(held))
-
-    rows = sets.select(F.explode("anchors").alias("tile"), "print", "size", "bits", "anchors")
-    return rows.repartition("tile").sortWithinPartitions("tile", "size").mapInArrow(joined, "tile long, left binary, right binary")
-
-
-def verified(docs: DataFrame, ident: str, text: str, sets: DataFrame, pairs: DataFrame, n: int, least: float) -> DataFrame:
-    """(left, right, shared, jaccard) of those pairs whose sets are similar enough, by exact intersection in their tile."""
-    wanted = pairs.select("tile", F.col("left").alias("print")).unionAll(pairs.select("tile", F.col("right").alias("print"))).distinct()
-    wanted = wanted.join(sets.select("print", "first"), "print")
-    texts = docs.select(col(ident).alias("_id"), col(text).alias("text"))
-    texts = wanted.join(texts, F.col("first") == F.col("_id")).select("tile", "print", "text")
-    both = texts.select("tile", "print", "text", F.lit(None).cast("binary").alias("other")).unionAll(pairs.select("tile", F.col("left").alias("print"), F.lit(None).cast("string").alias("text"), F.col("right").alias("other")))
+            yield from flush(joined())
+
+    return run
+
+
+def candidates(active: DataFrame, least: float, most: int, write: Written) -> DataFrame:
+    """(left, right, tile): pairs of sets that can be similar enough, each once."""
+    largest = active.agg(F.max("size")).first()[0] or 1
+    kinds = ", ".join(f"{c} {'long' if _KEY[c].itemsize == 8 else 'int'}" for c in _KEY.names)
+    rows = write(active.select("k", "size", "alone", "grams").mapInArrow(_tiles(least, largest), kinds))
+    limit = int(math.log2(most))
+    columns = [F.col(c) for c in _KEY.names if c not in ("tile", "role")]
+    # only tiles of frequent grams can have more rows than `most`; a tile is counted, never gathered, before it is cut into blocks
+    maybe = rows.where(F.col("level") > limit)
+    load = F.sum(F.greatest("size", F.lit(1024)).cast("long")) / (1024 * most)
+    hot = maybe.groupBy(F.col("tile").alias("t")).agg(F.ceil(load).cast("int").alias("blocks")).where("blocks > 1")
+    hot = write(hot)
+    found = maybe.join(hot, F.col("tile") == F.col("t"), "left")
+    block = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
+    cut = found.where("blocks is not null").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 2).otherwise(4)
+    cut = cut.select(pair.alias("tile"), (F.col("role") + side).alias("role"), *columns)
+    whole = rows.where(F.col("level") <= limit).select("tile", "role", *columns).unionByName(found.where("blocks is null").select("tile", "role", *columns))
+    met = whole.unionByName(cut).select(*_KEY.names).repartition("tile").sortWithinPartitions("tile", "one").mapInArrow(_meet(least), "left long, right long, tile long")
+    out = write(met.groupBy("left", "right").agg(F.min("tile").alias("tile")))
+    write.drop(rows, hot)
+    return out
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap of each set, all of the same width: 2 bits or more a value."""
+    width = max(64, 1 << (2 * max(map(len, sets)) - 1).bit_length())
+    out = np.zeros((len(sets), width), np.uint8)
+    out[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), (mix(np.concatenate(sets)) & _U(width - 1)).astype(np.int64)] = 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+def shared_of(sets: list[np.ndarray], size: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """The overlap of each pair (a, b) of sets; 0 where the bitmaps already say that it is too small."""
+    out = np.zeros(len(a), np.int64)
+    need = needed(size[a], size[b], least)
+    length = np.array([len(s) for s in sets])
+    step = max(1, (1 << 20) // bits.shape[1])
+    for cut in range(0, len(a), step):
+        s = slice(cut, cut + step)
+        x, y = bits[a[s]], bits[b[s]]
+        most = np.minimum(length[a[s]] - popcount_rows(x & ~y), length[b[s]] - popcount_rows(y & ~x))
+        out[s] = most >= need[s]
+    left = np.flatnonzero(out)
+    order = left[np.argsort(a[left], kind="stable")]
+    cuts = np.flatnonzero(np.diff(a[order], prepend=-1))
+    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+        own = sets[a[order[x]]]
+        for cut in range(x, y, 512):
+            some = order[cut : min(cut + 512, y)]
+            others = np.concatenate([sets[k] for k in b[some].tolist()])
+            at = np.searchsorted(own, others)
+            at[at == len(own)] = 0
+            ends = np.concatenate(([0], np.cumsum(own[at] == others)))
+            place = np.concatenate(([0], np.cumsum(length[b[some]])))
+            out[some] = ends[place[1:]] - ends[place[:-1]]
+    return np.where(out >= need, out, 0)
+
+
+def verified(active: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(left, right, shared, jaccard) of those pairs that are similar enough. Sets meet in the tile that made the pair."""
+    wanted = pairs.select("tile", F.col("left").alias("k")).unionAll(pairs.select("tile", F.col("right").alias("k"))).distinct()
+    none = F.lit(None)
+    sets = wanted.join(active.select("k", "size", "grams"), "k").select("tile", "k", none.cast("long").alias("other"), "size", "grams")
+    both = sets.unionAll(pairs.select("tile", F.col("left").alias("k"), F.col("right").alias("other"), none.cast("int"), none.cast("binary")))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # sorted by tile, texts before pairs: the sets of one tile are held at a time
-        names, now, sets_of = ["left", "right", "shared", "jaccard"], None, {}
+        # sorted by tile, sets before pairs: the sets of one tile are held at a time
+        now, number, sets, size, bits = None, {}, [], [], None
         for batch in batches:
-            tiles, prints, others = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            is_text = np.flatnonzero(np.array([o is None for o in others], bool))
-            found = dict(zip(is_text.tolist(), text_sets(batch.column(2).take(pa.array(is_text)), n))) if len(is_text) else {}
-            left, right, shared, similar = [], [], [], []
-            for k, t in enumerate(tiles):
-                if t != now:
-                    now, sets_of = t, {}
-                if k in found:
-                    if fingerprint(found[k]) == prints[k]:  # an id with several texts brings them all
-                        sets_of[prints[k]] = found[k]
+            tiles, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            is_set = np.asarray(batch.column(2).is_null())
+            cuts = np.flatnonzero((np.diff(tiles, prepend=tiles[:1] - 1) != 0) | np.diff(is_set, prepend=False))
+            for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(tiles)]):
+                if tiles[x] != now:
+                    now, number, sets, size = tiles[x], {}, [], []
+                if is_set[x]:
+                    number |= zip(keys[x:y].tolist(), range(len(sets), len(sets) + y - x))
+                    sets += [np.frombuffer(g, np.uint64) for g in batch.column(4).slice(x, y - x).to_pylist()]
+                    size += batch.column(3).slice(x, y - x).to_pylist()
+                    bits = None
                     continue
-                a, b = sets_of.get(prints[k]), sets_of.get(others[k])
-                if a is None or b is None:
-                    continue
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                both = int((b[at] == a).sum())
-                if both >= needed(np.array(len(a)), np.array(len(b)), least):
-                    left.append(prints[k])
-                    right.append(others[k])
-                    shared.append(both)
-                    similar.append(both / (len(a) + len(b) - both))
-            yield pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(shared, pa.int32()), pa.array(similar, pa.float64())], names=names)
-
-    return both.repartition("tile").sortWithinPartitions("tile", F.col("other").isNotNull()).mapInArrow(compared, "left binary, right binary, shared int, jaccard double")
-
-
-def similar_sets(docs: DataFrame, ident: str, text: str, n: int, least: float, anchors: int | None, most_bits: int, write: Written) -> tuple[DataFrame, DataFrame]:
-    """The distinct sets (print, first id, ids) and the pairs of different sets that are similar enough."""
-    rows = signatures(docs, ident, text, n, least, anchors, most_bits)
-    sets = write(rows.groupBy("print").agg(F.min("id").alias("first"), F.array_sort(F.collect_set("id")).alias("ids"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("anchors").alias("anchors")))
-    pairs = write(survivors(sets.select("print", "size", "bits", "anchors"), least))
-    return sets, write(verified(docs, ident, text, sets, pairs, n, least))
-
-
-def ngram_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n: int = N, least: float = LEAST, anchors: int | None = ANCHORS, most_bits: int = MOST_BITS) -> DataFrame:
-    """(left_id, right_id, jaccard) with left_id < right_id for all pairs of rows that are similar enough."""
-    write = Written(docs.sparkSession, "ngram-join")
-    sets, pairs = similar_sets(docs, ident, text, n, least, anchors, most_bits, write)
-    ids = sets.select("print", "ids")
-    between = pairs.join(ids.select(F.col("print").alias("left"), F.col("ids").alias("a")), "left").join(ids.select(F.col("print").alias("right"), F.col("ids").alias("b")), "right")
-    between = between.select(F.explode("a").alias("a"), "b", "jaccard").select("a", F.explode("b").alias("b"), "jaccard").where("a <> b")
-    between = between.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "jaccard")
-    within = ids.where(F.size("ids") > 1).select("ids", F.posexplode("ids").alias("k", "left_id")).select("left_id", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids"))).alias("right_id"), F.lit(1.0).alias("jaccard"))
-    return between.unionAll(within)
+                bits = bitmaps(sets) if bits is None else bits
+                other = batch.column(2).slice(x, y - x)
+                a, b = (np.array([number[k] for k in ks]) for ks in (keys[x:y].tolist(), other.to_pylist()))
+                sizes = np.array(size)
+                shared = shared_of(sets, sizes, bits, a, b, least)
+                good = np.flatnonzero(shared)
+                similar = shared / (sizes[a] + sizes[b] - shared)
+                yield pa.record_batch([pa.array(keys[x:y][good]), other.take(pa.array(good)), pa.array(shared[good].astype(np.int32)), pa.array(similar[good])], names=["left", "right", "shared", "jaccard"])
+
+    return both.repartition("tile").sortWithinPartitions("tile", F.col("other").isNotNull()).mapInArrow(compared, "left long, right long, shared int, jaccard double")
+
+
+def similar_sets(docs: DataFrame, ident: str, text: str, n: int, least: float, most: int, write: Written, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, text, print) of every row with words; the distinct sets that can have partners (k, print, ...); the similar pairs of these."""
+    if not 0 < least <= 1:
+        raise ValueError("least is above 0 and 1 at most")
+    spark = docs.sparkSession
+    buckets = min(max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), (1 << 19) - 1)
+    kind = docs.schema[ident].dataType.simpleString()
+    head = f"shard long, kind int, bucket int, blob binary, ids array<{kind}>, texts array<long>, prints array<binary>, sizes array<int>"
+    rows = docs.where(col(ident).isNotNull() & col(text).isNotNull()).select(col(ident).alias("id"), col(text).alias("text"), F.xxhash64(col(text)).alias("hash"))
+    sent = rows.mapInArrow(_send(n, buckets, shard_bytes), head).repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard")
+    back = sent.mapInArrow(_count, head).repartition("shard").sortWithinPartitions("shard", "kind")
+    found = write(back.mapInArrow(_gather(least), f"id {kind}, text long, print binary, size int, alone int, grams binary"))
+    one = found.where("grams is not null").groupBy("print").agg(F.first(F.struct("size", "alone", "grams")).alias("s"))  # equal sets have equal ones
+    active = write(one.select(F.monotonically_increasing_id().alias("k"), "print", "s.*"))
+    return found, active, write(verified(active, candidates(active, least, most, write), least))
+
+
+def classes(docs: DataFrame, ident: str, text: str, n: int, least: float, most: int, write: Written) -> DataFrame:
+    """(id, text, repeats, class_id, n_links): one row for each id and text with words; repeats: how many rows have both."""
+    found, active, pairs = similar_sets(docs, ident, text, n, least, most, write)
+    documents = found.groupBy("print", "id").agg(F.count("*").alias("rows"))
+    sets = write(documents.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("n")).join(active.select("print", "k"), "print", "left"))
+    both = pairs.select(F.col("left").alias("a"), F.col("right").alias("b")).unionAll(pairs.select("right", "left"))
+    links = both.join(sets.where("k is not null").select(F.col("k").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked"))
+    roots = write(components(docs.sparkSession, pairs.select(F.col("left").alias("a"), F.col("right").alias("b")), write))
+    named = sets.join(roots, sets.k == roots.node, "left").join(links, sets.k == links.a, "left")
+    smallest = named.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least_id"))
+    named = write(named.join(smallest, F.col("root") == F.col("r"), "left").select("print", F.coalesce("least_id", "first").alias("class_id"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
+    return found.groupBy("id", "text", "print").agg(F.count("*").alias("repeats")).join(named, "print").select("id", "text", "print", "repeats", "class_id", "n_links")
+
+
+def ngram_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n: int = N, least: float = LEAST, most: int = MOST) -> DataFrame:
+    """(doc_id, class_id, n_links) of all documents that have a link."""
+    found = classes(docs, ident, text, n, least, most, Written(docs.sparkSession, "ngram-join"))
+    return found.where("n_links > 0").select(F.col("id").alias("doc_id"), "class_id", "n_links", "print").distinct().drop("print")
+
+
+def ngram_pairs(docs: DataFrame, ident: str = "doc_id", text: str = "text", n: int = N, least: float = LEAST, most: int = MOST) -> DataFrame:
+    """(left_print, right_print, jaccard) of the different sets that are similar enough, each named by its fingerprint()."""
+    _, active, pairs = similar_sets(docs, ident, text, n, least, most, Written(docs.sparkSession, "ngram-pairs"))
+    a, b = (active.select(F.col("k").alias(k), F.col("print").alias(p)) for k, p in (("left", "left_print"), ("right", "right_print")))
+    return pairs.join(a, "left").join(b, "right").select("left_print", "right_print", "jaccard")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents")).select("left_id", "right_id", F.round("jaccard", 6).alias("jaccard"))
+    """Every document with near or exact copies: its class and the number of documents like it."""
+    return ngram_join(table(spark, sf_dir, "documents"))
 
 
 OP1_SQL = f"""
-with w as (
+with recursive w as (
   select doc_id, list_filter(string_split_regex(lower(text), '{WORD_BREAK}'), lambda x: x <> '') as t
   from documents where doc_id is not null and text is not null),
 g as (
@@ -284,40 +451,28 @@ g as (
     else list_transform(range(1, len(t) - {N} + 2), lambda i: array_to_string(list_slice(t, i, i + {N} - 1), ' ')) end) as gram
   from w),
 s as (select doc_id, count(*) as size from g group by doc_id),
-m as (select a.doc_id as l, b.doc_id as r, count(*) as shared from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2)
-select l as left_id, r as right_id, round(shared::double / (x.size + y.size - shared), 6) as jaccard
-from m join s x on x.doc_id = l join s y on y.doc_id = r
-where shared::double / (x.size + y.size - shared) >= {LEAST}
+m as (select a.doc_id as l, b.doc_id as r, count(*) as shared from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by 1, 2),
+p as (select l, r from m join s x on x.doc_id = l join s y on y.doc_id = r where shared::double / (x.size + y.size - shared) >= {LEAST}),
+c(node, reached) as (select l, r from p union select c.node, p.r from c join p on p.l = c.reached)
+select p.l as doc_id, any_value(k.class_id) as class_id, count(*) as n_links
+from p join (select node, least(node, min(reached)) as class_id from c group by node) k on k.node = p.l group by p.l
 """
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id.
+    """One document of each class of near copies: that with the smallest doc_id.
 
-    Documents without words, and those without an id, are no copies of anything and stay. Of rows with
-    the same id and the same grams one stays."""
+    Documents without words, and those without an id, are no copies of anything and stay. Of several different texts
+    of the smallest id the set of smallest fingerprint stays, and of rows with the same id and text the least by all their columns."""
     keep = docs.columns
     write = Written(spark, "near-copies")
-    sets, pairs = similar_sets(docs, "doc_id", "text", N, LEAST, ANCHORS, MOST_BITS, write)
-    roots = write(components(spark, pairs.select(F.col("left").alias("a"), F.col("right").alias("b")), write))
-    best = sets.join(roots, sets.print == roots.node, "left").groupBy(F.coalesce("root", "print").alias("r")).agg(F.min(F.struct("first", "print")).alias("m")).select("m.*")
-    p, f, row = fresh(keep, "kept_print"), fresh(keep, "set_print"), fresh(keep, "row_number")
-    marked = with_fingerprint(docs, "text", f)
-    best = best.select(F.col("first").alias(fresh(keep, "kept_id")), F.col("print").alias(p))
-    kept_id = best.columns[0]
-    one = marked.where(col("doc_id").isNotNull() & col(f).isNotNull()).join(best, (col("doc_id") == col(kept_id)) & (col(f) == col(p)))
-    one = one.groupBy(kept_id, p).agg(F.first(F.struct(*[col(c) for c in keep])).alias("d")).select("d.*")
-    return one.unionAll(marked.where(col("doc_id").isNull() | col(f).isNull()).select(*[col(c) for c in keep]))
-
-
-def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
-    at = docs.columns.index(text)
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [fingerprint(v) if len(v) else None for v in text_sets(batch.column(at), N)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.binary())], names=[*batch.schema.names, name])
-
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType(), True)]))
+    found = write(classes(docs, "doc_id", "text", N, LEAST, MOST, write))
+    texts = found.where("id = class_id").groupBy("class_id").agg(F.min(F.struct("print", "text")).alias("best"))
+    # what isn't the one of its class, or is there several times; all others need no look
+    marked = found.join(texts.select(F.col("class_id").alias("c"), F.col("best.print").alias("p"), F.col("best.text").alias("t")), F.col("class_id") == F.col("c"), "left")
+    one = (F.col("id") == F.col("class_id")) & (F.col("print") == F.col("p")) & (F.col("text") == F.col("t"))
+    decided = write(marked.select("id", "text", one.alias("stays"), "repeats").where("not stays or repeats > 1"))
+    i, t, s, r, h = (fresh(keep, x) for x in ("found_id", "found_text", "it_stays", "its_repeats", "text_hash"))
+    joined = docs.withColumn(h, F.xxhash64(col("text"))).join(decided.toDF(i, t, s, r), (col("doc_id") == col(i)) & (col(h) == col(t)), "left")
+    repeated = least_rows(joined.where(col(s)).select(*[col(c) for c in keep], col(h)), ["doc_id", h], keep)
+    return joined.where(col(s).isNull()).select(*[col(c) for c in keep]).unionAll(repeated)
