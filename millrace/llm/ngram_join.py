@@ -60,7 +60,7 @@ def band_edges(least: float, largest: int) -> np.ndarray:
     """First sizes of bands such that the partners of a set are in its band or a neighbouring one."""
     edges = [1, 2]
     while edges[-1] <= largest:
-        edges.append(math.floor((edges[-1] - 1) / least + 1e-9) + 1)
+        edges.append(max(edges[-1], math.floor((edges[-1] - 1) / least + 1e-9)) + 1)
     return np.array(edges)
 
 
