@@ -1,6 +1,6 @@
 """Concatenate and cut: texts, each followed by an end token, form one stream that is cut into windows of fixed length.
 
-First pass: texts are sized, ordered by id over range partitions, and each partition's tokens are summed. The
+First pass: texts are sized once, their sizes written, ordered by id over range partitions, and each partition's tokens are summed. The
 prefix sums of the partition totals, a row for each partition, give where each partition begins in the stream; prefix sums inside the partitions give
 where each text begins. Second pass: every text goes to the windows that it touches, as boundary records: the text, the
 token of it with which the window's part begins, the part's length and its place in the window. Windows hold
@@ -25,8 +25,10 @@ WINDOW = 2048
 def pack(sizes: DataFrame, window: int = WINDOW, ident: str = "doc_id", tokens: str = "n_tokens") -> DataFrame:
     """(window_id, n_tokens, doc_ids, doc_starts, lengths, positions) from rows with an id and a number of tokens."""
     write = Written(sizes.sparkSession, "packing")
-    rows = sizes.where(col(tokens) > 0).select(col(ident).alias("id"), col(tokens).cast("long").alias("n"))
+    # written first: the range partitioning below samples its input, and texts are to be sized once
+    rows = write(sizes.where(col(tokens) > 0).select(col(ident).alias("id"), col(tokens).cast("long").alias("n")))
     ordered = write(rows.repartitionByRange("id", "n").withColumn("part", F.spark_partition_id()))
+    write.drop(rows)
     totals = ordered.groupBy("part").agg(F.sum("n").alias("total"))
     begins = totals.select(F.col("part").alias("p"), (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("begin"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("id", "n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
