@@ -12,7 +12,7 @@ spreads text evenly over all trigrams; it wins for text that resembles no langua
 
 Cases: a null or empty text has no text evidence, so the other evidence decides; null declarations, addresses and
 hosts are no evidence. A row is rejected if `und` wins or the winner's probability is below `least`; a row with
-neither text nor any other evidence is rejected. Repeated rows are judged alike and all kept. Ties go to the language first in the
+neither text nor any other evidence is rejected. A longer text counts more, ever more slowly but without an upper bound. Repeated rows are judged alike and all kept. Ties go to the language first in the
 alphabet. An empty table gives an empty result. Further columns of any name are carried along untouched.
 """
 
@@ -135,23 +135,27 @@ def fit_text_model(labelled: DataFrame, text: str, label: str, sample: int = 400
     return TextModel(languages, np.log((counts + alpha) / (counts.sum(1, keepdims=True) + alpha * (1 << bits))).astype(np.float32))
 
 
-def with_text_scores(df: DataFrame, model: TextModel, text: str, name: str, weight: float, most: float) -> DataFrame:
-    """df with an array column: the log likelihood of each language relative to `und`, tempered.
+def effective(n: np.ndarray, weight: float, scale: float) -> np.ndarray:
+    """For how many independent trigrams n neighbouring ones count: about weight * n of them at first, and ever more slowly more, without an upper bound."""
+    return scale * np.log1p(n * weight / scale)
 
-    Neighbouring trigrams overlap, so a text counts as `weight` times its trigrams and no more than `most`."""
-    bits, values = model.bits, model.table
+
+def text_scores(df: DataFrame, model: TextModel, text: str, weight: float = 0.25, scale: float = 60.0) -> DataFrame:
+    """df with its text replaced by `scores`, the log likelihood of each language relative to `und`, tempered, and `has_text`. Texts are read in place and not moved."""
+    bits, values, at = model.bits, model.table, df.columns.index(text)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums, n = text_sums(batch.column(text_at), values)
+            sums, n = text_sums(batch.column(at), values)
             gain = sums + (n * bits * math.log(2))[:, None]
-            gain *= (np.minimum(n * weight, most) / np.maximum(n, 1))[:, None]
+            gain *= (effective(n, weight, scale) / np.maximum(n, 1))[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, gain.size + 1, gain.shape[1], dtype=np.int32)), pa.array(gain.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, name])
+            has = pc.fill_null(pc.greater(pc.binary_length(batch.column(at)), 0), False)
+            rest = [k for k in range(batch.num_columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in rest], lists, has], names=[*[batch.schema.names[k] for k in rest], "scores", "has_text"])
 
-    text_at = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()), True)])
-    return df.mapInArrow(scored, schema)
+    fields = [f for k, f in enumerate(df.schema.fields) if k != at]
+    return df.mapInArrow(scored, T.StructType([*fields, T.StructField("scores", T.ArrayType(T.DoubleType()), True), T.StructField("has_text", T.BooleanType(), True)]))
 
 
 def domain_of(host: Column) -> Column:
@@ -163,32 +167,28 @@ def suffix_of(host: Column) -> Column:
     return F.when(host.contains("."), F.regexp_extract(F.lower(host), r"[^.]*$", 0))
 
 
-def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str | None = None, host: str | None = None, weight: float = 0.25, most: float = 60.0, smooth: float = 20.0, least: float = 0.5) -> DataFrame:
-    """df with columns language, probability and accepted (renamed with leading underscores if df has them already).
+def beside(rows: DataFrame, facts: DataFrame, on: Column, languages: int, most_bytes: int = 32 << 20) -> DataFrame:
+    """rows left joined with facts, a table of logs for each language: broadcast if it is counted to be small. Else both are shuffled; rows
+    are narrow by then, and what a hot key brings to one partition is split by the adaptive join."""
+    return rows.join(F.broadcast(facts) if facts.count() * (8 * languages + 100) <= most_bytes else facts, on, "left")
 
-    declared: column with the declared language; host: column with the host (or another source name)."""
-    spark, names, keep = df.sparkSession, model.languages, df.columns
-    score, guess, h, d, s, dom = (fresh(keep, x) for x in ("text_scores", "text_guess", "host_key", "declared_key", "suffix_key", "domain_key"))
-    own_h, own_d, own_s, hp, dp, sp = (fresh(keep, x) for x in ("found_host", "found_declared", "found_suffix", "host_logs", "declared_logs", "suffix_logs"))
-    scored = with_text_scores(df, model, text, score, weight, most)
-    scored = scored.withColumns({h: F.lower(col(host)) if host else F.lit(None).cast("string"), d: F.lower(F.trim(col(declared))) if declared else F.lit(None).cast("string")})
-    scored = scored.withColumns({dom: domain_of(col(h)), s: suffix_of(col(h)), guess: F.when(F.array_max(col(score)) > 0, F.array_position(col(score), F.array_max(col(score)).cast("double")).cast("int") - 1)})
 
+def judge(scored: DataFrame, names: tuple[str, ...], write: Written, smooth: float = 20.0, least: float = 0.5) -> DataFrame:
+    """Rows with columns scores, has_text, host and declared, and others, to these others with language, probability and accepted."""
+    rest = [c for c in scored.columns if c not in ("scores", "has_text", "host", "declared")]
+    rows = scored.withColumns({"h": F.lower("host"), "d": F.lower(F.trim("declared"))})
+    rows = write(rows.select(*rest, "scores", "has_text", "h", "d", suffix_of(F.col("h")).alias("s"), F.when(F.array_max("scores") > 0, F.array_position("scores", F.array_max("scores").cast("double")).cast("int") - 1).alias("guess")))
     # one pass: how often each host, declaration and suffix goes with each language that the text suggests
-    write = Written(spark, "language")
-    counts = scored.where(col(guess).isNotNull()).groupBy(col(h).alias("h"), col(d).alias("d"), col(guess).alias("l")).agg(F.count("*").alias("n"))
-    counts = write(counts)
+    counts = write(rows.where("guess is not null").groupBy("h", "d", F.col("guess").alias("l")).agg(F.count("*").alias("n")))
     each = range(len(names))
 
     def vectors(rows: DataFrame, key: str) -> DataFrame:
         return rows.groupBy(key).agg(F.array(*[F.sum(F.when(F.col("l") == k, F.col("n")).otherwise(0)).cast("double") for k in each]).alias("c"))
 
-    everything = counts.groupBy("l").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(len(names))
-    for r in everything:
+    for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect():  # a row for each language
         total[r.l] = r.n
-    base = (total + 1) / (total.sum() + len(names))
-    prior = [float(x) for x in base]
+    prior = [float(x) for x in (total + 1) / (total.sum() + len(names))]
     sizes = [float(x) for x in total]
 
     def total_of(c: str) -> Column:
@@ -196,33 +196,55 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str
 
     hosts = counts.where("h is not null").withColumn("dom", domain_of(F.col("h")))
     by_domain = vectors(hosts, "dom").select("dom", F.transform("c", lambda x, i: (x + smooth * F.get(F.lit(prior), i)) / (total_of("c") + smooth)).alias("pd"))
-    by_host = vectors(hosts, "h").withColumn("dom", domain_of(F.col("h"))).join(by_domain, "dom").select(F.col("h").alias(own_h), F.transform("c", lambda x, i: F.log((x + smooth * F.get("pd", i)) / (total_of("c") + smooth))).alias(hp))
+    by_host = vectors(hosts, "h").withColumn("dom", domain_of(F.col("h"))).join(by_domain, "dom").select(F.col("h").alias("own_h"), F.transform("c", lambda x, i: F.log((x + smooth * F.get("pd", i)) / (total_of("c") + smooth))).alias("hp"))
 
     def reliability(rows: DataFrame, key: str, name: str, out: str) -> DataFrame:
         """log P(value | language) for every value, smoothed towards the value's overall share."""
         n = float(total.sum()) or 1.0
         return vectors(rows, key).select(F.col(key).alias(name), F.transform("c", lambda x, i: F.log((x + smooth * total_of("c") / n) / (F.get(F.lit(sizes), i) + smooth))).alias(out))
 
-    result = scored
-    result = result.join(by_host, col(h) == col(own_h), "left")
-    result = result.join(reliability(counts.where("d is not null"), "d", own_d, dp), col(d) == col(own_d), "left")
     suffixes = counts.withColumn("s", suffix_of(F.col("h"))).where("s is not null").groupBy("s", "l").agg(F.sum("n").alias("n"))
-    result = result.join(reliability(suffixes, "s", own_s, sp), col(s) == col(own_s), "left")
+    by_host, by_declared, by_suffix = write(by_host), write(reliability(counts.where("d is not null"), "d", "own_d", "dp")), write(reliability(suffixes, "s", "own_s", "sp"))
+    write.drop(counts)
+    result = beside(rows, by_host, F.col("h") == F.col("own_h"), len(names))
+    result = beside(result, by_declared, F.col("d") == F.col("own_d"), len(names))
+    result = beside(result, by_suffix, F.col("s") == F.col("own_s"), len(names))
     zero = F.lit(0.0)
-    logs = F.transform(col(score), lambda x, i: x + F.coalesce(F.get(col(hp), i), F.log(F.get(F.lit(prior), i))) + F.coalesce(F.get(col(dp), i), zero) + F.coalesce(F.get(col(sp), i), zero))
+    logs = F.transform("scores", lambda x, i: x + F.coalesce(F.get("hp", i), F.log(F.get(F.lit(prior), i))) + F.coalesce(F.get("dp", i), zero) + F.coalesce(F.get("sp", i), zero))
     # `und` has the mean reliability of every declaration and suffix: neither speaks for it
-    mean = lambda c: F.coalesce(F.aggregate(col(c), zero, lambda a, x: a + x) / len(names), zero)
-    unknown = F.lit(math.log(0.02)) + mean(dp) + mean(sp)
-    top, logs_c = fresh(keep, "top_log"), fresh(keep, "logs")
-    result = result.withColumn(logs_c, F.concat(logs, F.array(unknown)))
-    result = result.withColumn(top, F.array_max(col(logs_c)))
-    mass = F.aggregate(col(logs_c), zero, lambda a, x: a + F.exp(x - col(top)))
-    where = F.array_position(col(logs_c), col(top)).cast("int")
-    language, probability, accepted = (fresh(keep, x) for x in ("language", "probability", "accepted"))
-    seen = fresh(keep, "seen_evidence")
-    evidence = (F.length(col(text)) > 0) | col(hp).isNotNull() | col(dp).isNotNull() | col(sp).isNotNull()
-    result = result.select(*[col(c) for c in keep], F.element_at(F.lit([*names, UNKNOWN]), where).alias(language), (1 / mass).alias(probability), F.coalesce(evidence, F.lit(False)).alias(seen))
-    return result.select(*[col(c) for c in keep], col(language), col(probability), ((col(language) != UNKNOWN) & (col(probability) >= least) & col(seen)).alias(accepted))
+    mean = lambda c: F.coalesce(F.aggregate(F.col(c), zero, lambda a, x: a + x) / len(names), zero)
+    result = result.withColumn("logs", F.concat(logs, F.array(F.lit(math.log(0.02)) + mean("dp") + mean("sp"))))
+    result = result.withColumn("top", F.array_max("logs"))
+    mass = F.aggregate("logs", zero, lambda a, x: a + F.exp(x - F.col("top")))
+    seen = F.coalesce(F.col("has_text") | F.col("hp").isNotNull() | F.col("dp").isNotNull() | F.col("sp").isNotNull(), F.lit(False))
+    language, probability = F.element_at(F.lit([*names, UNKNOWN]), F.array_position("logs", F.col("top")).cast("int")), 1 / mass
+    return result.select(*rest, language.alias("language"), probability.alias("probability"), ((language != UNKNOWN) & (probability >= least) & seen).alias("accepted"))
+
+
+def row_key(columns: list[str]) -> list[Column]:
+    """Two hashes of what a judgement rests on; null and the empty text differ."""
+    every = [x for c in columns for x in (col(c), col(c).isNull())]
+    return [F.xxhash64(*every).alias("key_1"), F.xxhash64(F.lit(1), *reversed(every)).alias("key_2")]
+
+
+def judgements(df: DataFrame, model: TextModel, text: str, declared: str | None, host: str | None, write: Written, **more: float) -> tuple[list[Column], DataFrame]:
+    """The key of a row of df, and the judgement for each key: rows alike in text, declaration and host are judged alike."""
+    none = F.lit(None).cast("string")
+    key = row_key([c for c in (text, declared, host) if c])
+    narrow = df.select(*key, col(text).alias("text"), (col(declared).cast("string") if declared else none).alias("declared"), (col(host).cast("string") if host else none).alias("host"))
+    return key, judge(text_scores(narrow, model, "text"), model.languages, write, **more)
+
+
+def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str | None = None, host: str | None = None, **more: float) -> DataFrame:
+    """df with columns language, probability and accepted (renamed with leading underscores if df has them already).
+
+    declared: column with the declared language; host: column with the host (or another source name)."""
+    write, keep = Written(df.sparkSession, "language"), df.columns
+    key, judged = judgements(df, model, text, declared, host, write, **more)
+    names = [fresh(keep, x) for x in ("key_1", "key_2", "own_1", "own_2", "language", "probability", "accepted")]
+    judged = write(judged.dropDuplicates(["key_1", "key_2"])).toDF(*names[2:])
+    a, b, x, y = (col(n) for n in names[:4])
+    return df.withColumns(dict(zip(names, key))).join(judged, (a == x) & (b == y)).select(*[col(c) for c in [*keep, *names[4:]]])
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -246,20 +268,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its language, judged from its text and, where a page shows it, from the page's markup and address."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     model = fit_text_model(docs, "text", "lang")
-    evidence = page_evidence(table(spark, sf_dir, "pages"))
-    # the keys meet first, then texts are scored in place
-    joined = docs.join(evidence, docs.doc_id == evidence.page_doc, "left").select("doc_id", "text", F.coalesce("page_host", "source").alias("host"), "page_lang")
     if model is None:
-        return joined.select("doc_id", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("accepted"))
-    return identify(joined, model, declared="page_lang", host="host").select("doc_id", "language", F.round("probability", 6).alias("probability"), "accepted")
+        return docs.select("doc_id", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("accepted"))
+    # texts are scored where they are read; what meets the pages is the scores
+    scored = text_scores(docs.select("doc_id", "source", "text"), model, "text")
+    evidence = page_evidence(table(spark, sf_dir, "pages"))
+    joined = scored.join(evidence, scored.doc_id == evidence.page_doc, "left").select("doc_id", "scores", "has_text", F.coalesce("page_host", "source").alias("host"), F.col("page_lang").alias("declared"))
+    return judge(joined, model.languages, Written(spark, "language")).select("doc_id", "language", F.round("probability", 6).alias("probability"), "accepted")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are accepted; declared language and source are evidence beside the text.
+    """The documents that are accepted; declared language and source are evidence beside the text. Only the keys of rejected ones meet the texts.
 
     Where no label has enough rows for a model, no language can be found: every document is `und` and none is accepted, as in op5."""
     model = fit_text_model(docs, "text", "lang")
     if model is None:
         return docs.where(F.lit(False))
-    found = identify(docs, model, declared="lang", host="source")
-    return found.where(col(found.columns[-1])).select(*[col(c) for c in docs.columns])
+    write, keep = Written(spark, "language"), docs.columns
+    key, judged = judgements(docs, model, "text", "lang", "source", write)
+    a, b, x, y = (fresh(keep, c) for c in ("key_1", "key_2", "own_1", "own_2"))
+    out = write(judged.where("not accepted").select("key_1", "key_2").distinct()).toDF(x, y)
+    return docs.withColumns(dict(zip((a, b), key))).join(out, (col(a) == col(x)) & (col(b) == col(y)), "left_anti").select(*[col(c) for c in keep])
