@@ -94,6 +94,10 @@ class Written:
                 p = jvm.org.apache.hadoop.fs.Path(found[1])
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def drop_all_but(self, *dfs: DataFrame) -> None:
+        """What a result that is written itself no longer needs."""
+        self.drop(*[df for df, _ in list(self.paths.values()) if all(df is not x for x in dfs)])
+
     def _leave(self) -> None:
         with contextlib.suppress(Exception):  # the JVM may be gone
             self.close()

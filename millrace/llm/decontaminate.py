@@ -1,23 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval with checks on word order and answers.
 
-1. Texts become sequences of term numbers. Terms are the words of the benchmark; other words cannot match and have
-   no number. Document frequencies are counted over all documents in the same pass.
+1. Texts become sequences of 32-bit word hashes. All words of the corpus have a column, of 2**16 hashed ones; document frequencies of
+   columns, and of the benchmark's words apart, are counted over all documents in the same pass.
 2. Passages are the successive 64-word cuts of all documents, as TF-IDF rows of a matrix A. Its right singular vectors and
    values come from a randomised decomposition in one further pass: every partition adds its share of Y = A'(A G) for
-   a Gaussian matrix G; the shares are summed in blocks of terms, and the Nystroem formula gives the factors from Y and G.
-   What reaches the driver is Y, terms times `rank` numbers, which depends on the benchmark alone.
-3. Latent vectors are scaled by the inverse singular values, so that frequent words don't drown the others. At every eighth word a window
-   begins, of twice to about four times an item's length; it is a candidate for the items of that length with which its cosine
-   is at least `cosine`. Where the words around an item are the benchmark's too, they drown it in the cosine. So a window is also a
-   candidate where the item's words in it, summed by weight, could reach a share of `weak`: no leak is lost to the cosine.
-4. A candidate is verified on its words: by the weights of the item's words that occur at all (an upper bound), then by the heaviest
-   common subsequence, each word weighing its inverse document frequency. A share of `strong` of the item's weight is a leak;
-   a share from `weak` on is one if `answer_share` of the answer's weight is found in order too. The answer is a column of the benchmark; where it
+   a Gaussian matrix G; the shares are summed in blocks of columns, and the Nystroem formula gives the factors from Y and G.
+   What reaches the driver is Y, columns times `rank` numbers, whatever the size of the corpus.
+3. At every eighth word a window begins, of twice to about four times an item's length. An inverted index of the items' rarer words gives
+   the windows that hold enough of one of them; no other window could pass the checks, and items that share no such word with a window cost nothing.
+   Where all of the item's words in the window could weigh a share of `weak`, it is a candidate. Where they could weigh `loose`, it is one
+   if its cosine with the item in the latent space is at least `near`: latent vectors are scaled by the inverse singular values, so that frequent
+   words don't drown the others, and words outside the benchmark count by the company they keep.
+4. A candidate is verified by the heaviest common subsequence, each word weighing its inverse document frequency. A share of `strong` of the
+   item's weight is a leak; a share from `weak` on is one if `answer_share` of the answer's weight is found in order too; and a share from `loose` on,
+   a paraphrase, if besides the answer the cosine is at least `near`. The answer is a column of the benchmark; where it
    is missing or null, the last quarter of the item's words stands for it.
 
 Cases: a null or empty text leaks nothing and is kept; an item without words matches nothing. Items that are alike are each
 reported. Rows with a null id take part and are reported with a null id; several rows of one id are reported once with their best share. Texts and items are
-read whole, whatever their length. An empty benchmark or an empty table gives no leaks. Further columns are carried along by the stage.
+read whole, whatever their length. An empty benchmark or an empty table gives no leaks. The driver reads the benchmark, whose size is checked first; one of
+more than MOST_BENCHMARK bytes is an error and to be given in parts. Further columns are carried along by the stage.
 """
 
 from __future__ import annotations
@@ -34,46 +36,45 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import Written, col, table
 from .vectext import slices, words
 
-RANK, COSINE, STRONG, WEAK, ANSWER_SHARE = 64, 0.4, 0.6, 0.4, 0.75
-BLOCK, PASSAGE, COLUMNS = 8, 64, 256
+RANK, NEAR, STRONG, WEAK, LOOSE, ANSWER_SHARE = 32, 0.5, 0.6, 0.4, 0.25, 0.75
+BLOCK, PASSAGE, COLUMNS, HEAD, MOST_BENCHMARK = 8, 64, 1 << 16, 0.1, 256 << 20
 
 
 @dataclass(frozen=True)
 class Items:
-    """The benchmark: sorted word hashes of the vocabulary, and each item's terms and answer's terms."""
+    """The benchmark: sorted word hashes of its vocabulary, and each item's words and answer's words as places in it."""
 
     ids: list
     vocabulary: np.ndarray
     terms: list[np.ndarray]
     answers: list[np.ndarray]
 
-    @property
-    def kind(self) -> type:
-        return np.uint16 if len(self.vocabulary) < 0xFFFF else np.uint32
-
     @property
     def lookup(self) -> tuple[np.ndarray, int]:
         """A table from the low bits of word hashes to terms, sparse enough for few to share a place."""
         bits = max(12, int(8 * len(self.vocabulary)).bit_length())
         at = np.full(1 << bits, len(self.vocabulary), np.int64)
-        at[(self.vocabulary & np.uint64((1 << bits) - 1)).astype(np.int64)] = np.arange(len(self.vocabulary))
+        at[(self.vocabulary & np.uint32((1 << bits) - 1)).astype(np.int64)] = np.arange(len(self.vocabulary))
         return at, bits
 
 
 def hashes_of(texts: list[str | None]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
-    for _, n, data, offsets in slices(pa.array(texts, pa.large_string()), lower=True):
-        h, bounds = words(data, offsets)
+    for _, n, h, bounds in sequences(pa.array(texts, pa.large_string())):
         out += [h[bounds[i] : bounds[i + 1]] for i in range(n)]
     return out
 
 
 def read_items(benchmark: DataFrame, ident: str = "item_id", text: str = "text", answer: str = "answer") -> Items:
-    """The benchmark is a table of questions, which is small beside any corpus; the driver reads it whole."""
+    """The benchmark is a table of questions, which is small beside any corpus; its size is checked before the driver reads it."""
     has = answer in benchmark.columns
-    rows = benchmark.select(col(ident).alias("i"), col(text).cast("string").alias("t"), (col(answer).cast("string") if has else F.lit(None).cast("string")).alias("a")).collect()
+    rows = benchmark.select(col(ident).alias("i"), col(text).cast("string").alias("t"), (col(answer).cast("string") if has else F.lit(None).cast("string")).alias("a"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0)) + 64)).first()[0] or 0
+    if size > MOST_BENCHMARK:
+        raise ValueError(f"the benchmark has {size} bytes, more than {MOST_BENCHMARK}: give it in parts")
+    rows = rows.collect()
     items, answers = hashes_of([r.t for r in rows]), hashes_of([r.a for r in rows])
-    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *items, *answers]))
+    every = np.unique(np.concatenate([np.zeros(0, np.uint32), *items, *answers]))
     terms = [np.searchsorted(every, x) for x in items]
     own = [np.searchsorted(every, a) if len(a) else t[len(t) - len(t) // 4 :] for a, t in zip(answers, terms)]
     return Items([r.i for r in rows], every, terms, own)
@@ -84,44 +85,47 @@ def terms_of(hashes: np.ndarray, items: Items, lookup: tuple[np.ndarray, int]) -
     at, bits = lookup
     n = len(items.vocabulary)
     if not n:
-        return np.zeros(len(hashes), items.kind)
-    out = at[(hashes & np.uint64((1 << bits) - 1)).astype(np.int64)]
+        return np.zeros(len(hashes), np.int64)
+    out = at[(hashes & np.uint32((1 << bits) - 1)).astype(np.int64)]
     wrong = np.flatnonzero((out < n) & (items.vocabulary[np.minimum(out, n - 1)] != hashes))
     if len(wrong):  # words that share a place of the table
         found = np.searchsorted(items.vocabulary, hashes[wrong])
         out[wrong] = np.where(items.vocabulary[np.minimum(found, n - 1)] == hashes[wrong], found, n)
-    return out.astype(items.kind)
+    return out
+
+
+def columns_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint32(COLUMNS - 1)).astype(np.int64)
 
 
-def sequences(column: pa.Array, items: Items, lookup: tuple[np.ndarray, int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, terms, bounds) of texts."""
+def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, word hashes, bounds) of texts."""
     for at, n, data, offsets in slices(column, lower=True):
         h, bounds = words(data, offsets)
-        yield at, n, terms_of(h, items, lookup), bounds
+        yield at, n, (h >> np.uint64(32)).astype(np.uint32), bounds
 
 
 def _read(items: Items):
-    """Texts to rows (id, terms) and, once for each task, the document frequencies (a row without id, kind 1)."""
-    size = len(items.vocabulary)
+    """Texts to rows (id, hashes) and, once for each task, the document frequencies of columns (kind 1) and terms (kind 2), with the number of texts last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, seen, n, kind = items.lookup, np.zeros(size + 1, np.int64), 0, None
+        lookup, n, kind, size = items.lookup, 0, None, len(items.vocabulary)
+        columns, terms = np.zeros(COLUMNS, np.int64), np.zeros(size + 1, np.int64)
         names = ["id", "kind", "blob"]
         for batch in batches:
             kind = batch.column(0).type
-            for at, rows, terms, bounds in sequences(batch.column(1), items, lookup):
-                for a in range(0, rows, 256):
-                    b = min(rows, a + 256)
-                    there = np.zeros((b - a, size + 1), bool)
-                    some = terms[bounds[a] : bounds[b]]
-                    there[np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1])), some] = True
-                    seen += there.sum(0)
+            for at, rows, h, bounds in sequences(batch.column(1)):
+                both = np.repeat(np.arange(rows, dtype=np.uint64) << np.uint64(32), np.diff(bounds)) | h
+                both.sort()
+                once = both[np.concatenate(([True], both[1:] != both[:-1]))].astype(np.uint32) if len(both) else h
+                columns += np.bincount(columns_of(once), minlength=COLUMNS)
+                terms += np.bincount(terms_of(once, items, lookup), minlength=size + 1)
                 n += rows
-                blobs = [terms[bounds[i] : bounds[i + 1]].tobytes() for i in range(rows)]
+                blobs = [h[bounds[i] : bounds[i + 1]].tobytes() for i in range(rows)]
                 yield pa.record_batch([batch.column(0).slice(at, rows), pa.array(np.zeros(rows, np.int32)), pa.array(blobs, pa.binary())], names=names)
         if n:
-            seen[size] = n
-            yield pa.record_batch([pa.nulls(1, kind), pa.array([1], pa.int32()), pa.array([seen.tobytes()], pa.binary())], names=names)
+            terms[size] = n
+            yield pa.record_batch([pa.nulls(2, kind), pa.array([1, 2], pa.int32()), pa.array([columns.astype(np.int32).tobytes(), terms.tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -141,9 +145,8 @@ def summed(shares: DataFrame, dtype: str) -> dict[int, np.ndarray]:
     return {r.part: np.frombuffer(r.blob, dtype) for r in first.repartition("part").mapInArrow(add, "part int, blob binary").collect()}
 
 
-def joined(blobs: list[bytes], items: Items) -> tuple[np.ndarray, np.ndarray]:
-    terms = np.frombuffer(b"".join(blobs), items.kind)
-    return terms, np.concatenate(([0], np.cumsum([len(x) // terms.itemsize for x in blobs])))
+def joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(blobs), np.uint32), np.concatenate(([0], np.cumsum([len(x) // 4 for x in blobs])))
 
 
 def groups(blobs: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
@@ -160,43 +163,38 @@ def gaussian(size: int, rank: int) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((size, rank)).astype(np.float32)
 
 
-def passage_share(terms: np.ndarray, bounds: np.ndarray, idf: np.ndarray, g: np.ndarray, into: np.ndarray) -> None:
-    """Adds A'(A G) of these texts to `into`. A passage's row has length 1."""
+def passage_share(t: np.ndarray, bounds: np.ndarray, idf: np.ndarray, g: np.ndarray, into: np.ndarray) -> None:
+    """Adds A'(A G) of these texts, given as columns, to `into`. A passage's row has length 1."""
+    if not len(t):
+        return
     size = len(idf)
-    at = np.arange(len(terms)) - np.repeat(bounds[:-1], np.diff(bounds))
+    at = np.arange(len(t)) - np.repeat(bounds[:-1], np.diff(bounds))
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    known = np.flatnonzero(terms < size)
-    if not len(known):
-        return
-    t = terms[known].astype(np.int64)
-    new = np.ones(len(known), bool)
-    p, r = at[known] // PASSAGE, row[known]
-    new[1:] = (p[1:] != p[:-1]) | (r[1:] != r[:-1])
+    new = np.ones(len(t), bool)
+    p = at // PASSAGE
+    new[1:] = (p[1:] != p[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     passage = np.cumsum(new) - 1
-    # the length of a row needs its counts of each term
-    pair, back, n = np.unique(passage * size + t, return_inverse=True, return_counts=True)
+    # the length of a row needs its counts of each column
+    pair, n = np.unique(passage * size + t, return_counts=True)
     norm = np.sqrt(np.bincount(pair // size, (n * idf[pair % size]) ** 2, minlength=len(first)))
     weight = (idf[t] / np.maximum(norm[passage], 1e-9)).astype(np.float32)
     z = np.add.reduceat(g[t] * weight[:, None], first, axis=0)
-    order = np.argsort(t.astype(items_kind(size)), kind="stable")
+    order = np.argsort(t.astype(np.uint16), kind="stable")
     sorted_ = t[order]
     cuts = np.flatnonzero(np.diff(sorted_, prepend=-1))
     into[sorted_[cuts]] += np.add.reduceat(z[passage[order]] * weight[order][:, None], cuts, axis=0)
 
 
-def items_kind(size: int) -> type:
-    return np.uint16 if size < 0xFFFF else np.uint32
-
-
-def _share(items: Items, idf: np.ndarray, rank: int, block: int = 1024):
+def _share(idf: np.ndarray, rank: int, block: int = 4096):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = gaussian(len(idf), rank)
-        y = np.zeros(g.shape, np.float64)
+        y = np.zeros(g.shape, np.float32)
         for batch in batches:
             blobs = batch.column(0).to_pylist()
             for a, b in groups(blobs):
-                passage_share(*joined(blobs[a:b], items), idf, g, y)
+                h, bounds = joined(blobs[a:b])
+                passage_share(columns_of(h), bounds, idf, g, y)
         parts = range(0, len(idf), block)
         yield pa.record_batch([pa.array([p // block for p in parts], pa.int32()), pa.array([y[p : p + block].tobytes() for p in parts], pa.binary())], names=["part", "blob"])
 
@@ -216,132 +214,145 @@ def factors(y: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """Candidates by cosine, and their verification, for sequences of terms."""
-
-    def __init__(self, items: Items, idf: np.ndarray, latent: np.ndarray, cosine: float, strong: float, weak: float, answer_share: float):
-        self.items, self.idf, self.cosine, self.strong, self.weak, self.answer_share = items, idf, cosine, strong, weak, answer_share
-        self.size = len(idf)
-        self.map = np.concatenate((latent * idf[:, None].astype(np.float32), np.zeros((1, latent.shape[1]), np.float32)))
-        self.weight = np.append(idf, 0.0).astype(np.float32)
-        self.classes: dict[int, list[int]] = {}
-        for k, t in enumerate(items.terms):
-            if len(t):
-                blocks = 2
-                while blocks * BLOCK < len(t) + BLOCK - 1:
-                    blocks *= 2
-                self.classes.setdefault(blocks, []).append(k)
-        self.query = {}
-        for blocks, own in self.classes.items():
-            q = np.stack([self.map[items.terms[k]].sum(0) for k in own])
-            self.query[blocks] = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        self.widest = max(self.classes, default=0)
-        self.has = {k: self._mask(items.terms[k]) for own in self.classes.values() for k in own}
-        self.total = {k: float(self.weight[items.terms[k]].sum()) for k in self.has}
-        self.bounds = {blocks: [self._bound(own[a : a + COLUMNS]) for a in range(0, len(own), COLUMNS)] for blocks, own in self.classes.items()}
-
-    def _mask(self, terms: np.ndarray) -> np.ndarray:
-        """For each term the weight with which its occurrences in the item can count."""
-        out = np.zeros(self.size + 1, np.float32)
-        np.add.at(out, terms, self.weight[terms])
-        return out
-
-    def _bound(self, own: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The row of each term, for each row the weights it has in these items, and the least weight that each item needs."""
-        used = np.unique(np.concatenate([self.items.terms[k] for k in own]))
-        row = np.full(self.size + 1, len(used), np.int32)
-        row[used] = np.arange(len(used))
-        weights = np.ascontiguousarray(np.stack([self.has[k][used] for k in own], axis=1))
-        # a little less than verify() asks for, as sums are rounded here in another order
-        return row, weights, np.array([(self.weak - 1e-4) * self.total[k] for k in own], np.float32)
-
-    def reachable(self, flat: np.ndarray, real: np.ndarray, width: int) -> np.ndarray:
-        """Windows x items of this width: whether the item's words in all that verify() looks at can weigh enough."""
-        out = []
-        for row, weights, least in self.bounds[width]:
-            place = row[flat]
-            known = np.flatnonzero(place < len(weights))
-            one = np.zeros((len(flat) // BLOCK + 1, weights.shape[1]), np.float32)  # an empty block before the first
-            for cut in range(0, len(known), 1 << 13):
-                at = known[cut : cut + (1 << 13)]
-                block = at // BLOCK
-                first = np.flatnonzero(np.diff(block, prepend=-1))
-                one[block[first] + 1] += np.add.reduceat(weights[place[at]], first, axis=0)
-            many, reach = one.copy(), 1
-            while reach < width:
-                many[:-reach] += many[reach:].copy()
-                reach *= 2
-            # the window's blocks, one before and one after them
-            many[: -width - 1] += one[width:-1] + one[width + 1 :]
-            out.append(many[real] >= least)
-        return np.concatenate(out, axis=1)
-
-    def __call__(self, terms: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float]]:
+    """Candidates by rare words and cosine, and their verification, for sequences of word hashes."""
+
+    def __init__(self, items: Items, term_idf: np.ndarray, idf: np.ndarray, latent: np.ndarray, near: float, strong: float, weak: float, loose: float, answer_share: float):
+        self.items, self.near, self.strong, self.weak, self.loose, self.answer_share = items, near, strong, weak, min(loose, weak), answer_share
+        self.size, self.lookup = len(items.vocabulary), items.lookup
+        self.map = latent * idf[:, None].astype(np.float32)
+        self.weight = np.append(term_idf, 0.0).astype(np.float32)
+        own = [k for k, t in enumerate(items.terms) if len(t)]
+        self.width, self.total, self.least = (np.zeros(len(items.terms), t) for t in (np.int64, np.float64, np.float64))
+        terms, of = [], []
+        for k in own:
+            t = items.terms[k]
+            blocks = 2
+            while blocks * BLOCK < len(t) + BLOCK - 1:
+                blocks *= 2
+            self.width[k], self.total[k] = blocks, self.weight[t].sum(dtype=np.float64)
+            # the index has the rarer words; the others weigh no more than HEAD of the item together
+            once, n = np.unique(t, return_counts=True)
+            once = once[order := np.argsort(self.weight[once], kind="stable")]
+            head = np.cumsum(self.weight[once] * n[order], dtype=np.float64) <= HEAD * self.total[k]
+            self.least[k] = (self.loose - 1e-4) * self.total[k] - float((self.weight[once] * n[order])[head].sum())
+            terms.append(once[~head])
+            of.append(np.full(int((~head).sum()), k))
+        terms, of = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (terms, of))
+        order = np.argsort(terms, kind="stable")
+        self.posting, self.begin = of[order], np.searchsorted(terms[order], np.arange(self.size + 2))
+        self.widest = int(self.width.max(initial=0))
+        self.query = np.zeros((len(items.terms), latent.shape[1]), np.float32)
+        for k in own:
+            q = self.map[columns_of(items.vocabulary[items.terms[k]])].sum(0)
+            self.query[k] = q / max(float(np.linalg.norm(q)), 1e-12)
+        self.scratch = np.zeros(self.size + 1, np.float32)
+
+    def windows(self, flat: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block, item) of the windows, begun at real blocks, that with the blocks around them hold enough of the item's indexed words."""
+        n = self.begin[flat + 1] - self.begin[flat]
+        at = np.flatnonzero(n)
+        n = n[at]
+        place = np.repeat(self.begin[flat[at]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+        item, block = self.posting[place], np.repeat(at // BLOCK, n)
+        blocks, none = len(flat) // BLOCK, np.zeros(0, np.int64)
+        if not len(item):
+            return none, none
+        stride = blocks + 2 * self.widest + 8
+        key = item * stride + block
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        sums = np.concatenate(([0.0], np.cumsum(np.add.reduceat(np.repeat(self.weight[flat[at]], n)[order].astype(np.float64), first))))
+        key = key[first]
+        item, block = key // stride, key % stride
+        reach = self.width[item] + 2
+
+        def held(begin: np.ndarray, reach: np.ndarray) -> np.ndarray:
+            return sums[np.searchsorted(key, begin + reach)] - sums[np.searchsorted(key, begin)]
+
+        hit = np.flatnonzero(held(key, reach) >= self.least[item])
+        if not len(hit):
+            return none, none
+        # of the windows that begin with this block or before it, and have it in reach, those that hold enough
+        back = np.repeat(reach[hit], reach[hit])
+        step = np.arange(len(back)) - np.repeat(np.cumsum(reach[hit]) - reach[hit], reach[hit])
+        begin = np.repeat(block[hit] + 1, reach[hit]) - step
+        item = np.repeat(item[hit], reach[hit])
+        ok = (begin >= 0) & (begin < blocks)
+        ok[ok] = real[begin[ok]]
+        once = np.unique(item[ok] * stride + begin[ok])
+        item, begin = once // stride, once % stride
+        good = held(np.maximum(once - 1, item * stride), self.width[item] + 2) >= self.least[item]
+        return begin[good], item[good]
+
+    def __call__(self, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float]]:
         """(text, item, share of the item's weight) of all leaks."""
-        if not self.widest or not len(terms):
+        if not self.widest or not len(hashes):
             return []
         # texts in blocks of eight words, with empty blocks between them
         n = np.diff(bounds)
         blocks = (n + BLOCK - 1) // BLOCK
-        begin = np.concatenate(([0], np.cumsum(blocks + self.widest)))
+        gap = self.widest + 2
+        begin = np.concatenate(([0], np.cumsum(blocks + gap)))
+        place = np.repeat(begin[:-1] * BLOCK - bounds[:-1], n) + np.arange(len(hashes))
         flat = np.full(int(begin[-1]) * BLOCK, self.size, np.int64)
-        flat[np.repeat(begin[:-1] * BLOCK - bounds[:-1], n) + np.arange(len(terms))] = terms
-        real = np.flatnonzero(np.repeat(np.tile([True, False], len(n)), np.stack((blocks, np.full(len(n), self.widest)), 1).ravel()))
-        text_of = np.repeat(np.arange(len(n)), blocks)
-        known = np.flatnonzero(flat < self.size)
-        sums = np.zeros((int(begin[-1]), self.map.shape[1]), np.float32)
-        for cut in range(0, len(known), 1 << 13):  # a few words at a time stay in the processor's cache
-            at = known[cut : cut + (1 << 13)]
-            block = at // BLOCK
-            first = np.flatnonzero(np.diff(block, prepend=-1))
-            sums[block[first]] += np.add.reduceat(self.map[flat[at]], first, axis=0)
+        flat[place] = terms_of(hashes, self.items, self.lookup)
+        real = np.repeat(np.tile([True, False], len(n)), np.stack((blocks, np.full(len(n), gap)), 1).ravel())
+        text_of = np.repeat(np.arange(len(n)), blocks + gap)
+        block, item = self.windows(flat, real)
+        if not len(block):
+            return []
+        column = np.full(len(flat), -1, np.int64)
+        column[place] = columns_of(hashes)
         out: list[tuple[int, int, float]] = []
-        width = 1
-        while width <= self.widest:
-            if width in self.query:
-                reachable = self.reachable(flat, real, width)
-                for cut in range(0, len(real), 1 << 14):
-                    r = real[cut : cut + (1 << 14)]
-                    x = sums[r]
-                    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-                    near = x @ self.query[width].T >= self.cosine * np.maximum(norm, 1e-12)[:, None]
-                    w, q = np.nonzero(near | reachable[cut : cut + (1 << 14)])
-                    if len(w):
-                        out += self.verify(flat, r[w], np.array(self.classes[width])[q], width, text_of[cut + w])
-            # windows of twice the width; what lies beyond a text is empty
-            sums[:-width] += sums[width:].copy() if width < len(sums) else 0
-            width *= 2
+        cuts = np.flatnonzero(np.diff(item, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(item)]):
+            for cut in range(a, b, 4096):
+                out += self.verify(flat, column, block[cut : min(b, cut + 4096)], int(item[a]), text_of)
         return out
 
-    def verify(self, flat: np.ndarray, block: np.ndarray, item: np.ndarray, width: int, text: np.ndarray) -> list[tuple[int, int, float]]:
-        found = []
-        reach = np.arange(-BLOCK, (width + 1) * BLOCK)
-        for k in np.unique(item).tolist():
-            own = np.flatnonzero(item == k)
-            if self.total[k] <= 0:
-                continue
-            places = block[own][:, None] * BLOCK + reach
-            inside = (places >= 0) & (places < len(flat))
-            near = np.where(inside, flat[np.clip(places, 0, len(flat) - 1)], self.size)
-            # what lies around a text are empty blocks, at least as many as a window has
-            least = (self.weak - 1e-6) * self.total[k]
-            own = own[(rough := self.has[k][near].sum(1) >= least)]
-            near = near[rough]
-            ordered = np.sort(near, axis=1)
-            fresh_ = np.ones(ordered.shape, bool)
-            fresh_[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-            bound = (self.has[k][ordered] * fresh_).sum(1)
-            good = np.flatnonzero(bound >= least)
-            for cut in range(0, len(good), 4096):
-                g = good[cut : cut + 4096]
-                share = self.heaviest(near[g], self.items.terms[k]) / self.total[k]
-                leak = share >= self.strong - 1e-6
-                maybe = np.flatnonzero((share >= self.weak - 1e-6) & ~leak)
-                answer = self.items.answers[k]
-                whole = float(self.weight[answer].sum())
-                if len(maybe) and whole > 0:
-                    leak[maybe] = self.heaviest(near[g[maybe]], answer) >= (self.answer_share - 1e-6) * whole
-                found += [(int(text[own[x]]), k, float(s)) for x, s in zip(g[leak], share[leak])]
-        return found
+    def cosines(self, column: np.ndarray, block: np.ndarray, item: int) -> np.ndarray:
+        """Of windows with the item, in the latent space."""
+        places = block[:, None] * BLOCK + np.arange(int(self.width[item]) * BLOCK)
+        own = column[np.minimum(places, len(column) - 1)]
+        out = np.zeros(len(block))
+        for k, c in enumerate(own):
+            x = self.map[c[c >= 0]].sum(0)
+            out[k] = float(x @ self.query[item]) / max(float(np.linalg.norm(x)), 1e-12)
+        return out
+
+    def verify(self, flat: np.ndarray, column: np.ndarray, block: np.ndarray, k: int, text_of: np.ndarray) -> list[tuple[int, int, float]]:
+        """Windows that begin at these blocks against one item."""
+        total = float(self.total[k])
+        if total <= 0:
+            return []
+        places = block[:, None] * BLOCK + np.arange(-BLOCK, (int(self.width[k]) + 1) * BLOCK)
+        near = np.where((places >= 0) & (places < len(flat)), flat[np.clip(places, 0, len(flat) - 1)], self.size)
+        terms = self.items.terms[k]
+        np.add.at(self.scratch, terms, self.weight[terms])
+        ordered = np.sort(near, axis=1)
+        once = np.ones(ordered.shape, bool)
+        once[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        bound = (self.scratch[ordered] * once).sum(1) / total
+        self.scratch[terms] = 0
+        keep = bound >= self.loose - 1e-6
+        block, near, bound = block[keep], near[keep], bound[keep]
+        cosine = np.full(len(block), np.nan)
+        below = np.flatnonzero(bound < self.weak - 1e-6)
+        cosine[below] = self.cosines(column, block[below], k)
+        go = ~(cosine < self.near)
+        block, near, cosine = block[go], near[go], cosine[go]
+        share = self.heaviest(near, terms) / total
+        leak = share >= self.strong - 1e-6
+        maybe = np.flatnonzero((share >= self.loose - 1e-6) & ~leak)
+        answer = self.items.answers[k]
+        whole = float(self.weight[answer].sum())
+        if len(maybe) and whole > 0:
+            maybe = maybe[self.heaviest(near[maybe], answer) >= (self.answer_share - 1e-6) * whole]
+            far = maybe[(share[maybe] < self.weak - 1e-6) & np.isnan(cosine[maybe])]
+            cosine[far] = self.cosines(column, block[far], k)
+            leak[maybe] = (share[maybe] >= self.weak - 1e-6) | (cosine[maybe] >= self.near)
+        return [(int(text_of[block[x]]), k, float(share[x])) for x in np.flatnonzero(leak)]
 
     def heaviest(self, near: np.ndarray, item: np.ndarray) -> np.ndarray:
         """The weight of the heaviest common subsequence of the item with each row."""
@@ -356,51 +367,58 @@ class Search:
         return best[:, -1]
 
 
-def prepare(docs: DataFrame, items: Items, ident: str, text: str, rank: int, write: Written) -> tuple[DataFrame, np.ndarray, np.ndarray] | None:
-    """The written sequences, the inverse document frequencies and the latent map; None if there is nothing to search."""
+def inverse(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((n + 1) / (np.minimum(df, n) + 1)) + 0.05
+
+
+def prepare(docs: DataFrame, items: Items, ident: str, text: str, rank: int, write: Written) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+    """The written sequences, and the inverse document frequencies of terms and columns with the latent map; None if there is nothing to search."""
     kind = docs.schema[ident].dataType.simpleString()
     size = len(items.vocabulary)
     if not size:
         return None
     made = write(docs.select(col(ident).alias("id"), col(text).alias("text")).mapInArrow(_read(items), f"id {kind}, kind int, blob binary"))
-    counts = summed(made.where("kind = 1").select(F.lit(0).alias("part"), "blob"), "int64")
+    one = F.lit(0).alias("part")
+    counts = summed(made.where("kind = 2").select(one, "blob"), "int64")
     if not counts:
         return None
-    df, n = counts[0][:size], int(counts[0][size])
-    idf = np.log((n + 1) / (df + 1)) + 0.05
-    rank = min(rank, size)
-    shares = made.where("kind = 0").select("blob").mapInArrow(_share(items, idf, rank), "part int, blob binary")
-    found = summed(shares, "float64")
-    y = np.concatenate([found[k] for k in sorted(found)]).reshape(size, rank)
+    n = int(counts[0][size])
+    term_idf, idf = inverse(counts[0][:size], n), inverse(summed(made.where("kind = 1").select(one, "blob"), "int32")[0].astype(np.int64), n)
+    shares = made.where("kind = 0").select("blob").mapInArrow(_share(idf, rank), "part int, blob binary")
+    found = summed(shares, "float32")
+    y = np.concatenate([found[k] for k in sorted(found)]).reshape(COLUMNS, rank).astype(np.float64)
     if not np.abs(y).max() > 0:
         return None
-    return made.where("kind = 0").select("id", "blob"), idf, factors(y, gaussian(size, rank).astype(np.float64))
+    return made.where("kind = 0").select("id", "blob"), (term_idf, idf, factors(y, gaussian(COLUMNS, rank).astype(np.float64)))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", rank: int = RANK, cosine: float = COSINE, strong: float = STRONG, weak: float = WEAK, answer_share: float = ANSWER_SHARE, item: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", rank: int = RANK, near: float = NEAR, strong: float = STRONG, weak: float = WEAK, loose: float = LOOSE, answer_share: float = ANSWER_SHARE, item: str = "item_id") -> DataFrame:
     """(doc_id, item_id, share) of documents that hold a benchmark item."""
     spark = docs.sparkSession
     items = read_items(benchmark, item)
     kinds = docs.schema[ident].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, share double"
-    ready = prepare(docs, items, ident, text, rank, Written(spark, "decontaminate"))
+    write = Written(spark, "decontaminate")
+    ready = prepare(docs, items, ident, text, rank, write)
     if ready is None:
         return spark.createDataFrame([], schema)
-    rows, idf, latent = ready
+    rows, model = ready
     item_kind = to_arrow_type(benchmark.schema[item].dataType)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(items, idf, latent, cosine, strong, weak, answer_share)
+        search = Search(items, *model, near, strong, weak, loose, answer_share)
         for batch in batches:
             blobs = batch.column(1).to_pylist()
             for a, b in groups(blobs):
                 best: dict[tuple[int, int], float] = {}
-                for d, k, s in search(*joined(blobs[a:b], items)):
+                for d, k, s in search(*joined(blobs[a:b])):
                     best[d + a, k] = max(s, best.get((d + a, k), 0.0))
                 ids = [items.ids[k] for _, k in best]
                 yield pa.record_batch([batch.column(0).take(pa.array([d for d, _ in best], pa.int64())), pa.array(ids, item_kind), pa.array(list(best.values()), pa.float64())], names=["doc_id", "item_id", "share"])
 
-    return rows.mapInArrow(found, schema).groupBy("doc_id", "item_id").agg(F.round(F.max("share"), 4).alias("share"))
+    out = write(rows.mapInArrow(found, schema).groupBy("doc_id", "item_id").agg(F.round(F.max("share"), 4).alias("share")))
+    write.drop_all_but(out)
+    return out
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,21 +426,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", rank: int = RANK, cosine: float = COSINE, strong: float = STRONG, weak: float = WEAK, answer_share: float = ANSWER_SHARE) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", rank: int = RANK, near: float = NEAR, strong: float = STRONG, weak: float = WEAK, loose: float = LOOSE, answer_share: float = ANSWER_SHARE) -> DataFrame:
     """The documents that hold no benchmark item, whole and in place: texts are searched where they are read, and none is moved."""
-    items = read_items(benchmark)
-    ready = prepare(docs, items, ident, text, rank, Written(docs.sparkSession, "decontaminate"))
+    items, write = read_items(benchmark), Written(docs.sparkSession, "decontaminate")
+    ready = prepare(docs, items, ident, text, rank, write)
+    write.drop_all_but()
     if ready is None:
         return docs
-    _, idf, latent = ready
+    _, model = ready
     at = docs.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, lookup = Search(items, idf, latent, cosine, strong, weak, answer_share), items.lookup
+        search = Search(items, *model, near, strong, weak, loose, answer_share)
         for batch in batches:
             stay = np.ones(batch.num_rows, bool)
-            for first, _, terms, bounds in sequences(batch.column(at), items, lookup):
-                for d, _, _ in search(terms, bounds):
+            for first, _, hashes, bounds in sequences(batch.column(at)):
+                for d, _, _ in search(hashes, bounds):
                     stay[first + d] = False
             yield batch.filter(pa.array(stay))
 
