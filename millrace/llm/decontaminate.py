@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Written, col, table
+from .common import Written, col, fresh, table
 from .vectext import slices, words
 
-RANK, NEAR, STRONG, WEAK, LOOSE, ANSWER_SHARE = 32, 0.5, 0.6, 0.4, 0.25, 0.75
+RANK, NEAR, STRONG, WEAK, LOOSE, ANSWER_SHARE = 32, 0.6, 0.6, 0.4, 0.25, 0.75
 BLOCK, PASSAGE, COLUMNS, HEAD, MOST_BENCHMARK = 8, 64, 1 << 16, 0.1, 256 << 20
 
 
@@ -130,7 +130,7 @@ def _read(items: Items):
     return run
 
 
-def summed(shares: DataFrame, dtype: str) -> dict[int, np.ndarray]:
+def summed(shares: DataFrame, dtype: str, write: Written) -> dict[int, np.ndarray]:
     """Rows (part, blob) to the sum of each part's arrays: in parallel by part, each part then one row for the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,8 @@ def summed(shares: DataFrame, dtype: str) -> dict[int, np.ndarray]:
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "blob"])
 
     first = shares.mapInArrow(add, "part int, blob binary")  # what a partition has is summed before it is sent
-    return {r.part: np.frombuffer(r.blob, dtype) for r in first.repartition("part").mapInArrow(add, "part int, blob binary").collect()}
+    with write.settings():
+        return {r.part: np.frombuffer(r.blob, dtype) for r in first.repartition("part").mapInArrow(add, "part int, blob binary").collect()}
 
 
 def joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -379,13 +380,13 @@ def prepare(docs: DataFrame, items: Items, ident: str, text: str, rank: int, wri
         return None
     made = write(docs.select(col(ident).alias("id"), col(text).alias("text")).mapInArrow(_read(items), f"id {kind}, kind int, blob binary"))
     one = F.lit(0).alias("part")
-    counts = summed(made.where("kind = 2").select(one, "blob"), "int64")
+    counts = summed(made.where("kind = 2").select(one, "blob"), "int64", write)
     if not counts:
         return None
     n = int(counts[0][size])
-    term_idf, idf = inverse(counts[0][:size], n), inverse(summed(made.where("kind = 1").select(one, "blob"), "int32")[0].astype(np.int64), n)
+    term_idf, idf = inverse(counts[0][:size], n), inverse(summed(made.where("kind = 1").select(one, "blob"), "int32", write)[0].astype(np.int64), n)
     shares = made.where("kind = 0").select("blob").mapInArrow(_share(idf, rank), "part int, blob binary")
-    found = summed(shares, "float32")
+    found = summed(shares, "float32", write)
     y = np.concatenate([found[k] for k in sorted(found)]).reshape(COLUMNS, rank).astype(np.float64)
     if not np.abs(y).max() > 0:
         return None
@@ -426,26 +427,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", rank: int = RANK, near: float = NEAR, strong: float = STRONG, weak: float = WEAK, loose: float = LOOSE, answer_share: float = ANSWER_SHARE) -> DataFrame:
-    """The documents that hold no benchmark item, whole and in place: texts are searched where they are read, and none is moved."""
-    items, write = read_items(benchmark), Written(docs.sparkSession, "decontaminate")
-    ready = prepare(docs, items, ident, text, rank, write)
-    write.drop_all_but()
-    if ready is None:
-        return docs
-    _, model = ready
-    at = docs.columns.index(text)
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(items, *model, near, strong, weak, loose, answer_share)
-        for batch in batches:
-            stay = np.ones(batch.num_rows, bool)
-            for first, _, hashes, bounds in sequences(batch.column(at)):
-                for d, _, _ in search(hashes, bounds):
-                    stay[first + d] = False
-            yield batch.filter(pa.array(stay))
-
-    return docs.mapInArrow(kept, docs.schema)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **more: float) -> DataFrame:
+    """The documents that hold no benchmark item, whole. Leaks are searched in the written sequences, named by two hashes of the text; only these names meet the texts."""
+    keep, write = docs.columns, Written(docs.sparkSession, "leaking-texts")
+    names = F.concat_ws("/", F.xxhash64(col(text)).cast("string"), F.xxhash64(F.lit(1), col(text)).cast("string"))
+    name, own = fresh(keep, "text_name"), fresh(keep, "leaking_name")
+    found = leaks(docs.where(col(text).isNotNull()).select(names.alias("n"), col(text).alias("t")), benchmark, "n", "t", **more)
+    out = write(found.select(F.col("doc_id").alias(own)).distinct())
+    return docs.withColumn(name, names).join(out, col(name) == col(own), "left_anti").select(*[col(c) for c in keep])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
