@@ -12,7 +12,7 @@
 
 Cases: blank lines are no duplicates of anything and stay where they are. A null text stays null. A document that loses
 its last line that isn't blank is dropped; one that never had any stays. Lines shorter than a shingle have one shingle. Rows with a null id come last in
-order. Rows repeated with the same id and text collapse into one. An empty table gives an empty result.
+order. Of rows repeated with the same id and text the least by all columns stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Written, col, components, fresh, table
+from .common import Written, col, components, fresh, in_order, table
 from .vectext import mix, powers, slices
 
 SHINGLE, LEAST, BANDS, ROWS = 7, 0.8, 12, 5
+#: What a line has that isn't blank.
+FILLED = r"[^\t\n\x0B\f\r \u00a0]"
 _U = np.uint64
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -229,12 +230,10 @@ def _verify(shingle: int, least: float):
 
         def flush(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
-            names = t["block"].to_pylist()
             keys = t["line"].to_pylist()
             left, right = [], []
-            code = np.zeros(len(names), np.int64)
-            for i in range(1, len(names)):
-                code[i] = code[i - 1] + (names[i] != names[i - 1])
+            names = np.frombuffer(b"".join(t["block"].to_pylist()), np.uint64).reshape(-1, 2)
+            code = np.concatenate(([0], np.cumsum((names[1:] != names[:-1]).any(axis=1))))
             values, sizes = [], []
             for _, _, data, offsets in slices(t["text"], lower=True):
                 points, offsets = code_points(data, offsets)
@@ -325,48 +324,31 @@ def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", shing
     write.drop(edges)
     # of each component the line that comes first stays
     linked = roots.join(first.select("line", "at"), roots.node == F.col("line"))
-    out = linked.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("at"))).where("n > 1").select("line")
+    best = linked.groupBy(F.col("root").alias("r")).agg(F.min("at").alias("best"))
+    out = linked.join(best, F.col("root") == F.col("r")).where("at <> best").select("line")
     kept = first.join(out, "line", "left_anti").groupBy("at.k1", "at.k2").agg(F.array_sort(F.collect_list("at.number")).alias("_kept"))
     keyed_columns = [*keep, k1, k2]
     o1, o2, kept_c, once = (fresh(keyed_columns, x) for x in ("own_1", "own_2", "kept_numbers", "copy_number"))
     kept = kept.select(F.col("k1").alias(o1), F.col("k2").alias(o2), F.col("_kept").alias(kept_c))
     joined = keyed.join(kept, (col(k1) == col(o1)) & (col(k2) == col(o2)), "left")
-    joined = joined.withColumn(once, F.row_number().over(Window.partitionBy(col(k1), col(k2)).orderBy(col(k1)))).where(col(once) == 1).select(*[col(c) for c in keep], col(kept_c))
-    dropped = dropped and fresh(keep, dropped)
-    extra = [T.StructField(dropped, T.IntegerType(), True)] if dropped else []
-    return joined.mapInArrow(_rebuild(keep.index(text), dropped), T.StructType([*docs.schema.fields, *extra]))
-
-
-def _rebuild(at: int, count: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = batch.column(batch.num_columns - 1).to_pylist()
-            out, stay, gone = [], [], []
-            for k, (text, numbers) in enumerate(zip(batch.column(at).to_pylist(), kept)):
-                if text is None:
-                    stay.append(k)
-                    out.append(None)
-                    gone.append(0)
-                    continue
-                parts = text.split("\n")
-                numbers = numbers or []
-                if len(numbers) < len(parts):
-                    left = [parts[i] for i in numbers]
-                    if not any(map(str.strip, left)) and text.strip():
-                        continue
-                    text = "\n".join(left)
-                stay.append(k)
-                out.append(text)
-                gone.append(len(parts) - len(numbers))
-            rows = batch.take(pa.array(stay, pa.int64()))
-            columns = rows.columns[:-1]
-            columns[at] = pa.array(out, batch.column(at).type)
-            names = batch.schema.names[:-1]
-            if count:
-                columns, names = [*columns, pa.array(gone, pa.int32())], [*names, count]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return run
+    joined = joined.withColumn(once, F.row_number().over(Window.partitionBy(col(k1), col(k2)).orderBy(*in_order(docs, keep)))).where(col(once) == 1).select(*[col(c) for c in keep], col(kept_c))
+    return rebuilt(joined, keep, text, kept_c, dropped and fresh(keep, dropped))
+
+
+def rebuilt(joined: DataFrame, keep: list[str], text: str, kept: str, dropped: str | None) -> DataFrame:
+    """Texts of the lines whose sorted numbers are in `kept`, as runs of lines that are next to each other, so that a text of any length takes one pass."""
+    names = [*joined.columns, dropped or ""]
+    parts, numbers, left = (fresh(names, x) for x in ("all_lines", "line_numbers", "lines_left"))
+    k = col(numbers)
+    starts = F.filter(k, lambda x, i: F.coalesce(F.get(k, i - 1), F.lit(-2)) != x - 1)
+    ends = F.filter(k, lambda x, i: F.coalesce(F.get(k, i + 1), F.lit(-2)) != x + 1)
+    rows = joined.withColumns({parts: F.split(col(text), "\n", -1), numbers: F.coalesce(col(kept), F.expr("cast(array() as array<int>)"))})
+    rows = rows.withColumn(left, F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(col(parts), a + 1, b - a + 1))))
+    whole = col(text).isNull() | (F.size(k) >= F.size(col(parts)))
+    emptied = F.rlike(col(text), F.lit(FILLED)) & ~F.exists(col(left), lambda x: F.rlike(x, F.lit(FILLED)))
+    rows = rows.where(whole | ~emptied)
+    columns = [F.when(whole, col(c)).otherwise(F.array_join(col(left), "\n")).alias(c) if c == text else col(c) for c in keep]
+    return rows.select(*columns, *([F.when(col(text).isNull(), 0).otherwise(F.size(col(parts)) - F.size(k)).alias(dropped)] if dropped else []))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
