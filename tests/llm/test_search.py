@@ -69,3 +69,11 @@ def test_ids_with_several_vectors_take_one_place_each(spark):
             rows.append((i, [float(x) for x in near]))
     found = run(spark, rows, 4)
     assert found == brute(rows, 4) and len(found) == 4 * 40
+
+
+def test_queries_are_a_part_of_the_ids_and_neighbours_are_of_all(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.repeat(rng.standard_normal((50, 24)), [30] + [2] * 49, axis=0))]
+    want = {(q, r): v for (q, r), v in brute(rows, 5).items() if q % 20 == 0}
+    assert run(spark, rows, 5, every=20) == want and want
+    assert run(spark, [(1, [1.0] * 8), (2, [1.0] * 8)], 5, every=20) == {}
