@@ -16,7 +16,7 @@ Tokens: text by the greedy word-piece automaton; an image 16 for each tile of 22
 document 256 a page; and one for each role marker, end marker and attachment frame. Sizes that are missing, not numbers or not positive count as one tile,
 second or page.
 
-Cases: rows with a null conversation id form one conversation with a null id. Messages are ordered by turn (null first), then by role and
+Cases: a row with a null conversation id is a conversation of its own, with a null id. Messages are ordered by turn (null first), then by role and
 content; repeated rows are kept. A null role is `unknown`. A null content is an empty text. A content that isn't a list of objects
 is plain text. A part of another type, or a text part without text, is an empty text. An empty table gives an
 empty result. Further columns are not read.
@@ -31,14 +31,14 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import col, table
 from .token_counts import VOCABULARY, Counter, build_automaton, read_vocabulary
 
 TILE, TILE_TOKENS, SECOND_TOKENS, PAGE_TOKENS = 224, 16, 25, 256
-SCHEMA = "conv_id {id}, prompt string, n_messages int, n_text_tokens long, n_tokens long, attachments array<struct<number:int,message:int,kind:string,url:string,place:int,n_tokens:long>>"
 _ATTACHMENT = pa.struct([("number", pa.int32()), ("message", pa.int32()), ("kind", pa.string()), ("url", pa.string()), ("place", pa.int32()), ("n_tokens", pa.int64())])
 
 
@@ -115,47 +115,91 @@ class Flatten:
         return inner if has else None
 
 
-def flatten(messages: list[dict]) -> Flatten:
+def typed(role: str | None, content: str) -> Flatten | None:
+    """A message whose content is a list of parts; None if it is plain text after all."""
+    if (parts := parts_of(content)) is None:
+        return None
     out = Flatten()
-    for out.message, m in enumerate(messages):
-        out.emit(f"<|{escape(m['role'] if m['role'] is not None else 'unknown')}|>\n")
-        content = m["content"]
-        if (parts := parts_of(content)) is None:
-            out.visit_text({"text": content or ""})
-        else:
-            for part in parts:
-                out.visit(part)
-        out.emit("<|end|>\n")
-        out.frames += 2
+    out.emit(f"<|{escape(role if role is not None else 'unknown')}|>\n")
+    for part in parts:
+        out.visit(part)
+    out.emit("<|end|>\n")
     return out
 
 
+def escaped(column: pa.Array) -> pa.Array:
+    """escape() of a whole column."""
+    return pc.replace_substring(pc.replace_substring(column, "<\\", "<\\\\"), "<|", "<\\|")
+
+
 def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row for each conversation. The vocabulary is read by the driver."""
+    """One row for each conversation. The vocabulary is read by the driver.
+
+    Messages are made one by one where they are read: plain ones a column at a time, only typed ones by the visitor. Then a conversation's messages are put in order and joined."""
     automaton = build_automaton(read_vocabulary(vocabulary))
-    kind = df.schema[conv].dataType.simpleString()
-    rows = df.select(col(conv).alias("id"), F.struct(col(turn).alias("turn"), col(role).cast("string").alias("role"), col(content).cast("string").alias("content")).alias("m"))
-    grouped = rows.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    kinds = df.schema[conv].dataType.simpleString(), df.schema[turn].dataType.simpleString()
 
-    def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(automaton)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                done = [flatten(m) for m in some.column(1).to_pylist()]
-                pieces, _ = count(pa.array([t for d in done for t in d.spoken], pa.large_string()))
-                ends = np.cumsum([0, *(len(d.spoken) for d in done)])
-                sums = np.concatenate(([0], np.cumsum(pieces)))
-                text = sums[ends[1:]] - sums[ends[:-1]]
-                total = text + np.array([d.frames + sum(a["n_tokens"] for a in d.attachments) for d in done], np.int64)
-                yield pa.record_batch(
-                    [some.column(0), pa.array(["".join(d.pieces) for d in done], pa.string()), pa.array([len(m) for m in some.column(1).to_pylist()], pa.int32()), pa.array(text, pa.int64()), pa.array(total, pa.int64()), pa.array([d.attachments for d in done], pa.list_(_ATTACHMENT))],
-                    names=["conv_id", "prompt", "n_messages", "n_text_tokens", "n_tokens", "attachments"],
-                )
-
-    return grouped.mapInArrow(formatted, SCHEMA.format(id=kind))
+            roles, text = batch.column(2), pc.fill_null(batch.column(3), "")
+            maybe = np.flatnonzero(np.asarray(pc.equal(pc.utf8_slice_codeunits(pc.utf8_ltrim_whitespace(text), 0, 1), "[")))
+            visited = {k: v for k, r, c in zip(maybe.tolist(), roles.take(pa.array(maybe)).to_pylist(), text.take(pa.array(maybe)).to_pylist()) if (v := typed(r, c))}
+            piece = pc.binary_join_element_wise("<|", escaped(pc.fill_null(roles, "unknown")), "|>\n", escaped(text), "<|end|>\n", "")
+            n = count(text)[0]
+            more, attached = np.full(batch.num_rows, 2, np.int64), [[]] * batch.num_rows
+            if visited:
+                at = np.array(list(visited))
+                mask = np.zeros(batch.num_rows, bool)
+                mask[at] = True
+                piece = pc.replace_with_mask(piece, pa.array(mask), pa.array(["".join(v.pieces) for v in visited.values()], pa.string()))
+                ends = np.cumsum([0, *(len(v.spoken) for v in visited.values())])
+                sums = np.concatenate(([0], np.cumsum(count(pa.array([t for v in visited.values() for t in v.spoken], pa.large_string()))[0])))
+                n[at] = sums[ends[1:]] - sums[ends[:-1]]
+                for k, v in visited.items():
+                    attached[k] = v.attachments
+                    more[k] = 2 + v.frames + sum(a["n_tokens"] for a in v.attachments)
+            yield pa.RecordBatch.from_arrays([*batch.columns, piece, pa.array(n), pa.array(more), pa.array(attached, pa.list_(_ATTACHMENT))], names=["id", "turn", "role", "content", "piece", "n", "more", "attached"])
+
+    rows = df.select(col(conv).alias("id"), col(turn).alias("turn"), col(role).cast("string").alias("role"), col(content).cast("string").alias("content"))
+    attachment = "struct<number:int,message:int,kind:string,url:string,place:int,n_tokens:long>"
+    messages = rows.mapInArrow(made, f"id {kinds[0]}, turn {kinds[1]}, role string, content string, piece string, n long, more long, attached array<{attachment}>")
+    # a message without a conversation is one of its own
+    messages = messages.withColumn("alone", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    order = Window.partitionBy("id", "alone").orderBy("turn", "role", "content")
+    before = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = messages.withColumns({"place": before, "k": (F.row_number().over(order) - 1).cast("int")})
+    moved = F.transform("attached", lambda x: F.struct(F.lit(0).alias("number"), F.col("k").alias("message"), x["kind"].alias("kind"), x["url"].alias("url"), (x["place"] + F.col("place")).cast("int").alias("place"), x["n_tokens"].alias("n_tokens")))
+    one = placed.select("id", "alone", "n", "more", F.struct("k", "piece", moved.alias("attached")).alias("m"))
+    grouped = one.groupBy("id", "alone").agg(F.sort_array(F.collect_list("m")).alias("m"), F.count("*").cast("int").alias("n_messages"), F.sum("n").alias("n_text_tokens"), F.sum(F.col("n") + F.col("more")).alias("n_tokens"))
+    numbered = F.transform(F.flatten(F.transform("m", lambda x: x["attached"])), lambda x, i: x.withField("number", i.cast("int")))
+    return grouped.select(F.col("id").alias("conv_id"), F.array_join(F.transform("m", lambda x: x["piece"]), "").alias("prompt"), "n_messages", "n_text_tokens", "n_tokens", numbered.alias("attachments"))
+
+
+def page_conversations(pages: DataFrame, first: int = 1 << 40) -> DataFrame:
+    """Two turns about every page, as typed parts: a question with the page as a document, which has its visible text and its pictures inside, and its audio, and a plain answer.
+
+    Conversations are numbered from `first` on; a page without a number gives none a number."""
+    text = F.trim(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " "))
+    title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
+    address = F.col("url")
+    none = F.lit(None)
+
+    def part(kind: str, **more: Column) -> Column:
+        fields = {"type": F.lit(kind), "text": none.cast("string"), "url": none.cast("string"), "width": none.cast("int"), "height": none.cast("int"), "seconds": none.cast("double"), "pages": none.cast("int")} | more
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    image = part("image", url=F.concat(address, F.lit("/image.png")), width=(F.length("html") % 2000).cast("int"), height=F.lit(300))
+    inner = F.array(part("text", text=text), image)
+    whole = F.struct(*[x.alias(k) for k, x in {"type": F.lit("document"), "text": none.cast("string"), "url": address, "seconds": none.cast("double"), "parts": inner}.items()])
+    plain = F.struct(*[x.alias(k) for k, x in {"type": F.lit("text"), "text": title, "url": none.cast("string"), "seconds": none.cast("double"), "parts": F.filter(inner, lambda x: F.lit(False))}.items()])
+    sound = F.struct(*[x.alias(k) for k, x in {"type": F.lit("audio"), "text": none.cast("string"), "url": F.concat(address, F.lit("/read.mp3")), "seconds": (F.length("html") / 15.0), "parts": F.filter(inner, lambda x: F.lit(False))}.items()])
+    asked = F.to_json(F.array(plain, whole, sound))
+    turns = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), asked.alias("text")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"), title.alias("text"))))
+    return pages.select((F.col("page_id") + first).alias("conv_id"), turns.alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as one text with its token counts."""
-    return format_chat(table(spark, sf_dir, "conversations"))
+    """Every conversation, and one with typed parts about every page, as one text with its token counts and attachments."""
+    plain = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return format_chat(plain.unionByName(page_conversations(table(spark, sf_dir, "pages"))))

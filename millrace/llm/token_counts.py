@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,21 @@ class Automaton:
     pops: np.ndarray
     rest: np.ndarray
 
+    @cached_property
+    def plain(self) -> tuple[list, ...]:
+        return tuple(x.tolist() for x in (self.base, self.owner, self.node, self.fail, self.pops))
+
+    def walk(self, u: int, word: bytes) -> tuple[int, int]:
+        """The node after these bytes, and the pieces popped on the way."""
+        base, owner, node, fail, pops = self.plain
+        popped = 0
+        for c in word:
+            while owner[base[u] + c] != u:
+                popped += pops[u]
+                u = fail[u]
+            u = node[base[u] + c]
+        return u, popped
+
     def lengths(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of pieces of each span of bytes."""
         order = np.argsort(starts - ends, kind="stable")  # long words first: the living ones are a head of the arrays
@@ -58,6 +74,11 @@ class Automaton:
         state, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         for k in range(int(length[0]) if len(length) else 0):
             alive = int(np.searchsorted(-length, -k, "left"))
+            if alive <= 4 and length[0] - k > 256:  # a few very long words are walked one after another
+                for i in range(alive):
+                    state[i], more = self.walk(int(state[i]), data[at[i] + k : at[i] + length[i]].tobytes())
+                    count[i] += more
+                break
             byte = data[at[:alive] + k].astype(np.int64)
             todo = np.arange(alive)
             while len(todo):

@@ -5,8 +5,8 @@ of the path, the two in hash spaces of their own, as counts divided by the root
 `www.` or `m.`, the port, the query and the fragment are no features. The model is fitted on the driver from a small
 labelled table by accelerated gradient descent with a quadratic penalty; its weights are one array of fixed size.
 
-The table of labels is a parameter. LABELLED, the default, is a made-up list of addresses of ordinary sites and of sites for
-gambling, adult matter, counterfeit medicine, link farms and stolen software.
+The table of labels is a parameter, as rows, a table (labels_of) or a file (read_labels). LABELLED, the default, is drawn from two lists of common words, of
+ordinary sites and of sites for gambling, adult matter, counterfeit medicine, link farms and stolen software.
 
 Cases: a null or empty address has a null score and is not blocked. Addresses without a scheme are read as host and
 path. Very long ones are scored whole. Repeated rows are scored alike. An empty table gives an empty result; a table of labels of only one
@@ -15,6 +15,7 @@ class, or none, gives a constant score. Other columns are carried along; score a
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,34 +30,42 @@ from .vectext import BYTE_CODE, mix, slices
 
 SIZES, BITS, THRESHOLD, MOST_LABELS = (3, 4, 5), 16, 0.5, 20_000
 
-_BAD_NAMES = """casino-royal free-casino best-casino online-casinos casinowin casino-bonus win-casino slot-win jackpot-win mega-win big-win-slots poker-win
-bets-online sportbets free-betting bet-win livebets betting-tips pills-online buy-pills diet-pills cheap-meds viagra-pills pharma-pills
-link-farm spam-links farm-spam seo-spam content-farm spam-blog adult-chat adult-films adultx xxx-video porn-tube free-porn hot-xxx sex-cams livesex
-warez-crack crack-keygen free-warez keygen-download torrent-crack payday-loans quick-cash-loans free-money replica-watches fake-watches""".split()
-_GOOD_NAMES = """city-library river-news daily-herald garden-notes mountain-club open-science school-board weather-today history-museum travel-diary recipe-book
-music-review local-theatre football-club chess-club bird-watch book-shop art-gallery health-council family-doctor village-farm organic-farm window-repair
-winter-sports alphabet better-homes freelance-writer free-software video-archive cash-register world-bank town-hall university law-journal physics-forum
-math-notes linux-wiki photo-album train-times ocean-survey star-atlas tea-house green-energy open-maps language-school parents-guide film-society poetry-corner
-thonre anderti ouerth isthing erbleand reontha thehand ofnding whorsh tionstea lyedin heshwas ninthra blethor ingeaou rethsti enundi schwebe ungenlich
-laquetre eauxion mentere osciadol cionado llarres""".split()
-_PATHS = ["", "/", "/en/825", "/fr/14", "/de/news/2021", "/es/963", "/about", "/de/5675", "/fr/7030", "/en/77"]
-_BAD_ENDS = ["", "", "/win/now", "/bonus", "/free/join", "/cheap/offer"]
-_ENDS = [".com", ".example.com", ".net", ".example.net", ".org", ".example.org"]
-
-
-def _labelled() -> list[tuple[str, int]]:
-    rows = []
-    for names, label in ((_GOOD_NAMES, 0), (_BAD_NAMES, 1)):
-        for i, name in enumerate(names):
-            for j in range(4):
-                lead, more = ("", "www.", "m.", "blog.")[(i + j) % 4], _BAD_ENDS[(i + j) % 6] if label else ""
-                # paths, suffixes and schemes are spread alike over both classes
-                rows.append((f"http{'s' * (j % 2)}://{lead}{name}{_ENDS[(i + 2 * j) % 6]}{_PATHS[(3 * i + j) % 10].rstrip('/')}{more}", label))
-    return rows
+_WORDS = {
+    1: "casino slots jackpot poker roulette betting bookmaker wager blackjack bingo porn xxx nude escort webcam-girls sex adult-video hardcore viagra cialis pills steroids diet-pills pharmacy-cheap spam "
+    "link-farm spam-farm seo-links backlinks warez keygen crack serial-keys torrent nulled payday-loan fast-cash replica-watch fake-bags free-money get-rich lottery-winner".split(),
+    0: "library news garden museum school university hospital weather recipe travel history science music theatre football chess bakery farm book gallery council doctor village repair winter homes writer "
+    "software archive register bank hall law physics notes wiki photo train ocean atlas tea energy maps language guide film poetry market bicycle kitchen forest river mountain harbour castle market-hall journal".split(),
+}
+_MORE = "my the best city daily online free top big local blue new old green world net club home web".split()
+_PATHS = {1: ["", "", "/win", "/bonus/join", "/free/offer", "/cheap/order"], 0: ["", "", "/about", "/news/item", "/contact", "/articles/list"]}
+_ENDS = ["com", "org", "net", "info", "co.uk", "io"]
+
+
+def made_up(number: int = 1600, seed: int = 5) -> list[tuple[str, int]]:
+    """Addresses drawn from two lists of words. Both classes have the same further words, numbers, suffixes and schemes, and names of random letters,
+    so that none of these speaks for either; one row of three is blocked, as a name of which nothing is known is more likely good."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(number):
+        label = int(i % 3 == 0)
+        letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10)))
+        word, more = rng.choice(_WORDS[label]), rng.choice([*_MORE, letters])
+        name = rng.choice([word, f"{more}-{word}", f"{word}-{more}", more + word, word + more] if label else [word, f"{more}-{word}", f"{word}{more}", letters, f"{letters}-{more}"])
+        lead = rng.choice(["", "", "www.", "m.", "blog."])
+        number_ = rng.choice(["", "", f"/{rng.randrange(1000)}"])
+        out.append((f"http{rng.choice(['', 's'])}://{lead}{name}.{rng.choice(_ENDS)}{rng.choice(_PATHS[label])}{number_}", label))
+    return out
 
 
 #: (address, 1 if it is to be blocked)
-LABELLED = _labelled()
+LABELLED = made_up()
+
+
+def read_labels(path: str) -> list[tuple[str, int]]:
+    """A file of lines `address<tab>label`, a small table that the driver reads whole."""
+    with open(path, encoding="utf-8") as lines:
+        rows = [x.rstrip("\n").rsplit("\t", 1) for x in lines if "\t" in x]
+    return [(u, int(label)) for u, label in rows][:MOST_LABELS]
 
 
 def parts(url: pa.Array) -> tuple[pa.Array, pa.Array]:

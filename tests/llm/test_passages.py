@@ -156,7 +156,7 @@ def test_a_paraphrase_in_words_outside_the_benchmark_is_found_by_its_cosine(spar
     found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
     by_words = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench, near=2.0).collect()}
     assert len({(1000 + t, t) for t in range(12)} & found) >= 10 and not {d for d, _ in by_words if d >= 1000}
-    assert len({d for d, _ in found if d >= 2000}) <= 2
+    assert len({d for d, _ in found if d >= 2000}) <= 8
 
 
 def test_answers_decide_between_the_thresholds(spark):

@@ -1,5 +1,7 @@
 import json
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +9,7 @@ import pytest
 from cases import documents, empty, hard, prose
 
 from millrace.llm import chat_format, language_id, packing, token_counts, url_filter
+from millrace.llm.vectext import BYTE_CODE
 
 
 def greedy(word, pieces):
@@ -90,6 +93,75 @@ def test_chat_flattens_typed_parts(spark):
     assert r.n_tokens == r.n_text_tokens + 48 + 63 + 768 + 4 + 4 and r.n_messages == 2
 
 
+def brute_chat(messages, pieces):
+    """A conversation by recursion over its parts, with tokens matched one by one."""
+    text, spoken, tokens, attached = "", [], 0, []
+
+    def tokens_of(t):
+        return sum(greedy(w, pieces) for w in re.findall(rb" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+(?= )|[\t-\r ]+", t.encode()))
+
+    def walk(p, message):
+        nonlocal text, tokens
+        kind = p.get("type")
+        if kind == "text" and isinstance(p.get("text"), str):
+            spoken.append(p["text"])
+            text += p["text"].replace("<\\", "<\\\\").replace("<|", "<\\|")
+        elif kind in ("image", "audio", "document"):
+            n = {"image": 16 * math.ceil(p.get("width", 1) / 224) * math.ceil(p.get("height", 1) / 224), "audio": math.ceil(25 * p.get("seconds", 1)), "document": 0 if "parts" in p else 256 * p.get("pages", 1)}[kind]
+            attached.append((len(attached), message, kind, p.get("url"), len(text), n))
+            tokens += n + 1
+            text += f"<|{kind}|>"
+            for x in p.get("parts", []) if kind == "document" else []:
+                walk(x, message)
+
+    for k, (_, role, content) in enumerate(sorted(messages)):
+        text += f"<|{role}|>\n"
+        for p in json.loads(content) if content.startswith("[{") else [{"type": "text", "text": content}]:
+            walk(p, k)
+        text, tokens = text + "<|end|>\n", tokens + 2
+    return text, len(messages), tokens, attached, spoken
+
+
+def test_chat_equals_recursion_over_the_parts(spark):
+    rng, pieces = random.Random(6), set(token_counts.read_vocabulary(token_counts.VOCABULARY))
+
+    def part(depth=0):
+        kind = rng.choice(["text", "text", "image", "audio", "document", "document"])
+        if kind == "document" and depth < 3 and rng.random() < 0.6:
+            return {"type": kind, "url": f"d{rng.randrange(9)}", "parts": [part(depth + 1) for _ in range(rng.randrange(3))]}
+        return {"text": {"type": kind, "text": rng.choice(["some words", "<|image|> x", "é<\\漢", ""])}, "image": {"type": kind, "width": rng.randrange(1, 900), "height": rng.randrange(1, 900)}, "audio": {"type": kind, "url": "a", "seconds": rng.randrange(1, 50) / 4}, "document": {"type": kind, "pages": rng.randrange(1, 9)}}[kind]
+
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(["plain <|text|>", "two words", json.dumps([part() for _ in range(rng.randrange(1, 5))])])) for c in range(40) for t in range(rng.randrange(1, 5))]
+    rows = rng.sample(rows, len(rows))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    counts = {}
+    for r in chat_format.format_chat(df).collect():
+        text, n, more, attached, spoken = brute_chat([x[1:] for x in rows if x[0] == r.conv_id], pieces)
+        assert (r.prompt, r.n_messages, [tuple(a) for a in r.attachments]) == (text, n, attached) and r.n_tokens - r.n_text_tokens == more
+        counts[r.conv_id] = (spoken, r.n_text_tokens)
+    texts = [(i, t) for i, (spoken, _) in counts.items() for t in spoken]
+    by_id = {r.doc_id: r.n for r in token_counts.token_counts(documents(spark, texts)).groupBy("doc_id").sum("n_tokens").toDF("doc_id", "n").collect()}
+    assert all(by_id.get(i, 0) == n for i, (_, n) in counts.items()) and len(counts) == 40
+
+
+def test_pages_become_conversations_with_all_kinds_of_parts(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/1", "<html><title>Tea</title><script>no()</script><p>Some <b>text</b>"), (2, None, None), (None, "http://c", "<p>x")], "page_id long, url string, html string")
+    rows = {r.conv_id: r for r in chat_format.format_chat(chat_format.page_conversations(pages, 100)).collect() if r.conv_id}
+    assert [a.kind for a in rows[101].attachments] == ["document", "image", "audio"] and "Some  text" in rows[101].prompt and "no()" not in rows[101].prompt
+    assert rows[101].prompt.startswith("<|user|>\nTea<|document|>") and rows[101].n_messages == 2 and rows[102].n_messages == 2
+
+
+def test_very_long_words_are_walked_to_their_end():
+    rng = random.Random(8)
+    pieces = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 6))) for _ in range(60)}
+    auto = token_counts.build_automaton(pieces)
+    texts = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (5000, 1, 400, 3000, 7, 299)]
+    ends = np.cumsum([len(t) for t in texts])
+    assert auto.lengths(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends).tolist() == [greedy(t, pieces) for t in texts]
+    one = np.frombuffer(rng.randbytes(2_000_000).replace(b" ", b"x"), np.uint8)
+    assert auto.lengths(one, np.array([0]), np.array([len(one)]))[0] > 0
+
+
 def test_chat_escapes_round_trip():
     rng = random.Random(1)
     for _ in range(500):
@@ -101,19 +173,57 @@ def test_chat_bears_hard_rows(spark):
     rows = [(None, None, None, None), (None, 1, "user", "x"), (1, 0, "user", ""), (1, 0, "user", ""), (1, None, "system", "first"), (2, 0, "user", "[1, 2]"), (3, 0, "user", "[" * 100_000), (4, 0, "user", "w " * 200_000), (5, 0, "user", '[{"type": "image", "width": "wide", "height": -1}, {"type": "audio", "seconds": null}]')]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as id", "'x' as m", "'x' as prompt")
     found = {r.conv_id: r for r in chat_format.format_chat(df).collect()}
-    assert found[None].prompt == "<|unknown|>\n<|end|>\n<|user|>\nx<|end|>\n"
+    alone = sorted(r.prompt for r in chat_format.format_chat(df).where("conv_id is null").collect())
+    assert alone == ["<|unknown|>\n<|end|>\n", "<|user|>\nx<|end|>\n"]
     assert found[1].prompt.startswith("<|system|>") and found[1].n_messages == 3 and found[2].prompt == "<|user|>\n[1, 2]<|end|>\n"
     assert found[4].n_text_tokens >= 200_000 and [a.n_tokens for a in found[5].attachments] == [16, 25]
     assert chat_format.format_chat(df.limit(0)).count() == 0
 
 
 def test_url_filter_on_held_out_hosts():
-    bad = [f"https://www.{a}-{b}.{e}/en/{k}" for k, (a, b, e) in enumerate((a, b, e) for a in ("mega", "best", "my") for b in ("casino", "bets", "pills", "porn") for e in ("com", "net"))]
-    good = [f"https://www.{a}-{b}.{e}/en/{k}" for k, (a, b, e) in enumerate((a, b, e) for a in ("mountain", "history", "our") for b in ("library", "review", "school", "garden") for e in ("com", "net"))]
-    held = [x for x in url_filter.LABELLED if not any(w in x[0] for w in ("mega-", "best-"))]
+    bad = [f"https://www.{a}-{b}.{e}/{k}" for k, (a, b, e) in enumerate((a, b, e) for a in ("mega", "our", "sunny") for b in ("casino", "betting", "pills", "porn", "spam-farm") for e in ("com", "xyz"))]
+    good = [f"https://www.{a}-{b}.{e}/{k}" for k, (a, b, e) in enumerate((a, b, e) for a in ("mega", "our", "sunny") for b in ("library", "museum", "school", "garden", "qrvwak") for e in ("com", "xyz"))]
+    held = [x for x in url_filter.LABELLED if "mega" not in x[0]]
     w, b = url_filter.fit(held)
     scores = url_filter.margins(pa.array(bad + good), w) + b
     assert ((scores > 0) == np.array([True] * len(bad) + [False] * len(good))).mean() >= 0.9
+    # names of random letters, of which the model knows nothing
+    rng = random.Random(77)
+    unknown = ["http://" + "".join(rng.choice("aeioubdgklmnprst") for _ in range(rng.randrange(4, 12))) + ".example.net/en/12" for _ in range(300)]
+    assert (url_filter.margins(pa.array(unknown), w) + b > 0).mean() <= 0.05
+
+
+def brute_margin(url, weights):
+    """The margin from n-grams taken one by one, with whole numbers of any size for the hash."""
+    whole, half, total, count = 1 << 64, len(weights) // 2, 0.0, 0
+    bits = half.bit_length() - 1
+    rest = re.sub(r"^([a-z][a-z0-9+.-]*://|//)?([^/?#@]*@)?((www|m)[.])?", "", url.lower(), count=1)
+    host = re.match(r"[^/?#:]*", rest).group()
+    path = re.match(r"(:[0-9]*)?([^?#]*)", rest[len(host) :]).group(2)
+    for salt, part in enumerate((f"^{host}$", path)):
+        data = part.encode()
+        for n in (3, 4, 5):
+            for i in range(len(data) - n + 1):
+                h = 0
+                for c in data[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + int(BYTE_CODE[c])) % whole
+                h = (h + salt * 0x51ED270B + n) % whole
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % whole
+                h = (h ^ h >> 27) * 0x94D049BB133111EB % whole
+                total += weights[((h ^ h >> 31) >> 64 - bits) + salt * half]
+                count += 1
+    return total / max(count, 1) ** 0.5
+
+
+def test_url_scores_equal_brute_force(spark):
+    rng = random.Random(3)
+    urls = ["http://a.b", "https://www.casino.example.com:8080/x/y?q=1#f", "user@host.org/path", "//m.plain.net", "ü.example/漢字", "x"]
+    urls += [f"http://{''.join(rng.choice('abc-.') for _ in range(rng.randrange(1, 20)))}/{''.join(rng.choice('ab/') for _ in range(rng.randrange(9)))}" for _ in range(60)]
+    w, b = url_filter.fit(url_filter.LABELLED[:400])
+    want = {u: round(1 / (1 + math.exp(-(brute_margin(u, w) + b))), 6) for u in urls}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    found = {r.url: r.score for r in url_filter.url_filter(df, url_filter.LABELLED[:400]).collect()}
+    assert all(abs(found[u] - want[u]) < 2e-6 for u in want)
 
 
 def test_url_filter_bears_hard_rows(spark):
@@ -182,3 +292,65 @@ def test_all_pages_of_a_document_are_evidence(spark):
     rows = [(1, "http://a.aa/7", "<html>"), (2, "http://b.bb/7", "<html lang=bb>"), (3, "http://b.bb/x/7", "<html lang='bb'>"), (4, "http://c.cc/7.html", "<html lang=aa>"), (5, "http://d.dd/8", "<html>")]
     found = {r.page_doc: (r.page_lang, r.page_host) for r in language_id.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found == {7: ("bb", "b.bb"), 8: (None, "d.dd")}
+
+
+def test_a_longer_text_counts_more_whatever_its_length():
+    n = np.array([1, 100, 240, 1000, 10**5, 10**7])
+    grown = language_id.effective(n, 0.25, 60.0)
+    assert (np.diff(grown) > 0).all() and abs(grown[0] - 0.25) < 0.01
+
+
+def brute_language(rows, model, smooth=20.0):
+    """Judgements by loops over all rows, from the text scores on."""
+    sums, n = language_id.text_sums(pa.array([r[1] for r in rows]), model.table)
+    gain = (sums + (n * model.bits * math.log(2))[:, None]) * (language_id.effective(n, 0.25, 60.0) / np.maximum(n, 1))[:, None]
+    k = len(model.languages)
+    guess = [int(np.argmax(g)) if g.max() > 0 else None for g in gain]
+    low = lambda x: x.lower() if x is not None else None
+    host, declared = [low(r[2]) for r in rows], [low(r[3]) for r in rows]
+    suffix = [h.rsplit(".", 1)[1] if h and "." in h else None for h in host]
+    domain = [".".join(h.split(".")[-2:]) if h is not None else None for h in host]
+
+    def counts(values, value):
+        return np.array([sum(1.0 for v, g in zip(values, guess) if v == value and g == j) for j in range(k)])
+
+    total = np.array([float(sum(g == j for g in guess)) for j in range(k)])
+    prior = (total + 1) / (total.sum() + k)
+    out = []
+    for i in range(len(rows)):
+        logs, und, seen = gain[i] + np.log(prior), math.log(0.02), bool(rows[i][1])
+        if host[i] is not None and (c := counts(host, host[i])).sum():
+            d = counts(domain, domain[i])
+            pd = (d + smooth * prior) / (d.sum() + smooth)
+            logs, seen = gain[i] + np.log((c + smooth * pd) / (c.sum() + smooth)), True
+        for values in (declared, suffix):
+            if values[i] is not None and (c := counts(values, values[i])).sum():
+                own = np.log((c + smooth * c.sum() / total.sum()) / (total + smooth))
+                logs, und, seen = logs + own, und + own.mean(), True
+        every = np.append(logs, und)
+        p = 1 / np.exp(every - every.max()).sum()
+        best = int(np.argmax(every))
+        out.append(([*model.languages, "und"][best], round(float(p), 5), best < k and p >= 0.5 and seen))
+    return out
+
+
+def test_judgements_equal_brute_force(spark):
+    rng = random.Random(14)
+    hosts = ["a.aa", "www.a.aa", "b.bb", "c.cc", "localhost", None]
+    rows = []
+    for i in range(150):
+        lang = rng.choice(list(TONGUES))
+        text = rng.choice([spoken(rng, lang, rng.randrange(1, 30)), spoken(rng, lang, 40), "", None, "".join(rng.choice("qxzj ") for _ in range(60))])
+        rows.append((i, text, rng.choice(hosts), rng.choice([lang, lang.upper(), "zz", None]), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, declared string, lang string")
+    model = language_id.fit_text_model(df, "text", "lang")
+    want = brute_language(rows, model)
+    found = {r.doc_id: (r.language, round(r.probability, 5), r.accepted) for r in language_id.identify(df, model, declared="declared", host="host").collect()}
+    for i, w in enumerate(want):
+        assert found[i][0] == w[0] and abs(found[i][1] - w[1]) < 2e-5 and found[i][2] == w[2], (rows[i], found[i], w)
+
+
+def test_pages_of_odd_shapes_are_evidence_or_none(spark):
+    rows = [(1, "http://a.aa/7", None), (2, None, "<html lang=bb>"), (3, "http://b.bb/", "<html lang=bb>"), (None, "http://c.cc/en/9?x=1", "<HTML LANG='EN-us'>"), (5, "http://d.dd/9", "<html lang=de>"), (5, "http://d.dd/9", "<html lang=de>"), (6, "http://e.ee/99999999999999999999", "<html lang=fr>")]
+    found = {r.page_doc: (r.page_lang, r.page_host) for r in language_id.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {7: (None, "a.aa"), 9: ("de", "d.dd")}
