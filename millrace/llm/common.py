@@ -7,7 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -53,19 +53,24 @@ class Written:
         self.paths: dict[int, tuple[DataFrame, str]] = {}
         atexit.register(self._leave)
 
-    def _save(self, writer: DataFrameWriter, path: str) -> None:
+    @contextlib.contextmanager
+    def settings(self) -> Iterator[None]:
+        """The settings of writes, for other actions too; the session's own come back."""
         before = {k: self.spark.conf.get(k, None) for k in _SETTINGS}
         rows = before["spark.sql.execution.arrow.maxRecordsPerBatch"]
         try:
             for k, v in _SETTINGS.items():
-                if k.endswith("maxRecordsPerBatch") and rows and 0 < int(rows) < int(v):
-                    continue
-                self.spark.conf.set(k, v)
-            writer.parquet(path)
+                if not (k.endswith("maxRecordsPerBatch") and rows and 0 < int(rows) < int(v)):
+                    self.spark.conf.set(k, v)
+            yield
         finally:
             for k, v in before.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
+    def _save(self, writer: DataFrameWriter, path: str) -> None:
+        with self.settings():
+            writer.parquet(path)
+
     def __call__(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
@@ -109,11 +114,15 @@ class Written:
         self.paths.clear()
 
 
+def in_order(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Something to order rows by, for every column; maps are compared as JSON."""
+    return [F.to_json(col(c)) if "map<" in df.schema[c].dataType.simpleString() else col(c) for c in columns]
+
+
 def least_rows(df: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
     """Of the rows that agree in the columns `by` the least one by all of `keep` (maps are compared as JSON)."""
     row = F.struct(*[col(c) for c in keep])
-    has_map = any("map<" in df.schema[c].dataType.simpleString() for c in keep)
-    return df.groupBy(*[col(c) for c in by]).agg((F.min_by(row, F.to_json(row)) if has_map else F.min(row)).alias("d")).select("d.*")
+    return df.groupBy(*[col(c) for c in by]).agg(F.min_by(row, F.struct(*in_order(df, keep))).alias("d")).select("d.*")
 
 
 def fresh(columns: Iterable[str], wanted: str) -> str:

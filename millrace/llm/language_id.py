@@ -126,7 +126,8 @@ def fit_text_model(labelled: DataFrame, text: str, label: str, sample: int = 400
             at = np.flatnonzero(counts)
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["label", "bucket", "n"])
 
-    found = rows.mapInArrow(counted, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    with Written(labelled.sparkSession, "text-model").settings():
+        found = rows.mapInArrow(counted, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(numbers))
     counts = np.zeros((len(languages), 1 << bits))
     for k, name in enumerate(languages):

@@ -453,8 +453,6 @@ def repeated_passages(docs: DataFrame, ident: str = "doc_id", text: str = "text"
         both = now.unionAll(replies).repartition("shard").sortWithinPartitions("shard", "kind")
         more, hit = write.by_kind(both.mapInArrow(_advance(n, t), _ROW), 0, 2)
         write.drop(now)
-        del both, replies
-        write.release()
         hits.append(hit)
         now = more
         if now.isEmpty():
@@ -464,16 +462,15 @@ def repeated_passages(docs: DataFrame, ident: str = "doc_id", text: str = "text"
         found = found.unionAll(more)
     found = found.mapInArrow(_hits, "_k1 long, _k2 long, starts binary").groupBy("_k1", "_k2").agg(F.collect_list("starts").alias("starts"))
     found = write(found)
-    write.release()
     texts = keyed.join(found, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("id", "text", "starts")
     lists = f"ids array<{kind}>, texts array<string>, starts array<array<binary>>"
     units = write(texts.mapInArrow(_units(shard_bytes), f"{_ROW}, id array<{kind}>, text array<string>, starts array<array<binary>>").toDF("shard", "kind", "bucket", "blob", "ids", "texts", "starts"))
-    del texts
-    write.release()
     replies = met_again(units.mapInArrow(_send_windows(n, least, w), _ROW))
     none = [F.lit(None).cast(x.strip().split(" ", 1)[1]).alias(x.strip().split(" ", 1)[0]) for x in lists.split(", ")]
     both = units.unionAll(replies.select("*", *none)).repartition("shard").sortWithinPartitions("shard", F.desc("kind"))
-    return both.mapInArrow(_stretches(n, least, w), f"doc_id {kind}, first_word int, n_words int")
+    out = write(both.mapInArrow(_stretches(n, least, w), f"doc_id {kind}, first_word int, n_words int"))
+    write.drop_all_but(out)
+    return out
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
