@@ -144,5 +144,5 @@ def assemble_grams(*lists: Column) -> Column:
 
 
 def categorical_array(columns: Sequence[str]) -> Column:
-    """One token `column_value` for each column; null gives no value part."""
-    return F.array(*[F.concat(F.lit(c + "_"), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns])
+    """One token `column_value` for each column, in order; a null value gives a null token."""
+    return F.array(*[F.concat(F.lit(c + "_"), F.col(c).cast("string")) for c in columns])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import before
+
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return df.groupBy(label, prediction).agg(F.count("*").alias("n"))
@@ -38,11 +40,13 @@ def weighted(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def threshold_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Precision, recall and F2 at every distinct score, by cumulative counts from the highest score down.
 
-    Scores are counted before they are ordered, so what a window sorts are distinct scores."""
+    Scores are counted before they are ordered, and ranked by ranges, so no window holds a whole table or group."""
     counts = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("pos"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    rows = counts.select(*keys, "threshold", F.sum("n").over(down).alias("predicted"), F.sum("pos").over(down).alias("tp"), F.sum("pos").over(every).alias("positives"), F.sum("n").over(every).alias("total"))
+    rows = before(counts, F.col("threshold"), {"_n": F.col("n"), "_pos": F.col("pos")}, keys, descending=True)
+    names = {f"_g{i}": k for i, k in enumerate(keys)}
+    every = counts.groupBy(*[F.col(k).alias(g) for g, k in names.items()]).agg(F.sum("pos").alias("positives"), F.sum("n").alias("total"))
+    every = F.broadcast(every) if not keys else every  # one row
+    rows = rows.join(every, [F.col(k).eqNullSafe(F.col(g)) for g, k in names.items()] if keys else F.lit(True)).select(*keys, "threshold", (F.col("_n") + F.col("n")).alias("predicted"), (F.col("_pos") + F.col("pos")).alias("tp"), "positives", "total")
     p, r = F.col("tp") / F.col("predicted"), F.try_divide(F.col("tp"), F.col("positives"))
     rows = rows.select("*", p.alias("precision"), F.coalesce(r, F.lit(0.0)).alias("recall"))
     return rows.withColumn("f2", F.coalesce(F.try_divide(5 * F.col("precision") * F.col("recall"), 4 * F.col("precision") + F.col("recall")), F.lit(0.0)))
@@ -56,11 +60,22 @@ def best_threshold(curve: DataFrame) -> DataFrame:
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve with ties counted half, from counts by distinct score."""
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("n"))
-    below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    ranked = counts.select("p", "n", below.alias("below"))
+    ranked = before(counts, F.col("s"), {"below": F.col("n")})
     return ranked.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auroc"))
 
 
+def binary_by_page(df: DataFrame, page: str, score: str, label: str, last: int) -> DataFrame:
+    """For each page bucket the area under the ROC curve, and the threshold of the best F2 with its precision, recall and accuracy."""
+    rows = df.withColumn("_bucket", F.least(F.col(page), F.lit(last)))
+    counts = rows.where(F.col(score).isNotNull()).groupBy("_bucket", F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("n"))
+    ranked = before(counts, F.col("s"), {"below": F.col("n")}, ["_bucket"])
+    area = ranked.groupBy(F.col("_bucket").alias("b")).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auroc"))
+    curve = threshold_curve(rows, score, label, ["_bucket"])
+    best = curve.groupBy(F.col("_bucket").alias("page")).agg(F.max(F.struct("f2", "threshold", "precision", "recall", "positives", "total", "tp", "predicted")).alias("x"))
+    right = F.col("x.total") - F.col("x.positives") - F.col("x.predicted") + 2 * F.col("x.tp")
+    return best.join(area, F.col("page").eqNullSafe(F.col("b"))).select("page", "auroc", "x.threshold", "x.f2", "x.precision", "x.recall", (right / F.col("x.total")).alias("accuracy"))
+
+
 def per_intent_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """One tab-separated line for each class, for a text file."""
     rows = by_class(df, label, prediction)

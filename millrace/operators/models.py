@@ -6,7 +6,6 @@ import math
 import random
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import Estimator, Model, Pipeline
@@ -14,10 +13,14 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, Lin
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.param import TypeConverters
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import weighted
+from .sampling import stratified_split
+
 SEED = 999
 
 
@@ -106,85 +109,30 @@ def sigmoid(score: Column, a: float, b: float) -> Column:
     return F.when(m >= 0, 1 / (1 + F.exp(-m))).otherwise(F.exp(m) / (1 + F.exp(m)))
 
 
-@dataclass(frozen=True)
-class Platt:
-    """Calibration of raw scores: (a, b) for each class; one pair for two classes."""
-
-    pairs: tuple[tuple[float, float], ...]
+def uplift(df: DataFrame, chain: Model | Sequence[Model], treatment: int = -1, features: str = "features", probability: str = "probability") -> DataFrame:
+    """Scores with the treatment feature at 0 and at 1: probability becomes [1 - d, d] with d their difference, the raw prediction its bounded logit, and the prediction 1.
 
-    def transform(self, df: DataFrame, raw: str = "rawPrediction", probability: str = "probability", prediction: str = "prediction") -> DataFrame:
-        scores = vector_to_array(raw)
-        if len(self.pairs) == 1:
-            p = sigmoid(F.get(scores, 1), *self.pairs[0])
-            return df.withColumn(probability, array_to_vector(F.array(1 - p, p)))
-        each = F.array(*[sigmoid(F.get(scores, k), *ab) for k, ab in enumerate(self.pairs)])
-        total = F.aggregate(each, F.lit(0.0), lambda x, y: x + y)
-        out = df.withColumn("_p", each).withColumn("svm_prediction", F.col(prediction))
-        return out.withColumn(prediction, (F.array_position("_p", F.array_max("_p")) - 1).cast("double")).withColumn(probability, array_to_vector(F.transform("_p", lambda x: x / total))).drop("_p")
+    chain: a model, or several applied in turn, such as a classifier and its calibration. treatment: the feature's place, counted from the end if negative."""
+    chain = list(chain) if isinstance(chain, Sequence) else [chain]
+    before = set(df.columns)
 
+    def scored(rows: DataFrame) -> DataFrame:
+        for m in chain:
+            rows = m.transform(rows)
+        return rows
 
-def fit_platt(df: DataFrame, label: str, classes: int = 2, raw: str = "rawPrediction", regularization: float = 0.1) -> Platt:
-    """Two classes: hard labels. More: one calibration for each class against the rest, with smoothed targets."""
-    pairs = []
-    for k in [1] if classes == 2 else range(classes):
-        rows = df.select(array_to_vector(F.array(F.get(vector_to_array(raw), k))).alias("features"), (F.col(label) == k).cast("double").alias("y"))
-        if classes > 2:
-            n, p = rows.agg(F.count("*"), F.sum("y")).first()
-            rows = rows.withColumn("y", platt_targets(F.lit(n - p), F.lit(p), F.col("y")))
-        m = fit_soft_labels(rows, "y", regParam=regularization)
-        pairs.append((float(m.coefficients[0]), float(m.intercept)))
-    return Platt(tuple(pairs))
-
-
-@dataclass
-class OneVsRest:
-    """A binary classifier for each class; raw scores are kept, and probabilities where the base has them."""
-
-    base: Estimator
-    parallelism: int = 3
-    models: list[Model] = field(default_factory=list)
-
-    def fit(self, df: DataFrame, label: str, classes: int) -> OneVsRest:
-        df = df.cache()
-        try:
-            one = lambda k: self.base.copy({self.base.labelCol: "_one"}).fit(df.withColumn("_one", (F.col(label) == k).cast("double")))
-            with ThreadPoolExecutor(self.parallelism) as pool:
-                self.models = list(pool.map(one, range(classes)))
-        finally:
-            df.unpersist()
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        keep, has = df.columns, self.base.hasParam("probabilityCol")
-        raw, probability = [], []
-        for k, m in enumerate(self.models):
-            extra = {m.rawPredictionCol: f"_raw{k}", m.predictionCol: f"_pred{k}"} | ({m.probabilityCol: f"_prob{k}"} if has else {})
-            df = m.transform(df, extra).drop(f"_pred{k}")
-            raw.append(F.get(vector_to_array(f"_raw{k}"), 1))
-            probability.append(F.get(vector_to_array(f"_prob{k}"), 1) if has else None)
-        scores = F.array(*raw)
-        out = df.withColumn("_scores", scores)
-        more = [array_to_vector("_scores").alias("rawPrediction"), (F.array_position("_scores", F.array_max("_scores")) - 1).cast("double").alias("prediction")]
-        if has:
-            p = F.array(*probability)
-            more.append(array_to_vector(F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, b: a + b))).alias("probability"))
-        return out.select(*keep, *more)
-
-
-def uplift(df: DataFrame, model: Model, treatment: int, features: str = "features", probability: str = "probability") -> DataFrame:
-    """Scores with the treatment feature at 0 and at 1: probability becomes [1 - d, d] with d their difference, the raw prediction its bounded logit, and the prediction 1."""
-    df = model.transform(df)
-    names = [c for c in ("rawPrediction", "probability", "prediction") if c in df.columns]
+    df = scored(df)
+    names = [c for c in df.columns if c not in before]
     df = df.withColumnsRenamed({c: f"model{c[0].upper()}{c[1:]}" for c in names})
     own = features + "_kept"
     df = df.withColumnRenamed(features, own)
     scores = []
-
-    def treated(value: float) -> Column:
-        return array_to_vector(F.transform(vector_to_array(own), lambda x, i: F.when(i == treatment, F.lit(value)).otherwise(x)))
-
+    kept = vector_to_array(own)
+    place = F.lit(treatment) if treatment >= 0 else F.size(kept) + treatment
     for value in (0.0, 1.0):
-        df = model.transform(df.withColumn(features, treated(value))).withColumn(f"_p{int(value)}", F.get(vector_to_array(probability), 1)).drop(*names, features)
+        at = F.lit(value)
+        treated = array_to_vector(F.transform(kept, lambda x, i: F.when(i == place, at).otherwise(x)))  # noqa: B023
+        df = scored(df.withColumn(features, treated)).withColumn(f"_p{int(value)}", F.get(vector_to_array(probability), 1)).drop(*names, features)
         scores.append(F.col(f"_p{int(value)}"))
     d = scores[1] - scores[0]
     logit = F.when(d <= 0, -100.0).when(d >= 1, 100.0).otherwise(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.log(d / (1 - d)))))
@@ -198,7 +146,7 @@ def top_intents(probability: Column, labels: Sequence[str], k: int) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda x: F.struct(F.get(F.array(*[F.lit(x) for x in labels]), x["i"]).alias("label"), (-x["p"]).alias("probability")))
 
 
-METRICS = {"accuracy": "accuracy", "weightedPrecision": "weightedPrecision", "weightedRecall": "weightedRecall", "f1": "f1"}
+METRICS = {m: m for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}
 
 
 def fold_column(df: DataFrame, key: Sequence[str], folds: int, name: str = "fold") -> DataFrame:
@@ -206,35 +154,46 @@ def fold_column(df: DataFrame, key: Sequence[str], folds: int, name: str = "fold
     return df.withColumn(name, F.pmod(F.xxhash64(F.lit(SEED), *key), F.lit(folds)).cast("int"))
 
 
-def cross_validate(df: DataFrame, estimator: Estimator, grids: list[dict], key: Sequence[str], folds: int = 3, metric: str = "weightedPrecision", label: str = "label", parallelism: int = 3) -> tuple[Model, list[dict]]:
-    """The best model, refitted on all rows, and the metric of every parameter map on every fold, keyed by both."""
-    rows = fold_column(df, key, folds).cache()
+def cross_validate(df: DataFrame, estimator: Estimator, grids: list[dict], key: Sequence[str], folds: int = 3, metric: str = "weightedPrecision", label: str = "label", parallelism: int = 3, sink: Callable[[DataFrame], None] | None = None) -> tuple[Model, list[dict]]:
+    """The best model, refitted on all rows, and the metrics of every parameter map on every fold, keyed by both.
+
+    The estimator may be a pipeline, such as a classifier with its calibration, which is then fitted in every fold. sink: gets the held-out predictions of the
+    best parameter map, fold by fold."""
+    rows = fold_column(df, key, folds).persist()
     try:
-        evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName=METRICS[metric])
-        cv = CrossValidator(estimator=estimator, estimatorParamMaps=grids, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism, collectSubModels=True)
-        model = cv.fit(rows)
-
-        def scores(fold: int) -> list[dict]:
-            held = rows.where(F.col("fold") == fold)
-            found = []
-            for i, m in enumerate(model.subModels[fold]):
-                scored = m.transform(held)
-                found.append({"fold": fold, "map": i} | {n: evaluator.evaluate(scored, {evaluator.metricName: v}) for n, v in METRICS.items()})
-            return found
+
+        def one(at: tuple[int, int]) -> tuple[dict, Model]:
+            fold, i = at
+            m = estimator.fit(rows.where(F.col("fold") != fold), grids[i])
+            found = weighted(m.transform(rows.where(F.col("fold") == fold)), label, "prediction").first()
+            return {"fold": fold, "map": i, "accuracy": found.accuracy, "weightedPrecision": found.weighted_precision, "weightedRecall": found.weighted_recall, "f1": found.weighted_f1}, m
 
         with ThreadPoolExecutor(parallelism) as pool:
-            table = [x for part in pool.map(scores, range(folds)) for x in part]
-        return model.bestModel, table
+            done = list(pool.map(one, [(fold, i) for fold in range(folds) for i in range(len(grids))]))
+        table = [x for x, _ in done]
+        best = max(range(len(grids)), key=lambda i: (sum(x[METRICS[metric]] or 0.0 for x in table if x["map"] == i), -i))
+        if sink:
+            for x, m in done:
+                if x["map"] == best:
+                    sink(m.transform(rows.where(F.col("fold") == x["fold"])).select(*key, "fold", label, "prediction"))
+        return estimator.fit(rows.drop("fold"), grids[best]), table
     finally:
         rows.unpersist()
 
 
-def draw(ranges: Mapping[str, Any], rng: random.Random) -> dict[str, Any]:
-    """One value for each name, in the order of names: a scalar stays, a list is chosen from, {min, max} is uniform."""
+def whole_number(estimator: Estimator, name: str) -> bool:
+    return estimator.hasParam(name) and estimator.getParam(name).typeConverter is TypeConverters.toInt
+
+
+def draw(ranges: Mapping[str, Any], rng: random.Random, whole: Callable[[str], bool] = lambda name: False) -> dict[str, Any]:
+    """One value for each name, in the order of names: a scalar stays, a list is chosen from, {min, max} is uniform, over whole numbers with both ends if `whole` says so."""
     out = {}
     for name in sorted(ranges):
         v = ranges[name]
-        out[name] = rng.uniform(v["min"], v["max"]) if isinstance(v, Mapping) else rng.choice(list(v)) if isinstance(v, list | tuple) else v
+        if isinstance(v, Mapping):
+            out[name] = rng.randint(math.ceil(v["min"]), math.floor(v["max"])) if whole(name) else rng.uniform(v["min"], v["max"])
+        else:
+            out[name] = rng.choice(list(v)) if isinstance(v, list | tuple) else v
     return out
 
 
@@ -249,12 +208,12 @@ def brackets(budget: int = 81, eta: int = 3) -> list[list[tuple[int, float]]]:
     return out
 
 
-def hyperband(df: DataFrame, estimator: Estimator, ranges: Mapping[str, Any], label: str = "label", budget: int = 81, eta: int = 3, multiplier: int = 20, train: float = 0.8, seed: int = SEED, parallelism: int = 3, metric: str = "weightedPrecision") -> tuple[Model, dict[str, Any], list[dict]]:
-    """Successive halving over brackets; iterations grow with the rung. The winner is fitted again on all rows."""
+def hyperband(df: DataFrame, estimator: Estimator, ranges: Mapping[str, Any], label: str = "label", budget: int = 81, eta: int = 3, multiplier: int = 20, train: float = 0.8, seed: int = SEED, parallelism: int = 3, metric: str = "weightedPrecision", stratified: bool = False, key: Sequence[str] | None = None) -> tuple[Model, dict[str, Any], list[dict]]:
+    """Successive halving over brackets; iterations grow with the rung. The winner is fitted again on all rows. stratified: of every class the same share is trained on, by a hash of the key."""
     if not estimator.hasParam("maxIter"):
         raise ValueError("the estimator has no number of iterations to spend")
     rng = random.Random(seed)
-    fitted, held = df.randomSplit([train, 1 - train], seed)
+    fitted, held = stratified_split(df, label, train, F.xxhash64(F.lit(seed), *(key or [label]))) if stratified else df.randomSplit([train, 1 - train], seed)
     fitted, held = fitted.cache(), held.cache()
     evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName=METRICS[metric])
     log: list[dict] = []
@@ -267,7 +226,7 @@ def hyperband(df: DataFrame, estimator: Estimator, ranges: Mapping[str, Any], la
         best: tuple[float, dict, int] = (-1.0, {}, 1)
         with ThreadPoolExecutor(parallelism) as pool:
             for b, rungs in enumerate(brackets(budget, eta)):
-                maps = [draw(ranges, rng) for _ in range(rungs[0][0])]
+                maps = [draw(ranges, rng, lambda name: whole_number(estimator, name)) for _ in range(rungs[0][0])]
                 for n, resource in rungs:
                     maps, iterations = maps[:n], max(1, int(resource * multiplier / budget))
                     scores = list(pool.map(lambda m, it=iterations: score(m, it), maps))

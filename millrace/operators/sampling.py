@@ -6,9 +6,11 @@ import logging
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import before
+
 SEED = 20
 RANDOM_VARIABLE = "sparkRandomVariable"
 LEAST_SHARE = 0.002
@@ -40,14 +42,17 @@ def conditional_split(df: DataFrame, conditions: Sequence[str]) -> list[DataFram
     return [df.where(c) for c in conditions]
 
 
-def stratified_split(df: DataFrame, label: str, fraction: float, by: Column, tenths: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The first ceil(fraction x size) rows of each class in the order of `by`, and the rest. tenths: round the fraction to one decimal first."""
+def stratified_split(df: DataFrame, label: str, fraction: float, by: Column, tenths: bool = False, coarse: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first ceil(fraction x size) rows of each class in the order of `by`, and the rest. tenths: round the fraction to one decimal first.
+
+    Ranks are found by ranges, so a class may have any size. coarse: a number that never falls as `by` rises, needed where `by` is none."""
     if tenths:
         fraction = math.floor(fraction * 10 + 0.5) / 10
-    w = Window.partitionBy(label)
-    ranked = df.withColumn("_rank", F.row_number().over(w.orderBy(by))).withColumn("_size", F.count("*").over(w))
-    inside = F.col("_rank") <= F.ceil(F.col("_size") * fraction)
-    return ranked.where(inside).drop("_rank", "_size"), ranked.where(~inside).drop("_rank", "_size")
+    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.ceil(F.count("*") * F.lit(fraction)).alias("_first"))
+    ranked = before(df, by, {"_rank": F.lit(1)}, [label], coarse)
+    ranked = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_class")))
+    inside = F.col("_rank") < F.col("_first")
+    return ranked.where(inside).select(*df.columns), ranked.where(~inside).select(*df.columns)
 
 
 def remaining(df: DataFrame, train: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
@@ -69,8 +74,10 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def minority_majority(df: DataFrame, label: str) -> tuple[object, object, int, int]:
     """(rarest class, most frequent class, rows of the rarest, rows of all)."""
-    rows = class_counts(df, label).collect()
-    return rows[0][0], rows[-1][0], rows[0][1], sum(r[1] for r in rows)
+    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    first, last = F.struct("n", label), F.col(label)
+    r = counts.agg(F.min_by(last, first), F.max_by(last, first), F.min("n"), F.sum("n")).first()
+    return r[0], r[1], r[2], r[3]
 
 
 def guard_minority(share: float, percent: float) -> bool:
@@ -96,28 +103,41 @@ def balance_plan(minority: int, total: int, percent: float) -> tuple[int, float]
     return 1, 0.0
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _rare_and_frequent(df: DataFrame, label: str, percent: float) -> tuple[Column, Column, int, float]:
+    rare, frequent, m, n = minority_majority(df, label)
+    return (F.col(label) == F.lit(rare), F.col(label) == F.lit(frequent), *balance_plan(m, n, percent))
+
 
+def _copied(df: DataFrame, rare: Column, frequent: Column, copies: int, more: Column | None) -> DataFrame:
+    """Rows of the rare class once, those of the frequent one `copies` times and, where `more` holds, once more: one pass."""
+    times = F.when(rare, 1).when(frequent, F.lit(copies) + (more.cast("int") if more is not None else 0)).otherwise(0)
+    return df.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*df.columns)
 
-def balance_random(df: DataFrame, label: str, percent: float, seed: int = SEED) -> DataFrame:
-    rare, frequent, m, n = minority_majority(df, label)
-    most = df.where(F.col(label) == F.lit(frequent))
-    copies, fraction = balance_plan(m, n, percent)
-    parts = [df.where(F.col(label) == F.lit(rare)), *[most] * copies]
-    return _union([*parts, most.sample(True, fraction, seed)] if fraction else parts)
+
+def hash_share(key: Sequence[str], fraction: float, seed: int = SEED) -> Column:
+    """Whether a row is in a share of all, by a hash of its key: the same rows at every run and on every cluster."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    return random_variable(F.md5(text)) < fraction * 100
+
+
+def hash_split(df: DataFrame, weights: Sequence[float], key: Sequence[str], seed: int = SEED) -> list[DataFrame]:
+    """Like random_split, but by a hash of a key."""
+    ends = [sum(weights[: i + 1]) / sum(weights) for i in range(len(weights))]
+    return [df.where(hash_share(key, b if i + 1 < len(ends) else 2.0, seed) & ~hash_share(key, a, seed)) for i, (a, b) in enumerate(zip([0.0, *ends], ends))]
+
+
+def balance_random(df: DataFrame, label: str, percent: float, key: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
+    """Rows of other classes than the rarest and the most frequent are left out. The fraction of a copy is drawn by a hash of the key, or at random without one."""
+    rare, frequent, copies, fraction = _rare_and_frequent(df, label, percent)
+    more = None if not fraction else hash_share(key, fraction, seed) if key else F.rand(seed) < fraction
+    return _copied(df, rare, frequent, copies, more)
 
 
 def balance_conditional(df: DataFrame, label: str, percent: float, variable: str) -> DataFrame:
     """Like balance_random, but the fraction are the rows whose random variable is low."""
-    rare, frequent, m, n = minority_majority(df, label)
-    most = df.where(F.col(label) == F.lit(frequent))
-    copies, fraction = balance_plan(m, n, percent)
-    parts = [df.where(F.col(label) == F.lit(rare)), *[most] * copies]
+    rare, frequent, copies, fraction = _rare_and_frequent(df, label, percent)
+    more = None
     if fraction:
-        low, high = most.agg(F.min(variable), F.max(variable)).first()
-        parts.append(most.where(F.col(variable) < low + fraction * (high - low)))
-    return _union(parts)
+        low, high = df.where(frequent).agg(F.min(variable), F.max(variable)).first()
+        more = F.coalesce(F.col(variable) < low + fraction * (high - low), F.lit(False))
+    return _copied(df, rare, frequent, copies, more)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import binning, drift, journey, metrics, models, sampling
-from ..operators.publish import busiest_date, sample_visitors
-from ..sources.readers import run_sql_chain
+from ..operators.publish import qa_data
+from ..operators import stages
+from ..sources.readers import read, run_sql_chain, select_roles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,9 +188,12 @@ def stemming(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.stem_words(F.col("text"), ["the"]).alias("text"))
 
 
-@query("select c_custkey, 'c_mktsegment_' || c_mktsegment || '|c_nationkey_' || c_nationkey as words from customer")
+@query("""select c_custkey, coalesce('c_mktsegment_' || nullif(c_mktsegment, 'BUILDING'), '-') || '|' || coalesce('c_nationkey_' || nullif(c_nationkey, 3), '-') as words, (c_mktsegment = 'BUILDING')::int + (c_nationkey = 3)::int as empty from customer""")
 def categorical_array(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.array_join(T.categorical_array(["c_mktsegment", "c_nationkey"]), "|").alias("words"))
+    """A third of the rows has a null in one of its columns."""
+    rows = table(spark, d, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"), F.nullif("c_nationkey", F.lit(3)).alias("c_nationkey"))
+    words = rows.select("c_custkey", T.categorical_array(["c_mktsegment", "c_nationkey"]).alias("w"))
+    return words.select("c_custkey", F.array_join("w", "|", "-").alias("words"), F.size(F.filter("w", lambda x: x.isNull())).alias("empty"))
 
 
 # --- bins
@@ -238,7 +243,7 @@ def split_conditional(spark, d):
 (select doc_id, toxic, row_number() over (partition by toxic order by md5(doc_id::varchar), doc_id) as k, count(*) over (partition by toxic) as n from labels)""")
 def stratified_rank_split(spark, d):
     rows = table(spark, d, "labels").select("doc_id", "toxic", F.struct(F.md5(F.col("doc_id").cast("string")), "doc_id").alias("by"))
-    train, test = sampling.stratified_split(rows, "toxic", 0.75, F.col("by"))
+    train, test = sampling.stratified_split(rows, "toxic", 0.75, F.col("by"), coarse=sampling.random_variable(F.md5(F.col("doc_id").cast("string"))))
     return train.select("doc_id", "toxic", F.lit("train").alias("part")).unionByName(test.select("doc_id", "toxic", F.lit("test").alias("part")))
 
 
@@ -274,17 +279,61 @@ def minority_majority(spark, d):
     return spark.createDataFrame([(rare, frequent)], "minority int, majority int")
 
 
-@query()
+def hash_sql(key: str) -> str:
+    return f"(('0x' || substr(md5('{sampling.SEED}|' || {key}::varchar), 1, 8))::bigint::double * 100 / 4294967295)"
+
+
+@query(f"""with c as (select toxic, count(*) as n, row_number() over (order by count(*), toxic) as k from labels group by 1),
+a as (select (select toxic from c where k = 1) as rare, (select n from c where k = 1) as m, (select toxic from c where k = 2) as freq, (select n from c where k = 2) as most)
+select doc_id, toxic from labels, a where toxic = rare or {hash_sql('doc_id')} < m / most * 70.0::double / 30 * 100""")
 def balance_random(spark, d):
-    return sampling.balance_random(table(spark, d, "labels"), "toxic", 30).groupBy("toxic").agg(F.count("*").alias("n"))
+    return sampling.balance_random(table(spark, d, "labels"), "toxic", 30, ["doc_id"]).select("doc_id", "toxic")
 
 
-@query()
+@query("""with r as (select doc_id, quality % 2 as y from labels union all select doc_id + 1000000, 1 from labels),
+c as (select y, count(*) as n from r group by 1), a as (select min_by(y, n) as rare, min(n) as m, max(n) as most, sum(n) as total from c),
+k as (select rare, floor((100.0::double * m / total) * total / 5 / most) as copies from a)
+select r.y as y, count(*) * case when r.y = rare then 1 else copies end::bigint as least_rows from r, k group by r.y, rare, copies""")
+def balance_copies(spark, d):
+    """The rare class is too frequent for what is asked for, so the other one is copied whole; what is drawn beyond whole copies is left out here."""
+    labels = table(spark, d, "labels")
+    rows = labels.select("doc_id", (F.col("quality") % 2).alias("y")).unionAll(labels.select(F.col("doc_id") + 1000000, F.lit(1)))
+    rare, _, m, n = sampling.minority_majority(rows, "y")
+    copies, _ = sampling.balance_plan(m, n, 5)
+    counts = sampling.balance_random(rows, "y", 5, ["doc_id"]).groupBy("doc_id", "y").agg(F.count("*").alias("n"))
+    return counts.groupBy("y").agg(F.sum(F.when(F.col("y") == F.lit(rare), F.col("n")).otherwise(F.least("n", F.lit(copies)))).alias("least_rows"))
+
+
+@query(f"select doc_id, quality, toxic, case when {hash_sql('doc_id')} < 80 then 'train' else 'test' end as part from labels")
 def random_split(spark, d):
-    train, test = sampling.random_split(table(spark, d, "labels"), [0.8, 0.2])
+    train, test = sampling.hash_split(table(spark, d, "labels"), [80, 20], ["doc_id"])
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
+@query(f"select distinct page::int as page from ({_VISITS}) order by 1 limit 3")
+def first_pages(spark, d):
+    return journey.first_pages(visits(spark, d), "page", 3)
+
+
+@query("select c_mktsegment as segment, c_nationkey as nation, count(*) as n, grouping(c_mktsegment, c_nationkey)::int as level from customer group by cube (c_mktsegment, c_nationkey)")
+def cube_counts(spark, d):
+    return table(spark, d, "customer").cube(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+@query("select r_name as region, n_name as nation, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")
+def rollup_counts(spark, d):
+    """Small tables are broadcast by their sizes."""
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count("*").alias("n"))
+
+
+@query("with a as (select c_nationkey, c_acctbal from customer where c_acctbal > 100), b as (select c_nationkey, sum(c_acctbal) as s from a group by 1) select c_nationkey, round(s, 2) as s from b where s > 1000")
+def source_file_chain(spark, d):
+    """A file by its address, and a chain of queries over it and one another."""
+    rows = read(spark, f"file://{d}/customer.parquet", "parquet", ["select c_nationkey, c_acctbal from customer where c_acctbal > 100", "select c_nationkey, sum(c_acctbal) as s from file_step1 group by c_nationkey", "select c_nationkey, round(s, 2) as s from file_step2 where s > 1000"], "file_step")
+    return select_roles(rows, {"keys": ["c_nationkey"], "numerical": ["s", "c_nationkey"]}, "s")
+
+
 # --- drift and metrics
 
 
@@ -299,6 +348,26 @@ def psi_exact(spark, d):
     return drift.psi(rows.where("rv < 60"), rows.where("rv >= 60"), "value", ["event_type"]).select("event_type", F.round("psi", 6).alias("psi"), "buckets")
 
 
+@query(f"""with e as (select event_type, value, {rv_sql('event_id')} < 60 as base from events where value is not null and ({rv_sql('event_id')} < 60 or value < 50)),
+r as (select event_type, value, row_number() over (partition by event_type order by value) as k, count(*) over (partition by event_type) as n from e where base),
+s as (select event_type, list_sort(list_distinct(list(value))) as splits from r where list_contains(list_transform(range(1, 10), lambda i: greatest(ceil((i * 0.1::double) * n)::bigint, 1)), k) group by 1),
+b as (select event_type, splits, unnest(range(0, len(splits) + 1)) as bucket from s),
+c as (select event_type, len(list_filter(splits, lambda x: x <= value)) as bucket, sum(base::int) as b, sum((not base)::int) as n from e join s using (event_type) group by 1, 2 having sum(base::int) > 0 and sum((not base)::int) > 0)
+select event_type, round(case when bucket = 0 then 0.0 else splits[bucket] end, 6)::double as from_value, round(case when bucket = len(splits) then 1.0 else splits[bucket + 1] end, 6)::double as to_value from b anti join c using (event_type, bucket)""")
+def psi_ranges(spark, d):
+    """The ranges of which the new rows have none, as they stop at 50."""
+    rows = table(spark, d, "events").select("event_type", "value", rv("event_id").alias("rv"))
+    found = drift.psi(rows.where("rv < 60"), rows.where("rv >= 60 and value < 50"), "value", ["event_type"]).select("event_type", F.explode("excluded").alias("x"))
+    return found.select("event_type", F.round("x.from", 6).alias("from_value"), F.round("x.to", 6).alias("to_value"))
+
+
+@query("""with v as (select unnest([{'variable': 'c_mktsegment', 'value': c_mktsegment}, {'variable': 'nation', 'value': (c_nationkey + c_custkey % 2)::varchar}]) as x, c_custkey % 3 > 0 as base from customer where c_custkey % 3 > 0 or c_nationkey < 20)
+select x.variable as variable, x.value as value, case when count(case when not base then 1 end) = 0 then 'missing' when count(case when base then 1 end) = 0 then 'new' else 'common' end as kind, count(case when base then 1 end) as base_rows, count(case when not base then 1 end) as new_rows from v group by 1, 2""")
+def vsi_values(spark, d):
+    rows = table(spark, d, "customer").select("c_mktsegment", "c_nationkey", (F.col("c_nationkey") + F.col("c_custkey") % 2).alias("nation"), (F.col("c_custkey") % 3 > 0).alias("base"))
+    return drift.values_by_kind(rows.where("base"), rows.where("not base and c_nationkey < 20"), ["c_mktsegment", "nation"])
+
+
 @query("""with v as (select unnest([{'variable': 'c_mktsegment', 'value': c_mktsegment}, {'variable': 'nation', 'value': (c_nationkey + c_custkey % 2)::varchar}]) as x, c_custkey % 3 > 0 as base from customer),
 c as (select x.variable as variable, x.value as value, sum(base::int) as b, sum((not base)::int) as n from v group by 1, 2),
 s as (select *, b / sum(case when b > 0 and n > 0 then b end) over (partition by variable) as sb, n / sum(case when b > 0 and n > 0 then n end) over (partition by variable) as sn from c)
@@ -308,6 +377,19 @@ def vsi(spark, d):
     return drift.vsi(rows.where("base"), rows.where("not base"), ["c_mktsegment", "nation"]).withColumn("vsi", F.round("vsi", 6))
 
 
+@query(f"""with v as (select least(page, 3)::int as b, event_type = 'purchase' as label, floor(value) as s from ({_VISITS}) where value is not null),
+c as (select b, s, count(*) as n, sum(label::int) as p from v group by 1, 2),
+w as (select b, s, n as own, p as own_p, sum(n) over k as n, sum(p) over k as tp, sum(p) over (partition by b) as pos, sum(n) over (partition by b) as total from c window k as (partition by b order by s desc rows unbounded preceding)),
+f as (select *, coalesce(5 * (tp / n) * coalesce(tp / nullif(pos, 0), 0) / nullif(4 * (tp / n) + coalesce(tp / nullif(pos, 0), 0), 0), 0) as f2 from w),
+m as (select *, row_number() over (partition by b order by f2 desc, s desc) as k from f),
+a as (select b, sum(own_p * ((total - pos) - (n - tp) + (own - own_p) / 2)) / nullif(sum(own_p) * (any_value(total) - any_value(pos)), 0) as auroc from f group by b)
+select m.b as page, round(auroc, 6) as auroc, s as threshold, round(f2, 6) as f2, round((total - pos - n + 2 * tp) / total, 6) as accuracy from m join a using (b) where k = 1""")
+def binary_pages(spark, d):
+    v = visits(spark, d).withColumn("label", (F.col("event_type") == "purchase").cast("int")).withColumn("s", F.floor("value").cast("double"))
+    found = metrics.binary_by_page(v, "page", "s", "label", 3)
+    return found.select("page", F.round("auroc", 6).alias("auroc"), "threshold", F.round("f2", 6).alias("f2"), F.round("accuracy", 6).alias("accuracy"))
+
+
 _JUDGED = "(select quality, (n_chars > 1500)::int as pred, n_chars % 100 / 100.0::double as score from documents join labels using (doc_id))"
 
 
@@ -368,30 +450,75 @@ def topk_intents(spark, d):
 
 @query("select o_orderkey, round(1 / (1 + exp(-(1.7 * (o_totalprice / 100000) - 2.5))), 6) as probability from orders")
 def platt_apply(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.round(models.sigmoid(F.col("o_totalprice") / 100000, 1.7, -2.5), 6).alias("probability"))
+    """A calibration of two classes on given raw scores."""
+    x = F.col("o_totalprice") / 100000
+    rows = table(spark, d, "orders").select("o_orderkey", array_to_vector(F.array(-x, x)).alias("rawPrediction"))
+    return stages.PlattModel({"pairs": [[1.7, -2.5]]}).transform(rows).select("o_orderkey", F.round(F.get(vector_to_array("probability"), 1), 6).alias("probability"))
+
+
+_PAIRS = [[1.5, -0.2], [0.7, 0.1], [2.0, -1.0]]
+
+
+@query("""with r as (select vec_id, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c from embeddings),
+p as (select *, 1 / (1 + exp(-(1.5 * a - 0.2))) as x, 1 / (1 + exp(-(0.7 * b + 0.1))) as y, 1 / (1 + exp(-(2.0 * c - 1.0))) as z from r)
+select vec_id, case when x >= y and x >= z then 0.0 when y >= z then 1.0 else 2.0 end::double as prediction, case when a >= b and a >= c then 0.0 when b >= c then 1.0 else 2.0 end::double as svm_prediction,
+  round(x / (x + y + z), 5) as p0, round(z / (x + y + z), 5) as p2 from p""")
+def platt_classes(spark, d):
+    """A calibration of three classes: the most probable class is the prediction, the other one is kept."""
+    scores = F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double"))
+    rows = table(spark, d, "embeddings").select("vec_id", array_to_vector(scores).alias("rawPrediction"), (F.array_position(scores, F.array_max(scores)) - 1).cast("double").alias("prediction"))
+    p = vector_to_array("probability")
+    return stages.PlattModel({"pairs": _PAIRS}).transform(rows).select("vec_id", "prediction", "svm_prediction", F.round(F.get(p, 0), 5).alias("p0"), F.round(F.get(p, 2), 5).alias("p2"))
+
+
+_LINES = [([1.0, -0.5, 0.2], 0.1), ([-0.3, 0.8, 0.4], 0.0), ([0.2, 0.2, -0.9], -0.1)]
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, round(1 / (1 + exp(-(0.05 * l_quantity - 1.2 + 0.4))) - 1 / (1 + exp(-(0.05 * l_quantity - 1.2))), 6) as delta from lineitem")
+@query("""with r as (select vec_id, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c from embeddings),
+m as (select *, a - 0.5 * b + 0.2 * c + 0.1 as x, -0.3 * a + 0.8 * b + 0.4 * c as y, 0.2 * a + 0.2 * b - 0.9 * c - 0.1 as z from r),
+p as (select *, 1 / (1 + exp(-x)) as px, 1 / (1 + exp(-y)) as py, 1 / (1 + exp(-z)) as pz from m)
+select vec_id, case when x >= y and x >= z then 0.0 when y >= z then 1.0 else 2.0 end::double as prediction, round(y, 5) as raw_1, round(py / (px + py + pz), 5) as p1 from p""")
+def one_vs_rest_apply(spark, d):
+    """A binary model for each of three classes, of given coefficients: raw scores, probabilities, and the class of the largest score."""
+    rows = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double"))).alias("features"))
+    out = stages.OneVsRestModel({}, [stages.LinearModel({"weights": w, "intercept": b}) for w, b in _LINES]).transform(rows)
+    return out.select("vec_id", "prediction", F.round(F.get(vector_to_array("rawPrediction"), 1), 5).alias("raw_1"), F.round(F.get(vector_to_array("probability"), 1), 5).alias("p1"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, round(1 / (1 + exp(-(0.05 * l_quantity - 1.2 + 0.4))) - 1 / (1 + exp(-(0.05 * l_quantity - 1.2))), 6) as delta, 1.0::double as prediction from lineitem")
 def uplift_delta(spark, d):
-    treated, plain = (models.sigmoid(F.col("l_quantity"), 0.05, b) for b in (-1.2 + 0.4, -1.2))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(treated - plain, 6).alias("delta"))
+    """A model of given coefficients with its last feature at 0 and at 1."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", array_to_vector(F.array("l_quantity", F.lit(0.0))).alias("features"))
+    out = stages.UpliftModel({"treatment": -1}, [stages.LinearModel({"weights": [0.05, 0.4], "intercept": -1.2})]).transform(rows)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.get(vector_to_array("probability"), 1), 6).alias("delta"), "prediction")
+
+
+@query("select doc_id, case lang when 'de' then 0 when 'en' then 1 when 'es' then 2 when 'fr' then 3 end::double as label, lang as name from documents where lang is not null")
+def label_names(spark, d):
+    """Labels to places in the alphabet, and back."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    model = models.label_indexer("lang", "label", multi=True).fit(docs)
+    return models.label_names("label", model.labels, "name").transform(model.transform(docs)).select("doc_id", "label", "name")
 
 
 @query("""with b as (select ts::date as day from events group by 1 order by count(*) desc, 1 limit 1),
 v as (select distinct user_id from events, b where ts::date = day order by user_id limit 20)
-select event_id, user_id, round(value / 100, 6) as probability from events, b where ts::date = day and user_id in (select user_id from v)""")
+select event_id, user_id, event_type, round(value / 100, 6) as probability from events, b where ts::date = day and user_id in (select user_id from v)""")
 def qa_sample(spark, d):
+    """Inputs of sampled visitors of the busiest day, joined with their scores."""
     events = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    rows = sample_visitors(events.where(F.col("day") == F.lit(busiest_date(events, "day"))), ["user_id"], 20)
-    return rows.select("event_id", "user_id", F.round(F.col("value") / 100, 6).alias("probability"))
+    p = F.col("value") / 100
+    scored = events.select("event_id", "user_id", array_to_vector(F.array(1 - p, p)).alias("probability"))
+    rows = qa_data(scored, events, ["user_id", "event_id"], 20, "day", visitor=["user_id"])
+    return rows.select("event_id", "user_id", "event_type", F.round("positive_probability", 6).alias("probability"))
 
 
 # --- models
 
 
-def document_features(spark: SparkSession, d: str, slots: int = 1024) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    tokens = docs.select("doc_id", "lang", T.tokenize(T.lower_case(F.col("text"))).alias("tokens"))
+def document_features(docs: DataFrame, slots: int = 1024) -> DataFrame:
+    """Hashed words in place of the text."""
+    tokens = docs.withColumn("tokens", T.tokenize(T.lower_case(F.col("text")))).drop("text")
     return models.vectorizer("hashingtf", "tokens", "features", slots).transform(tokens).drop("tokens")
 
 
@@ -401,19 +528,19 @@ def _scored(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 @query()
 def quality_model(spark, d):
-    """A classifier of document quality on hashed words, with its scores."""
+    """A classifier of document quality on hashed words, with its scores. Only labelled texts become features, and once for fit and scores."""
     labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    rows = document_features(spark, d).join(labels, "doc_id")
+    rows = document_features(table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")).persist()
     return _scored(models.classifier("logistic_regression", maxIter=20, regParam=0.01).fit(rows).transform(rows))
 
 
 @query()
 def language_one_vs_rest(spark, d):
-    rows = document_features(spark, d, 256)
-    indexed = models.label_indexer("lang", "label", multi=True).fit(rows).transform(rows)
-    fitted = models.OneVsRest(models.classifier("svm", maxIter=10)).fit(indexed, "label", 4)
-    scored = fitted.transform(indexed)
-    return models.fit_platt(scored, "label", 4).transform(scored).select("doc_id", "label", "prediction", "svm_prediction")
+    """A support vector machine for each language, calibrated."""
+    rows = document_features(table(spark, d, "documents").select("doc_id", "text", "lang"), 256)
+    rows = models.label_indexer("lang", "label", multi=True).fit(rows).transform(rows).select("doc_id", "label", "features").persist()
+    whole = Pipeline(stages=[stages.OneVsRest({"classes": 4}, [models.classifier("svm", maxIter=10)]), stages.Platt({"classes": 4})]).fit(rows)
+    return whole.transform(rows).select("doc_id", "label", "prediction", "svm_prediction")
 
 
 def _numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -429,9 +556,10 @@ def soft_label_regression(spark, d):
 
 @query()
 def svm_platt_uplift(spark, d):
+    """A support vector machine, its calibration, and the difference that treatment makes to the calibrated probability."""
     rows = _numbers(spark, d)
-    model = models.classifier("logistic_regression", maxIter=15).fit(rows)
-    return models.uplift(rows, model, 2).select("o_orderkey", "modelPrediction", "prediction", F.round(F.get(vector_to_array("probability"), 1), 6).alias("delta"))
+    chain = Pipeline(stages=[models.classifier("svm", maxIter=15), stages.Platt({"classes": 2})]).fit(rows).stages
+    return stages.UpliftModel({"treatment": 2}, chain).transform(rows).select("o_orderkey", "modelPrediction", "prediction", F.round(F.get(vector_to_array("probability"), 1), 6).alias("delta"))
 
 
 @query()
@@ -459,15 +587,24 @@ def hyperband_search(spark, d):
     return spark.createDataFrame([(int(x["bracket"]), int(x["iterations"]), float(x["score"]), float(x["regParam"])) for x in log], "bracket int, iterations int, score double, reg_param double")
 
 
-@query()
+@query(f"""with t as (select conv_id, turn, unnest({_TOKENS}) as term from conversations),
+c as (select conv_id, turn, term, count(*) as n from t group by 1, 2, 3), f as (select term, count(*) as df from c group by 1), m as (select count(*) as m from conversations)
+select conv_id, turn, term, n::double as tf, round(n * ln((m + 1) / (df + 1)), 6) as tfidf from c join f using (term), m""")
 def text_vectorizers(spark, d):
+    """Counts and TF-IDF of all terms, with terms in place of slots."""
+    tokens = _tokens(spark, d).withColumnRenamed("t", "tokens")
+    counts, idf = models.vectorizer("tfidf", "tokens", "tfidf", 1 << 18).fit(tokens).stages
+    rows = idf.transform(counts.transform(tokens)).select("conv_id", "turn", vector_to_array("tfidf_tf").alias("tf"), vector_to_array("tfidf").alias("idf"))
+    terms = spark.createDataFrame(list(enumerate(counts.vocabulary)), "slot int, term string")
+    each = rows.select("conv_id", "turn", F.explode(F.filter(F.transform("tf", lambda x, i: F.struct(i.alias("slot"), x.alias("tf"), F.get("idf", i).alias("idf"))), lambda x: x["tf"] > 0)).alias("x"))
+    return each.join(terms, F.col("x.slot") == F.col("slot")).select("conv_id", "turn", "term", F.col("x.tf").alias("tf"), F.round("x.idf", 6).alias("tfidf"))
+
+
+@query()
+def word_vectors(spark, d):
     tokens = _tokens(spark, d).withColumnRenamed("t", "tokens")
-    out = tokens
-    for name in ("count_vectorizer", "tfidf", "word2vec"):
-        m = models.vectorizer(name, "tokens", name, 64 if name != "word2vec" else 8)
-        out = (m.fit(out)).transform(out)
-    full = models.assembler(["count_vectorizer", "tfidf", "word2vec"]).transform(out)
-    return full.select("conv_id", "turn", F.size(vector_to_array("features")).alias("n"))
+    vectors = models.vectorizer("word2vec", "tokens", "v", 8).fit(tokens).transform(tokens)
+    return vectors.select("conv_id", "turn", F.size(vector_to_array("v")).alias("n"), F.exists(vector_to_array("v"), lambda x: x != 0).alias("filled"))
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:

@@ -1,13 +1,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from millrace.operators import drift, journey, metrics, models, publish, sampling
+from millrace.operators import binning, drift, journey, metrics, models, publish, ranks, sampling, stages
 
 
 def test_random_variable_known_values(spark):
@@ -109,9 +110,9 @@ def points(spark):
 
 def test_one_vs_rest_platt_and_top(spark, points):
     for base in (models.classifier("svm", maxIter=20), models.classifier("logistic_regression", maxIter=20)):
-        out = models.OneVsRest(base).fit(points, "label", 3).transform(points)
+        out = stages.OneVsRest({"classes": 3}, [base]).fit(points).transform(points)
         assert metrics.weighted(out, "label", "prediction").first().accuracy > 0.8
-        platt = models.fit_platt(out, "label", 3).transform(out)
+        platt = stages.Platt({"classes": 3}).fit(out).transform(out)
         assert metrics.weighted(platt, "label", "prediction").first().accuracy > 0.8
         top = platt.select("prediction", models.top_intents(vector_to_array("probability"), ["x", "y", "z"], 2).alias("k")).first()
         assert len(top.k) == 2 and top.k[0].label == "xyz"[int(top.prediction)]
@@ -120,7 +121,7 @@ def test_one_vs_rest_platt_and_top(spark, points):
 def test_binary_platt_is_monotone(spark, points):
     two = points.where("label < 2")
     scored = models.classifier("svm", maxIter=20).fit(two).transform(two)
-    out = models.fit_platt(scored, "label").transform(scored)
+    out = stages.Platt({"classes": 2}).fit(scored).transform(scored)
     rows = out.select(F.get(vector_to_array("rawPrediction"), 1).alias("r"), publish.positive_probability().alias("p")).orderBy("r").collect()
     assert all(a.p <= b.p + 1e-12 for a, b in zip(rows, rows[1:]))
 
@@ -151,6 +152,65 @@ def test_uplift_is_the_difference_of_two_scores(spark, points):
     assert math.isclose(r.probability[1], s(1) - s(0), abs_tol=1e-9) and r.prediction == 1.0 and "modelProbability" in r
 
 
+def test_nested_stages_are_saved_with_what_is_inside(spark, points, tmp_path):
+    two = points.where("label < 2")
+    ovr = Pipeline(stages=[stages.OneVsRest({"classes": 3}, [models.classifier("svm", maxIter=5)]), stages.Platt({"classes": 3}), stages.TopStage({"labels": ["x", "y", "z"], "k": 2})]).fit(points)
+    up = PipelineModel(stages=[stages.UpliftModel({"treatment": -1}, [models.classifier("svm", maxIter=5).fit(two), stages.PlattModel({"pairs": [[1.0, 0.0]]})]), stages.HotLeadStage({"page": None, "thresholds": [0.1]})])
+    for k, m in enumerate((ovr, up)):
+        m.write().overwrite().save(f"{tmp_path}/{k}")
+        again = PipelineModel.load(f"{tmp_path}/{k}")
+        rows = points if m is ovr else two
+        assert sorted(map(str, again.transform(rows).collect())) == sorted(map(str, m.transform(rows).collect()))
+    top = ovr.transform(points).first()
+    assert top.prediction_label == top.top_intents[0].label and "svm_prediction" in top
+
+
+def test_one_vs_rest_is_tuned_with_its_calibration(spark, points):
+    base, held = models.classifier("svm", maxIter=3), []
+    whole = Pipeline(stages=[stages.OneVsRest({"classes": 3}, [base]), stages.Platt({"classes": 3})])
+    best, table = models.cross_validate(points, whole, models.grid("svm", base, {"regParam": [0.01, 100.0]}), ["id"], folds=2, sink=lambda df: held.append(df.count()))
+    assert sum(held) == 400 and len(table) == 4 and "probability" in best.transform(points).columns
+    assert models.draw({"a": {"min": 2, "max": 5}, "b": {"min": 0.0, "max": 1.0}}, random.Random(1), lambda n: n == "a")["a"] in (2, 3, 4, 5)
+    tree = models.classifier("gradient_boosted_trees")
+    assert models.whole_number(tree, "maxDepth") and not models.whole_number(tree, "stepSize")
+    _, _, log = models.hyperband(points.where("label < 2"), tree, {"maxDepth": {"min": 1, "max": 2}}, budget=3, multiplier=2, stratified=True, key=["id"])
+    assert all(x["maxDepth"] in (1, 2) for x in log)
+
+
+@pytest.mark.parametrize("parts", [2, 7, 50])
+def test_running_sums_are_those_of_one_window(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(40)), float(i)]), rng.randrange(5), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o double, v int, i int").groupBy("k", "o").agg(F.sum("v").alias("v"))
+    for keys in ([], ["k"]):
+        one = df if keys else df.groupBy("o").agg(F.sum("v").alias("v"))
+        for down in (False, True):
+            found = {(r.k if keys else 0, r.o): r.s for r in ranks.before(one, F.col("o"), {"s": F.col("v")}, keys, descending=down, parts=parts).collect()}
+            rest = one.collect()
+            place = lambda r: (r.o is not None, r.o or 0.0)
+            want = {(r.k if keys else 0, r.o): sum(x.v for x in rest if (not keys or x.k == r.k) and (place(x) > place(r) if down else place(x) < place(r))) for r in rest}
+            assert found == want
+
+
+def test_exact_and_sketched_borders(spark):
+    rng = random.Random(2)
+    values = [float(rng.randrange(1000)) for _ in range(999)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    want = np.quantile(values, [0.25, 0.5, 0.75]).tolist()
+    assert np.allclose(binning.exact_splits(df, "v", 4), want)
+    assert np.allclose(binning.sketched_splits(df, "v", 4), want, atol=10)
+    assert binning.exact_splits(df.limit(0), "v", 4) == [] and binning.equidistant_splits(df.limit(0), "v", 4) == []
+
+
+def test_hash_split_and_copies(spark):
+    df = spark.createDataFrame([(i, int(i < 300)) for i in range(1000)], "i int, y int")
+    parts = sampling.hash_split(df, [50, 30, 20], ["i"])
+    assert [p.count() for p in parts] == [p.count() for p in sampling.hash_split(df, [50, 30, 20], ["i"])] and sum(p.count() for p in parts) == 1000
+    assert abs(parts[0].count() - 500) < 60 and not parts[0].join(parts[1], "i").count()
+    copied = sampling.balance_random(df, "y", 10, ["i"]).groupBy("i", "y").count().collect()
+    assert {r["count"] for r in copied if r.y} == {1} and {r["count"] for r in copied if not r.y} == {4, 5}
+
+
 def test_tuning(spark, points):
     lr = models.classifier("logistic_regression", maxIter=5)
     best, table = models.cross_validate(points, lr, models.grid("logistic_regression", lr, {"regParam": [0.0, 1.0]}), ["id"], folds=2)
@@ -164,6 +224,41 @@ def test_tuning(spark, points):
     assert set(pages) == {1, 2}
 
 
+def murmur3(data, seed=42):
+    """What the published script does, step by step."""
+    h, whole = seed, 0xFFFFFFFF
+    mixed = lambda k: (((k := k * 0xCC9E2D51 & whole) << 15 | k >> 17) & whole) * 0x1B873593 & whole
+    for i in range(0, len(data) - 3, 4):
+        h ^= mixed(int.from_bytes(data[i : i + 4], "little"))
+        h = ((h << 13 | h >> 19) & whole) * 5 + 0xE6546B64 & whole
+    if tail := data[len(data) // 4 * 4 :]:
+        h ^= mixed(int.from_bytes(tail, "little"))
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & whole
+    h = (h ^ h >> 13) * 0xC2B2AE35 & whole
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_published_script_of_a_whole_pipeline(spark):
+    words = ["tea", "river stone", "é漢字", "a", "", "abcd", "abcde"]
+    df = spark.createDataFrame([(w, [w], float(i % 2), i, "s" if i else None) for i, w in enumerate(words)], "text string, w array<string>, label double, n int, c string")
+    slots = [r.f.indices[0] for r in models.vectorizer("hashingtf", "w", "f", 1000).transform(df).select("f").collect()]
+    assert [int(x) for x in slots] == [murmur3(w.encode()) % 1000 for w in words]
+    first = [stages.TextStage({"input": "text", "output": "t", "chain": [stages.resolved({"type": k, **p}) for k, p in (("case_normalization", {}), ("stopwords", {}), ("tokenizer", {}))]}), stages.GramStage({"input": "t", "output": "g", "type": "ngram", "parameter": [2]}), stages.CategoricalStage({"inputs": ["c"], "output": "cats"}), stages.IntervalStage({"input": "n", "output": "bin", "splits": [1.0, 3.0]}), models.vectorizer("hashingtf", "g", "tf", 16), models.assembler(["n", "bin", "tf"])]
+    rows = PipelineModel(stages=first).transform(df)
+    svm = models.classifier("svm", maxIter=2).fit(rows)
+    lr = models.classifier("logistic_regression", maxIter=2)
+    platt = stages.PlattModel({"pairs": [[1.0, 0.5]]})
+    up = PipelineModel(stages=[*first, stages.UpliftModel({"treatment": -1}, [svm, platt]), stages.HotLeadStage({"page": None, "thresholds": [0.2]})])
+    many = PipelineModel(stages=[*first, stages.OneVsRest({"classes": 2}, [lr]).fit(rows), stages.PlattModel({"pairs": [[1.0, 0.0], [0.5, 0.1]]}), stages.TopStage({"labels": ["x", "y"], "k": 2})])
+    for m, has in ((up, ["modelProbability", "is_hot", "hashedCounts", "toLowerCase"]), (many, ["normalized", "top_intents", "svm_prediction", "nGrams"])):
+        code = publish.javascript({None: m}, thresholds=[0.5])
+        assert all(x in code for x in has) and "function isHot" in code and code.count("{") == code.count("}") and code.count("(") == code.count(")")
+    with pytest.raises(ValueError):
+        publish.stage_js(models.label_names("label", ["x", "y"], "name"), 3)
+
+
 def test_publish(spark, points, tmp_path):
     tokens = RegexTokenizer(inputCol="text", outputCol="w", pattern=r"\s")
     df = spark.createDataFrame([("a b", 0.0), ("b c", 1.0), ("c c", 1.0)], "text string, label double")
