@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 STEPS = ("read", "sampling", "preprocessing", "featuregeneration", "vectorization", "modelling", "scoring", "metrics", "publish")
 TEXT_STAGES = ("case_normalization", "sentence_marker", "regex_replacement", "regex_removal", "word_classes_replacement", "contractions_replacement", "lemma", "stopwords", "stemming", "tokenizer", "nullcheck")
 BINNINGS = ("equidistant", "equiarea", "intervals")
@@ -72,8 +74,15 @@ def merged(base: Mapping[str, Any], over: Mapping[str, Any]) -> dict[str, Any]:
     return out
 
 
+def text_of(path: str) -> str:
+    """A small file of the driver's machine, or by an address with a scheme of any file system that Spark reaches."""
+    if "://" not in path:
+        return Path(path).read_text(encoding="utf-8")
+    return SparkSession.active().read.text(path, wholetext=True).first()[0]
+
+
 def load_config(source: str | Mapping[str, Any]) -> Config:
-    own = json.loads(Path(source).read_text(encoding="utf-8")) if isinstance(source, str) else source
+    own = json.loads(text_of(source)) if isinstance(source, str) else source
     config = Config(merged(DEFAULTS, own))
     validate(config)
     return config

@@ -202,6 +202,7 @@ def run_model(spark: SparkSession, config: Config, points: SavePoints) -> dict[s
             out["parts"] = [points.save(p, "sampling", i) for i, p in enumerate(parts)] if save or len(named) < len(STEPS) else parts
         else:
             out["parts"] = points.load_all("sampling", n)[0]
+            out["classes"] = sampling.minority_majority(out["parts"][0], config.get("roles.response"))[:2]
     fits = named & {"preprocessing", "featuregeneration", "vectorization", "modelling"}
     if fits:
         out["models"] = {p: fit(config, page_filter(config, out["parts"][0], p), points, p) for p in pages_of(config)}

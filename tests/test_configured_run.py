@@ -120,6 +120,7 @@ def test_predict_monitoring_and_restart(spark, tmp_path):
     again = pipeline.run(spark, conf | {"steps": ["scoring", "metrics"]}, root)
     assert sorted((r.doc_id, r.prediction) for s in again["scored"] for r in s.collect()) == want
     assert pipeline.run(spark, conf | {"steps": ["metrics"]}, root)["scored"][0].count() == first
+    assert pipeline.run(spark, conf | {"steps": ["scoring"]}, root)["classes"][0] in (0, 1)
     refit = pipeline.run(spark, conf | {"steps": ["modelling", "scoring"]}, root)
     assert sorted((r.doc_id, r.prediction) for s in refit["scored"] for r in s.collect()) == want
     new = conf | {"job": "predict", "roles": conf["roles"], "scoring": {"filter": "doc_id < 100"}}
@@ -164,7 +165,20 @@ def test_bad_configurations_name_every_problem(spark, tmp_path):
         assert part in str(e.value), wrong
     path = tmp_path / "c.json"
     path.write_text(json.dumps(good))
-    assert config.load_config(str(path)).get("algorithm.parameters.maxIter") == 8
+    assert config.load_config(str(path)).get("algorithm.parameters.maxIter") == 8 == config.load_config(f"file://{path}").get("algorithm.parameters.maxIter")
+
+
+def test_database_sources(spark):
+    """A table of an embedded database, and a chain whose first query runs there."""
+    at = {"url": "jdbc:derby:memory:millrace;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.createDataFrame([(i, float(i % 3)) for i in range(30)], "k int, v double").write.jdbc(at["url"], "numbers", mode="overwrite", properties={"driver": at["driver"]})
+    assert readers.read(spark, "jdbc://numbers", jdbc=at).count() == 30
+    chain = ['select "v" as v, count(*) as n from numbers group by "v"', "select sum(N) as total, max(V) as top from part1"]
+    assert readers.read(spark, "jdbc://", queries=chain, prefix="part", jdbc=at).first()[:] == (30, 2.0)
+    assert readers.read(spark, "jdbc://", queries=chain[:1], jdbc=at).count() == 3
+    for wrong in ([], ["delete from numbers"]):
+        with pytest.raises(ValueError):
+            readers.read(spark, "jdbc://", queries=wrong, jdbc=at)
 
 
 def test_sources(spark, tmp_path):
