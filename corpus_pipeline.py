@@ -24,5 +24,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = Written(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = write(stage(spark, docs, sf_dir))
+        before, docs = docs, write(stage(spark, docs, sf_dir))
+        write.drop(before)
     return docs
