@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, table
+from .common import col, lean, table
 from .token_counts import VOCABULARY, Counter, build_automaton, read_vocabulary
 
 TILE, TILE_TOKENS, SECOND_TOKENS, PAGE_TOKENS = 224, 16, 25, 256
@@ -163,7 +163,7 @@ def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     rows = df.select(col(conv).alias("id"), col(turn).alias("turn"), col(role).cast("string").alias("role"), col(content).cast("string").alias("content"))
     attachment = "struct<number:int,message:int,kind:string,url:string,place:int,n_tokens:long>"
-    messages = rows.mapInArrow(made, f"id {kinds[0]}, turn {kinds[1]}, role string, content string, piece string, n long, more long, attached array<{attachment}>")
+    messages = rows.mapInArrow(lean(made), f"id {kinds[0]}, turn {kinds[1]}, role string, content string, piece string, n long, more long, attached array<{attachment}>")
     # a message without a conversation is one of its own
     messages = messages.withColumn("alone", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
     order = Window.partitionBy("id", "alone").orderBy("turn", "role", "content")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +127,18 @@ def least_rows(df: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
     return df.groupBy(*[col(c) for c in by]).agg(F.min_by(row, F.struct(*in_order(df, keep))).alias("d")).select("d.*")
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the Python worker, which serves later tasks too, gives back the memory that it no longer uses."""
+
+    def then_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return then_back
+
+
 def fresh(columns: Iterable[str], wanted: str) -> str:
     """A column name that clashes with none of `columns` (compared as Spark does, without case)."""
     taken = {c.lower() for c in columns}

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Written, col, fresh, table
+from .common import Written, col, fresh, lean, table
 from .vectext import slices, words
 
 RANK, NEAR, STRONG, WEAK, LOOSE, ANSWER_SHARE = 32, 0.6, 0.6, 0.4, 0.25, 0.75
@@ -131,7 +131,7 @@ def _read(items: Items):
 
 
 def summed(shares: DataFrame, dtype: str, write: Written) -> dict[int, np.ndarray]:
-    """Rows (part, blob) to the sum of each part's arrays: in parallel by part, each part then one row for the driver."""
+    """Rows (part, blob) to the sum of each part's arrays: within partitions, then in up to 1024 groups of these, then by part, which is one row for the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -141,16 +141,17 @@ def summed(shares: DataFrame, dtype: str, write: Written) -> dict[int, np.ndarra
                 total[p] = total[p] + x if p in total else x.copy()
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "blob"])
 
-    first = shares.mapInArrow(add, "part int, blob binary")  # what a partition has is summed before it is sent
+    first = shares.mapInArrow(lean(add), "part int, blob binary")  # what a partition has is summed before it is sent
+    groups = first.withColumn("of", F.spark_partition_id() % 1024).repartition("part", "of").select("part", "blob").mapInArrow(lean(add), "part int, blob binary")
     with write.settings():
-        return {r.part: np.frombuffer(r.blob, dtype) for r in first.repartition("part").mapInArrow(add, "part int, blob binary").collect()}
+        return {r.part: np.frombuffer(r.blob, dtype) for r in groups.repartition("part").mapInArrow(lean(add), "part int, blob binary").collect()}
 
 
 def joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(blobs), np.uint32), np.concatenate(([0], np.cumsum([len(x) // 4 for x in blobs])))
 
 
-def groups(blobs: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+def groups(blobs: list[bytes], most: int = 1 << 17) -> Iterator[tuple[int, int]]:
     """Runs of blobs of about `most` bytes."""
     ends = np.cumsum([len(x) for x in blobs])
     at = 0
@@ -378,14 +379,14 @@ def prepare(docs: DataFrame, items: Items, ident: str, text: str, rank: int, wri
     size = len(items.vocabulary)
     if not size:
         return None
-    made = write(docs.select(col(ident).alias("id"), col(text).alias("text")).mapInArrow(_read(items), f"id {kind}, kind int, blob binary"))
+    made = write(docs.select(col(ident).alias("id"), col(text).alias("text")).mapInArrow(lean(_read(items)), f"id {kind}, kind int, blob binary"))
     one = F.lit(0).alias("part")
     counts = summed(made.where("kind = 2").select(one, "blob"), "int64", write)
     if not counts:
         return None
     n = int(counts[0][size])
     term_idf, idf = inverse(counts[0][:size], n), inverse(summed(made.where("kind = 1").select(one, "blob"), "int32", write)[0].astype(np.int64), n)
-    shares = made.where("kind = 0").select("blob").mapInArrow(_share(idf, rank), "part int, blob binary")
+    shares = made.where("kind = 0").select("blob").mapInArrow(lean(_share(idf, rank)), "part int, blob binary")
     found = summed(shares, "float32", write)
     y = np.concatenate([found[k] for k in sorted(found)]).reshape(COLUMNS, rank).astype(np.float64)
     if not np.abs(y).max() > 0:
@@ -417,7 +418,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: st
                 ids = [items.ids[k] for _, k in best]
                 yield pa.record_batch([batch.column(0).take(pa.array([d for d, _ in best], pa.int64())), pa.array(ids, item_kind), pa.array(list(best.values()), pa.float64())], names=["doc_id", "item_id", "share"])
 
-    out = write(rows.mapInArrow(found, schema).groupBy("doc_id", "item_id").agg(F.round(F.max("share"), 4).alias("share")))
+    out = write(rows.mapInArrow(lean(found), schema).groupBy("doc_id", "item_id").agg(F.round(F.max("share"), 4).alias("share")))
     write.drop_all_but(out)
     return out
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, col, fresh, table
+from .common import Written, col, fresh, lean, table
 from .vectext import BYTE_CODE, slices
 
 UNKNOWN = "und"
@@ -127,7 +127,7 @@ def fit_text_model(labelled: DataFrame, text: str, label: str, sample: int = 400
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["label", "bucket", "n"])
 
     with Written(labelled.sparkSession, "text-model").settings():
-        found = rows.mapInArrow(counted, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        found = rows.mapInArrow(lean(counted), "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(numbers))
     counts = np.zeros((len(languages), 1 << bits))
     for k, name in enumerate(languages):
@@ -156,7 +156,7 @@ def text_scores(df: DataFrame, model: TextModel, text: str, weight: float = 0.25
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in rest], lists, has], names=[*[batch.schema.names[k] for k in rest], "scores", "has_text"])
 
     fields = [f for k, f in enumerate(df.schema.fields) if k != at]
-    return df.mapInArrow(scored, T.StructType([*fields, T.StructField("scores", T.ArrayType(T.DoubleType()), True), T.StructField("has_text", T.BooleanType(), True)]))
+    return df.mapInArrow(lean(scored), T.StructType([*fields, T.StructField("scores", T.ArrayType(T.DoubleType()), True), T.StructField("has_text", T.BooleanType(), True)]))
 
 
 def domain_of(host: Column) -> Column:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, col, components, fresh, least_rows, table
+from .common import Written, col, components, fresh, lean, least_rows, table
 from .vectext import WORD_BREAK, grams, mix, popcount_rows, slices, sorted_sets, words
 
 N, LEAST, MOST, SHARD_BYTES = 3, 0.5, 4096, 4 << 20
@@ -302,7 +302,7 @@ def candidates(active: DataFrame, least: float, most: int, write: Written) -> Da
     """(left, right, tile): pairs of sets that can be similar enough, each once."""
     largest = active.agg(F.max("size")).first()[0] or 1
     kinds = ", ".join(f"{c} {'long' if _KEY[c].itemsize == 8 else 'int'}" for c in _KEY.names)
-    rows = write(active.select("k", "size", "alone", "grams").mapInArrow(_tiles(least, largest), kinds))
+    rows = write(active.select("k", "size", "alone", "grams").mapInArrow(lean(_tiles(least, largest)), kinds))
     limit = int(math.log2(most))
     columns = [F.col(c) for c in _KEY.names if c not in ("tile", "role")]
     # only tiles of frequent grams can have more rows than `most`; a tile is counted, never gathered, before it is cut into blocks
@@ -317,7 +317,7 @@ def candidates(active: DataFrame, least: float, most: int, write: Written) -> Da
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 2).otherwise(4)
     cut = cut.select(pair.alias("tile"), (F.col("role") + side).alias("role"), *columns)
     whole = rows.where(F.col("level") <= limit).select("tile", "role", *columns).unionByName(found.where("blocks is null").select("tile", "role", *columns))
-    met = whole.unionByName(cut).select(*_KEY.names).repartition("tile").sortWithinPartitions("tile", "one").mapInArrow(_meet(least), "left long, right long, tile long")
+    met = whole.unionByName(cut).select(*_KEY.names).repartition("tile").sortWithinPartitions("tile", "one").mapInArrow(lean(_meet(least)), "left long, right long, tile long")
     out = write(met.groupBy("left", "right").agg(F.min("tile").alias("tile")))
     write.drop(rows, hot)
     return out
@@ -390,7 +390,7 @@ def verified(active: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
                 similar = shared / (sizes[a] + sizes[b] - shared)
                 yield pa.record_batch([pa.array(keys[x:y][good]), other.take(pa.array(good)), pa.array(shared[good].astype(np.int32)), pa.array(similar[good])], names=["left", "right", "shared", "jaccard"])
 
-    return both.repartition("tile").sortWithinPartitions("tile", F.col("other").isNotNull()).mapInArrow(compared, "left long, right long, shared int, jaccard double")
+    return both.repartition("tile").sortWithinPartitions("tile", F.col("other").isNotNull()).mapInArrow(lean(compared), "left long, right long, shared int, jaccard double")
 
 
 def similar_sets(docs: DataFrame, ident: str, text: str, n: int, least: float, most: int, write: Written, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -398,13 +398,15 @@ def similar_sets(docs: DataFrame, ident: str, text: str, n: int, least: float, m
     if not 0 < least <= 1:
         raise ValueError("least is above 0 and 1 at most")
     spark = docs.sparkSession
-    buckets = min(max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), (1 << 19) - 1)
+    # several buckets for a task: a bucket is what it holds at a time
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(max(16, 4 * partitions), (1 << 19) - 1)
     kind = docs.schema[ident].dataType.simpleString()
     head = f"shard long, kind int, bucket int, blob binary, ids array<{kind}>, texts array<long>, prints array<binary>, sizes array<int>"
     rows = docs.where(col(ident).isNotNull() & col(text).isNotNull()).select(col(ident).alias("id"), col(text).alias("text"), F.xxhash64(col(text)).alias("hash"))
-    sent = rows.mapInArrow(_send(n, buckets, shard_bytes), head).repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard")
-    back = sent.mapInArrow(_count, head).repartition("shard").sortWithinPartitions("shard", "kind")
-    found = write(back.mapInArrow(_gather(least), f"id {kind}, text long, print binary, size int, alone int, grams binary"))
+    sent = rows.mapInArrow(lean(_send(n, buckets, shard_bytes)), head).repartition(partitions, "bucket").sortWithinPartitions("bucket", "shard")
+    back = sent.mapInArrow(lean(_count), head).repartition("shard").sortWithinPartitions("shard", "kind")
+    found = write(back.mapInArrow(lean(_gather(least)), f"id {kind}, text long, print binary, size int, alone int, grams binary"))
     one = found.where("grams is not null").groupBy("print").agg(F.first(F.struct("size", "alone", "grams")).alias("s"))  # equal sets have equal ones
     active = write(one.select(F.monotonically_increasing_id().alias("k"), "print", "s.*"))
     return found, active, write(verified(active, candidates(active, least, most, write), least))

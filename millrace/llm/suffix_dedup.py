@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, col, table
+from .common import Written, col, lean, table
 from .vectext import WORD_BREAK, mix, powers, slices, words
 
 LEAST, SHARD_BYTES = 50, 4 << 20
@@ -442,16 +442,16 @@ def repeated_passages(docs: DataFrame, ident: str = "doc_id", text: str = "text"
     n = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[ident].dataType.simpleString()
     keyed = docs.where(col(text).isNotNull()).select(F.xxhash64(col(ident), col(text)).alias("k1"), F.xxhash64(F.lit(1), col(text), col(ident)).alias("k2"), col(ident).alias("id"), col(text).alias("text"))
-    now = write(keyed.select("k1", "k2", "text").mapInArrow(_shards(least, w, shard_bytes), _ROW))
+    now = write(keyed.select("k1", "k2", "text").mapInArrow(lean(_shards(least, w, shard_bytes)), _ROW))
 
     def met_again(sent: DataFrame) -> DataFrame:
-        return sent.repartition(n, "bucket").sortWithinPartitions("bucket", "shard").mapInArrow(_count, _ROW)
+        return sent.repartition(n, "bucket").sortWithinPartitions("bucket", "shard").mapInArrow(lean(_count), _ROW)
 
     hits: list[DataFrame] = []
     while True:
-        replies = met_again(now.mapInArrow(_send(n), _ROW))
+        replies = met_again(now.mapInArrow(lean(_send(n)), _ROW))
         both = now.unionAll(replies).repartition("shard").sortWithinPartitions("shard", "kind")
-        more, hit = write.by_kind(both.mapInArrow(_advance(n, t), _ROW), 0, 2)
+        more, hit = write.by_kind(both.mapInArrow(lean(_advance(n, t)), _ROW), 0, 2)
         write.drop(now)
         hits.append(hit)
         now = more
@@ -460,15 +460,15 @@ def repeated_passages(docs: DataFrame, ident: str = "doc_id", text: str = "text"
     found = hits[0]
     for more in hits[1:]:
         found = found.unionAll(more)
-    found = found.mapInArrow(_hits, "_k1 long, _k2 long, starts binary").groupBy("_k1", "_k2").agg(F.collect_list("starts").alias("starts"))
+    found = found.mapInArrow(lean(_hits), "_k1 long, _k2 long, starts binary").groupBy("_k1", "_k2").agg(F.collect_list("starts").alias("starts"))
     found = write(found)
     texts = keyed.join(found, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("id", "text", "starts")
     lists = f"ids array<{kind}>, texts array<string>, starts array<array<binary>>"
-    units = write(texts.mapInArrow(_units(shard_bytes), f"{_ROW}, id array<{kind}>, text array<string>, starts array<array<binary>>").toDF("shard", "kind", "bucket", "blob", "ids", "texts", "starts"))
-    replies = met_again(units.mapInArrow(_send_windows(n, least, w), _ROW))
+    units = write(texts.mapInArrow(lean(_units(shard_bytes)), f"{_ROW}, id array<{kind}>, text array<string>, starts array<array<binary>>").toDF("shard", "kind", "bucket", "blob", "ids", "texts", "starts"))
+    replies = met_again(units.mapInArrow(lean(_send_windows(n, least, w)), _ROW))
     none = [F.lit(None).cast(x.strip().split(" ", 1)[1]).alias(x.strip().split(" ", 1)[0]) for x in lists.split(", ")]
     both = units.unionAll(replies.select("*", *none)).repartition("shard").sortWithinPartitions("shard", F.desc("kind"))
-    out = write(both.mapInArrow(_stretches(n, least, w), f"doc_id {kind}, first_word int, n_words int"))
+    out = write(both.mapInArrow(lean(_stretches(n, least, w)), f"doc_id {kind}, first_word int, n_words int"))
     write.drop_all_but(out)
     return out
 

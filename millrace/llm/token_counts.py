@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import fresh, table
+from .common import fresh, lean, table
 from .vectext import prefix_hash, slices, span_hash
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -224,7 +224,7 @@ def token_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, mask=null) for x in got[: 1 + bool(words)]]], names=[*batch.schema.names, *[tokens, words][: 1 + bool(words)]])
 
     more = [T.StructField(name, T.LongType(), True) for name in (tokens, words) if name]
-    return df.mapInArrow(counted, T.StructType([*df.schema.fields, *more]))
+    return df.mapInArrow(lean(counted), T.StructType([*df.schema.fields, *more]))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, col, table
+from .common import Written, col, lean, table
 
 K, LOW, QUERIES = 10, 12, 20
 
@@ -78,7 +78,7 @@ def encode(df: DataFrame, ident: str, vector: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(lengths.astype(np.int32)), pa.array(codes, pa.binary())], names=["id", "bits", "code"])
 
     rows = df.where(col(ident).isNotNull() & col(vector).isNotNull() & (F.size(col(vector)) > 0)).select(col(ident).cast("long").alias("id"), F.transform(col(vector), lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
-    return rows.mapInArrow(coded, "id long, bits int, code binary")
+    return rows.mapInArrow(lean(coded), "id long, bits int, code binary")
 
 
 def _send(cuts: dict[int, list[tuple[int, int]]], radius: int, low: int):
@@ -221,8 +221,8 @@ def top_k(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", k: in
         covered = F.create_map(*[F.lit(x) for b in numbers for x in (b, len(cuts[b]) * (radius + 1) - 1)])
         last = F.create_map(*[F.lit(x) for b in numbers for x in (b, max(y - x for x, y in cuts[b]) <= radius)])
         asks = owners.unionAll(found.select("bits", "key", "code", "bound", "open"))
-        tiles = asks.mapInArrow(_send(cuts, radius, low), "tile string, kind int, weight int, blob binary")
-        pairs = tiles.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_meet(cuts, low, k + 1), "q long, i long, d int")
+        tiles = asks.mapInArrow(lean(_send(cuts, radius, low)), "tile string, kind int, weight int, blob binary")
+        pairs = tiles.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(lean(_meet(cuts, low, k + 1)), "q long, i long, d int")
         if radius:
             pairs = pairs.unionAll(found.select(F.col("key").alias("q"), F.explode("best").alias("b")).select("q", "b.i", "b.d"))
         pairs = pairs.repartition("q").groupBy("q", "i").agg(F.min("d").alias("d")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "i"))), 1, k + 1).alias("new"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, table
+from .common import col, fresh, lean, table
 from .vectext import BYTE_CODE, mix, slices
 
 SIZES, BITS, THRESHOLD, MOST_LABELS = (3, 4, 5), 16, 0.5, 20_000
@@ -156,7 +156,7 @@ def url_filter(df: DataFrame, labelled: list[tuple[str, int]] = LABELLED, url: s
             columns = [pa.array(np.round(p, 6), mask=none), pa.array((p >= threshold) & ~none)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, score, blocked])
 
-    return df.mapInArrow(scored, T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType(), True), T.StructField(blocked, T.BooleanType(), True)]))
+    return df.mapInArrow(lean(scored), T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType(), True), T.StructField(blocked, T.BooleanType(), True)]))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
