@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, col, components, fresh, in_order, table
+from .common import Written, col, components, fresh, lean, least_rows, table
 from .vectext import mix, powers, slices
 
 SHINGLE, LEAST, BANDS, ROWS = 7, 0.8, 12, 5
@@ -79,9 +79,14 @@ def shingles(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -
     length = ends - starts
     count = np.where(length > 0, np.maximum(length - k + 1, 1), 0)
     bounds = np.concatenate(([0], np.cumsum(count)))
+    # hashes of all windows of the characters at once, then those of the spans; a span shorter than a window is patched in
+    window = sums[k:] - sums[:-k] if len(points) >= k else np.zeros(1, np.uint64)
+    window *= down[: len(window)]
+    window = mix(window)
     at = np.repeat(starts - bounds[:-1], count) + np.arange(bounds[-1])
-    to = np.minimum(at + k, np.repeat(ends, count))
-    h = mix((sums[to] - sums[at]) * down[at])
+    h = window[np.minimum(at, len(window) - 1)]
+    short = np.flatnonzero((length > 0) & (length < k))
+    h[bounds[short]] = mix((sums[ends[short]] - sums[starts[short]]) * down[starts[short]])
     return h, bounds, mix((sums[ends] - sums[starts]) * down[starts] + length.astype(np.uint64))
 
 
@@ -144,46 +149,75 @@ def _lines(shingle: int, bands: int, rows: int):
     return run
 
 
+_BAND = np.dtype([("band", "<u8"), ("a", "<u8"), ("b", "<u8")])
+
+
+def _bands(n: int, most: int = 1 << 18):
+    """Lines with their bands, to what goes to each of n buckets: bands with the line's 16 bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            r = np.concatenate(held)
+            bucket = (((r["band"] >> _U(32)) * _U(n)) >> _U(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            r, cuts = r[order], np.searchsorted(bucket[order], np.arange(n + 1))
+            own = np.flatnonzero(np.diff(cuts))
+            return pa.record_batch([pa.array(own.astype(np.int32)), pa.array([r[cuts[k] : cuts[k + 1]].tobytes() for k in own.tolist()], pa.binary())], names=["bucket", "blob"])
+
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 2)
+            lists = batch.column(1)
+            count = np.diff(lists.offsets.to_numpy())
+            r = np.empty(int(count.sum()), _BAND)
+            r["band"] = lists.flatten().to_numpy().view(np.uint64)
+            r["a"], r["b"] = np.repeat(keys[:, 0], count), np.repeat(keys[:, 1], count)
+            held.append(r)
+            if sum(map(len, held)) >= most:
+                yield close()
+                held = []
+        if held:
+            yield close()
+
+    return run
+
+
+def _binary16(a: np.ndarray, b: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(a), [None, pa.py_buffer(np.ascontiguousarray(np.stack((a, b), 1)).tobytes())]).cast(pa.binary())
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, line) sorted by band: one row for each bucket of two or more lines, named by its members."""
-
-    def flush(bands: np.ndarray, lines: pa.Array) -> pa.RecordBatch:
-        cuts = np.concatenate(([0], np.flatnonzero(bands[1:] != bands[:-1]) + 1, [len(bands)]))
-        many = np.flatnonzero(np.diff(cuts) > 1)
-        names, ends, at = [], [0], []
-        raw = lines.cast(pa.binary(16))
-        keys = np.frombuffer(raw.buffers()[1], np.uint64)[raw.offset * 2 : (raw.offset + len(raw)) * 2].reshape(-1, 2)
-        code = mix(keys[:, 0] ^ mix(keys[:, 1].copy()))
-        other = mix(keys[:, 1] + _U(77))
+    """Rows (bucket, blob) sorted by bucket: one row for each band of two or more lines, named by its members."""
+
+    def flush(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        r = np.frombuffer(b"".join(blobs), _BAND)
+        r = r[np.argsort(r["band"], kind="stable")]
+        first = np.flatnonzero(np.concatenate(([True], r["band"][1:] != r["band"][:-1])))
+        size = np.diff(np.append(first, len(r)))
+        many = np.repeat(size > 1, size)
+        r, size = r[many], size[size > 1]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        a, b = r["a"].copy(), r["b"].copy()
+        code, other = mix(a ^ mix(b.copy())), mix(b + _U(77))
         s1, s2 = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64))) for x in (code, other))
-        a, b = cuts[:-1][many], cuts[1:][many]
-        names = np.stack((s1[b] - s1[a], s2[b] - s2[a]), 1)
-        size = b - a
-        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        at = np.repeat(a - ends[:-1], size) + np.arange(ends[-1])
-        block = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(many), [None, pa.py_buffer(names.tobytes())]).cast(pa.binary())
-        return pa.record_batch([block, pa.ListArray.from_arrays(pa.array(ends), lines.take(pa.array(at)))], names=["block", "lines"])
-
-    held: list[pa.RecordBatch] = []
+        names = _binary16(s1[ends[1:]] - s1[ends[:-1]], s2[ends[1:]] - s2[ends[:-1]])
+        # a band of very many lines is one list, as its members are compared together
+        for cut in range(0, len(size), 1 << 14):
+            stop = min(cut + (1 << 14), len(size))
+            x, y = ends[cut], ends[stop]
+            yield pa.record_batch([names.slice(cut, stop - cut), pa.ListArray.from_arrays(pa.array((ends[cut : stop + 1] - x).astype(np.int32)), _binary16(a[x:y], b[x:y]))], names=["block", "lines"])
+
+    now, held = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        bands = batch.column(0).to_numpy()
-        if held and held[-1].column(0)[-1].as_py() != bands[0]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            yield flush(t["band"].to_numpy(), t["line"].combine_chunks() if not isinstance(t["line"], pa.Array) else t["line"])
-            held = []
-        changes = np.flatnonzero(bands[1:] != bands[:-1])
-        if len(changes):
-            cut = int(changes[-1]) + 1
-            t = pa.Table.from_batches([*held, batch.slice(0, cut)])
-            yield flush(t["band"].to_numpy(), pa.concat_arrays(t["line"].chunks))
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if bucket != now:
+                if held:
+                    yield from flush(held)
+                now, held = bucket, []
+            held.append(blob)
     if held:
-        t = pa.Table.from_batches(held)
-        yield flush(t["band"].to_numpy(), pa.concat_arrays(t["line"].chunks))
+        yield from flush(held)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,16 +343,17 @@ def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", shing
     k1, k2 = fresh(keep, "key_1"), fresh(keep, "key_2")
     keyed = docs.withColumns({k1: F.xxhash64(col(ident), col(text)), k2: F.xxhash64(F.lit(1), col(text), col(ident))})
     kind = docs.schema[ident].dataType.simpleString()
-    lines = keyed.select(col(k1), col(k2), col(ident).alias("id"), col(text).alias("text")).mapInArrow(_lines(shingle, bands, rows), f"line binary, id {kind}, k1 long, k2 long, number int, bands array<long>")
+    lines = keyed.select(col(k1), col(k2), col(ident).alias("id"), col(text).alias("text")).mapInArrow(lean(_lines(shingle, bands, rows)), f"line binary, id {kind}, k1 long, k2 long, number int, bands array<long>")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "number")
     first = write(lines.groupBy("line").agg(F.min(place).alias("at"), F.first("bands").alias("bands")))
-    exploded = first.select(F.explode("bands").alias("band"), "line").repartition("band").sortWithinPartitions("band", "line")
-    found = exploded.mapInArrow(_buckets, "block binary, lines array<binary>")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = first.select("line", "bands").mapInArrow(lean(_bands(4 * partitions)), "bucket int, blob binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    found = sent.mapInArrow(lean(_buckets), "block binary, lines array<binary>")
     members = write(found.groupBy("block").agg(F.first("lines").alias("lines")).select("block", F.explode("lines").alias("line")))
     wanted = members.join(first.select("line", "at.k1", "at.k2", "at.number"), "line").groupBy("k1", "k2").agg(F.collect_list(F.struct("number", "line", "block")).alias("want"))
     source = keyed.select(col(k1).alias("k1"), col(k2).alias("k2"), col(text).alias("text"))
-    texts = source.join(wanted, ["k1", "k2"]).select("text", "want").mapInArrow(_texts, "block binary, line binary, text string").dropDuplicates(["block", "line"])
-    edges = write(texts.repartition("block").sortWithinPartitions("block").mapInArrow(_verify(shingle, least), "a binary, b binary"))
+    texts = source.join(wanted, ["k1", "k2"]).select("text", "want").mapInArrow(lean(_texts), "block binary, line binary, text string").dropDuplicates(["block", "line"])
+    edges = write(texts.repartition("block").sortWithinPartitions("block").mapInArrow(lean(_verify(shingle, least)), "a binary, b binary"))
     write.drop(members)
     roots = write(components(docs.sparkSession, edges, write))
     write.drop(edges)
@@ -327,28 +362,34 @@ def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", shing
     best = linked.groupBy(F.col("root").alias("r")).agg(F.min("at").alias("best"))
     out = linked.join(best, F.col("root") == F.col("r")).where("at <> best").select("line")
     kept = first.join(out, "line", "left_anti").groupBy("at.k1", "at.k2").agg(F.array_sort(F.collect_list("at.number")).alias("_kept"))
+    # of rows repeated with the same id and text one goes on; there are few, so only they are moved for it
+    again = write(keyed.groupBy(col(k1).alias("r1"), col(k2).alias("r2")).agg(F.count("*").alias("rows")).where("rows > 1").select("r1", "r2"))
     keyed_columns = [*keep, k1, k2]
-    o1, o2, kept_c, once = (fresh(keyed_columns, x) for x in ("own_1", "own_2", "kept_numbers", "copy_number"))
+    if not again.isEmpty():
+        a1, a2 = fresh(keyed_columns, "again_1"), fresh(keyed_columns, "again_2")
+        repeats, same = again.toDF(a1, a2), (col(k1) == col(a1)) & (col(k2) == col(a2))
+        keyed = keyed.join(repeats, same, "left_anti").unionByName(least_rows(keyed.join(repeats, same, "left_semi"), [k1, k2], keyed_columns))
+    o1, o2, kept_c = (fresh(keyed_columns, x) for x in ("own_1", "own_2", "kept_numbers"))
     kept = kept.select(F.col("k1").alias(o1), F.col("k2").alias(o2), F.col("_kept").alias(kept_c))
     joined = keyed.join(kept, (col(k1) == col(o1)) & (col(k2) == col(o2)), "left")
-    joined = joined.withColumn(once, F.row_number().over(Window.partitionBy(col(k1), col(k2)).orderBy(*in_order(docs, keep)))).where(col(once) == 1).select(*[col(c) for c in keep], col(kept_c))
     return rebuilt(joined, keep, text, kept_c, dropped and fresh(keep, dropped))
 
 
 def rebuilt(joined: DataFrame, keep: list[str], text: str, kept: str, dropped: str | None) -> DataFrame:
     """Texts of the lines whose sorted numbers are in `kept`, as runs of lines that are next to each other, so that a text of any length takes one pass."""
-    names = [*joined.columns, dropped or ""]
-    parts, numbers, left = (fresh(names, x) for x in ("all_lines", "line_numbers", "lines_left"))
-    k = col(numbers)
+    k = F.coalesce(col(kept), F.expr("cast(array() as array<int>)"))
+    lines = F.length(col(text)) - F.length(F.replace(col(text), F.lit("\n"), F.lit(""))) + 1
     starts = F.filter(k, lambda x, i: F.coalesce(F.get(k, i - 1), F.lit(-2)) != x - 1)
     ends = F.filter(k, lambda x, i: F.coalesce(F.get(k, i + 1), F.lit(-2)) != x + 1)
-    rows = joined.withColumns({parts: F.split(col(text), "\n", -1), numbers: F.coalesce(col(kept), F.expr("cast(array() as array<int>)"))})
-    rows = rows.withColumn(left, F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(col(parts), a + 1, b - a + 1))))
-    whole = col(text).isNull() | (F.size(k) >= F.size(col(parts)))
-    emptied = F.rlike(col(text), F.lit(FILLED)) & ~F.exists(col(left), lambda x: F.rlike(x, F.lit(FILLED)))
-    rows = rows.where(whole | ~emptied)
-    columns = [F.when(whole, col(c)).otherwise(F.array_join(col(left), "\n")).alias(c) if c == text else col(c) for c in keep]
-    return rows.select(*columns, *([F.when(col(text).isNull(), 0).otherwise(F.size(col(parts)) - F.size(k)).alias(dropped)] if dropped else []))
+    parts = F.split(col(text), "\n", -1)
+    left = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(parts, a + 1, b - a + 1)))
+    # most texts keep all lines, and are not taken apart
+    whole = col(text).isNull() | (F.size(k) >= lines)
+    remaining = F.when(whole, col(text)).otherwise(F.array_join(left, "\n"))
+    names = fresh([*joined.columns, dropped or ""], "remaining_text")
+    rows = joined.withColumn(names, remaining).where(whole | F.rlike(col(names), F.lit(FILLED)) | ~F.rlike(col(text), F.lit(FILLED)))
+    columns = [col(names).alias(c) if c == text else col(c) for c in keep]
+    return rows.select(*columns, *([F.when(col(text).isNull(), 0).otherwise(lines - F.size(k)).alias(dropped)] if dropped else []))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
