@@ -338,8 +338,9 @@ def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", shing
     """The documents with their remaining lines; dropped names a further column with the number of lines removed."""
     write = Written(docs.sparkSession, "line-dedup")
     keep = docs.columns
-    k1, k2 = fresh(keep, "key_1"), fresh(keep, "key_2")
-    keyed = docs.withColumns({k1: F.xxhash64(col(ident), col(text)), k2: F.xxhash64(F.lit(1), col(text), col(ident))})
+    k1, k2, n_lines = (fresh(keep, x) for x in ("key_1", "key_2", "n_lines"))
+    counted = F.octet_length(col(text)) - F.octet_length(F.replace(col(text), F.lit("\n"), F.lit(""))) + 1
+    keyed = docs.withColumns({k1: F.xxhash64(col(ident), col(text)), k2: F.xxhash64(F.lit(1), col(text), col(ident)), n_lines: counted})
     kind = docs.schema[ident].dataType.simpleString()
     lines = keyed.select(col(k1), col(k2), col(ident).alias("id"), col(text).alias("text")).mapInArrow(lean(_lines(shingle, bands, rows)), f"line binary, id {kind}, k1 long, k2 long, number int, bands array<long>")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "number")
@@ -362,7 +363,7 @@ def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", shing
     kept = first.join(out, "line", "left_anti").groupBy("at.k1", "at.k2").agg(F.array_sort(F.collect_list("at.number")).alias("_kept"), F.max("filled").alias("_filled"))
     # of rows repeated with the same id and text one goes on; there are few, so only they are moved for it
     again = write(keyed.groupBy(col(k1).alias("r1"), col(k2).alias("r2")).agg(F.count("*").alias("rows")).where("rows > 1").select("r1", "r2"))
-    keyed_columns = [*keep, k1, k2]
+    keyed_columns = [*keep, k1, k2, n_lines]
     if not again.isEmpty():
         a1, a2 = fresh(keyed_columns, "again_1"), fresh(keyed_columns, "again_2")
         repeats, same = again.toDF(a1, a2), (col(k1) == col(a1)) & (col(k2) == col(a2))
@@ -370,27 +371,26 @@ def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", shing
     o1, o2, kept_c, filled_c = (fresh(keyed_columns, x) for x in ("own_1", "own_2", "kept_numbers", "kept_filled"))
     kept = kept.select(F.col("k1").alias(o1), F.col("k2").alias(o2), F.col("_kept").alias(kept_c), F.col("_filled").alias(filled_c))
     joined = keyed.join(kept, (col(k1) == col(o1)) & (col(k2) == col(o2)), "left")
-    return rebuilt(joined, keep, text, kept_c, filled_c, dropped and fresh(keep, dropped))
+    return rebuilt(joined, keep, text, kept_c, filled_c, n_lines, dropped and fresh(keep, dropped))
 
 
-def rebuilt(joined: DataFrame, keep: list[str], text: str, kept: str, filled: str, dropped: str | None) -> DataFrame:
-    """Texts of the lines whose sorted numbers are in `kept`, as runs of lines that are next to each other; `filled` says whether one of them isn't blank.
+def rebuilt(joined: DataFrame, keep: list[str], text: str, kept: str, filled: str, lines: str, dropped: str | None) -> DataFrame:
+    """Texts of the lines whose sorted numbers are in `kept`, as runs of lines that are next to each other; `filled` says whether one of them isn't blank, `lines` how many there were.
 
     The lines are bound once for all runs, so that a text of any length takes one pass.
     """
     k = F.coalesce(col(kept), F.expr("cast(array() as array<int>)"))
-    lines = F.length(col(text)) - F.length(F.replace(col(text), F.lit("\n"), F.lit(""))) + 1
     starts = F.filter(k, lambda x, i: F.coalesce(F.get(k, i - 1), F.lit(-2)) != x - 1)
     ends = F.filter(k, lambda x, i: F.coalesce(F.get(k, i + 1), F.lit(-2)) != x + 1)
     parts = F.array(F.split(col(text), "\n", -1))
     left = F.get(F.transform(parts, lambda p: F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(p, a + 1, b - a + 1)))), 0)
     # most texts keep all lines, and are not taken apart
-    whole = col(text).isNull() | (F.size(k) >= lines)
+    whole = col(text).isNull() | (F.size(k) >= col(lines))
     remaining = F.when(whole, col(text)).otherwise(F.array_join(left, "\n"))
     # blank lines are always kept, so a text without others is whole
     rows = joined.where(whole | F.coalesce(col(filled), F.lit(False)))
     columns = [remaining.alias(c) if c == text else col(c) for c in keep]
-    return rows.select(*columns, *([F.when(col(text).isNull(), 0).otherwise(lines - F.size(k)).alias(dropped)] if dropped else []))
+    return rows.select(*columns, *([F.when(col(text).isNull(), 0).otherwise(col(lines) - F.size(k)).alias(dropped)] if dropped else []))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
