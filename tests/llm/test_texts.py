@@ -274,6 +274,14 @@ def test_language_stage_bears_hard_rows(spark):
     assert language_id.stage(spark, clean, "").count() == 30
 
 
+def test_one_letter_again_and_again_is_no_language_whatever_its_label(spark):
+    rng = random.Random(3)
+    rows = [(i, spoken(rng, "aa", 200), "aa") for i in range(12)] + [(100, "k" * 50_000, "aa"), (101, "kalo " * 300, "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language_id.identify(df, language_id.fit_text_model(df, "text", "lang"), declared="lang").collect()}
+    assert found[100].language == "und" and all(r.accepted for i, r in found.items() if i != 100)
+
+
 def test_rare_languages_stay_beside_many_rows_and_copies_count_once(spark):
     """Above the sample's size: a language of six rows is in the model, and a text of thousands of copies doesn't make it."""
     rng = random.Random(21)
