@@ -135,45 +135,80 @@ def escaped(column: pa.Array) -> pa.Array:
 def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each conversation. The vocabulary is read by the driver.
 
-    Messages are made one by one where they are read: plain ones a column at a time, only typed ones by the visitor. Then a conversation's messages are put in order and joined."""
+    Messages are put in order as they are, so that each content is moved once. Then they are made, plain ones a column at a time, only typed ones
+    by the visitor, and a conversation's are joined as they come. A conversation may span any number of batches."""
     automaton = build_automaton(read_vocabulary(vocabulary))
-    kinds = df.schema[conv].dataType.simpleString(), df.schema[turn].dataType.simpleString()
+    kind = df.schema[conv].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counter(automaton)
+        count, held = Counter(automaton), []
         for batch in batches:
-            roles, text = batch.column(2), pc.fill_null(batch.column(3), "")
-            maybe = np.flatnonzero(np.asarray(pc.equal(pc.utf8_slice_codeunits(pc.utf8_ltrim_whitespace(text), 0, 1), "[")))
-            visited = {k: v for k, r, c in zip(maybe.tolist(), roles.take(pa.array(maybe)).to_pylist(), text.take(pa.array(maybe)).to_pylist()) if (v := typed(r, c))}
-            piece = pc.binary_join_element_wise("<|", escaped(pc.fill_null(roles, "unknown")), "|>\n", escaped(text), "<|end|>\n", "")
-            n = count(text)[0]
-            more, attached = np.full(batch.num_rows, 2, np.int64), [[]] * batch.num_rows
-            if visited:
-                at = np.array(list(visited))
-                mask = np.zeros(batch.num_rows, bool)
-                mask[at] = True
-                piece = pc.replace_with_mask(piece, pa.array(mask), pa.array(["".join(v.pieces) for v in visited.values()], pa.string()))
-                ends = np.cumsum([0, *(len(v.spoken) for v in visited.values())])
-                sums = np.concatenate(([0], np.cumsum(count(pa.array([t for v in visited.values() for t in v.spoken], pa.large_string()))[0])))
-                n[at] = sums[ends[1:]] - sums[ends[:-1]]
-                for k, v in visited.items():
-                    attached[k] = v.attachments
-                    more[k] = 2 + v.frames + sum(a["n_tokens"] for a in v.attachments)
-            yield pa.RecordBatch.from_arrays([*batch.columns, piece, pa.array(n), pa.array(more), pa.array(attached, pa.list_(_ATTACHMENT))], names=["id", "turn", "role", "content", "piece", "n", "more", "attached"])
+            if not batch.num_rows:
+                continue
+            first = np.flatnonzero(batch.column(3).to_numpy() == 0)
+            messages = _messages(batch, count)
+            if not len(first):
+                held.append(messages)
+                continue
+            a, b = int(first[0]), int(first[-1])
+            if held:
+                yield joined([*held, messages.slice(0, a)])
+            if a < b:
+                yield joined([messages.slice(a, b - a)])
+            held = [messages.slice(b)]
+        if held:
+            yield joined(held)
 
     rows = df.select(col(conv).alias("id"), col(turn).alias("turn"), col(role).cast("string").alias("role"), col(content).cast("string").alias("content"))
-    attachment = "struct<number:int,message:int,kind:string,url:string,place:int,n_tokens:long>"
-    messages = rows.mapInArrow(lean(made), f"id {kinds[0]}, turn {kinds[1]}, role string, content string, piece string, n long, more long, attached array<{attachment}>")
     # a message without a conversation is one of its own
-    messages = messages.withColumn("alone", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    rows = rows.withColumn("alone", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
     order = Window.partitionBy("id", "alone").orderBy("turn", "role", "content")
-    before = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    placed = messages.withColumns({"place": before, "k": (F.row_number().over(order) - 1).cast("int")})
-    moved = F.transform("attached", lambda x: F.struct(F.lit(0).alias("number"), F.col("k").alias("message"), x["kind"].alias("kind"), x["url"].alias("url"), (x["place"] + F.col("place")).cast("int").alias("place"), x["n_tokens"].alias("n_tokens")))
-    one = placed.select("id", "alone", "n", "more", F.struct("k", "piece", moved.alias("attached")).alias("m"))
-    grouped = one.groupBy("id", "alone").agg(F.sort_array(F.collect_list("m")).alias("m"), F.count("*").cast("int").alias("n_messages"), F.sum("n").alias("n_text_tokens"), F.sum(F.col("n") + F.col("more")).alias("n_tokens"))
-    numbered = F.transform(F.flatten(F.transform("m", lambda x: x["attached"])), lambda x, i: x.withField("number", i.cast("int")))
-    return grouped.select(F.col("id").alias("conv_id"), F.array_join(F.transform("m", lambda x: x["piece"]), "").alias("prompt"), "n_messages", "n_text_tokens", "n_tokens", numbered.alias("attachments"))
+    ordered = rows.withColumn("k", (F.row_number().over(order) - 1).cast("int")).select("id", "role", "content", "k")
+    attachment = "struct<number:int,message:int,kind:string,url:string,place:int,n_tokens:long>"
+    return ordered.mapInArrow(lean(made), f"conv_id {kind}, prompt string, n_messages int, n_text_tokens long, n_tokens long, attachments array<{attachment}>")
+
+
+def _messages(batch: pa.RecordBatch, count: Counter) -> pa.RecordBatch:
+    """Rows (id, role, content, k) to what each message gives to its conversation: id, k, piece, n, more, attached."""
+    roles, text = batch.column(1), pc.fill_null(batch.column(2), "")
+    maybe = np.flatnonzero(np.asarray(pc.equal(pc.utf8_slice_codeunits(pc.utf8_ltrim_whitespace(text), 0, 1), "[")))
+    visited = {k: v for k, r, c in zip(maybe.tolist(), roles.take(pa.array(maybe)).to_pylist(), text.take(pa.array(maybe)).to_pylist()) if (v := typed(r, c))}
+    piece = pc.binary_join_element_wise("<|", escaped(pc.fill_null(roles, "unknown")), "|>\n", escaped(text), "<|end|>\n", "")
+    n = count(text)[0]
+    more, attached = np.full(batch.num_rows, 2, np.int64), [[]] * batch.num_rows
+    if visited:
+        at = np.array(list(visited))
+        mask = np.zeros(batch.num_rows, bool)
+        mask[at] = True
+        piece = pc.replace_with_mask(piece, pa.array(mask), pa.array(["".join(v.pieces) for v in visited.values()], pa.string()))
+        ends = np.cumsum([0, *(len(v.spoken) for v in visited.values())])
+        sums = np.concatenate(([0], np.cumsum(count(pa.array([t for v in visited.values() for t in v.spoken], pa.large_string()))[0])))
+        n[at] = sums[ends[1:]] - sums[ends[:-1]]
+        for k, v in visited.items():
+            attached[k] = v.attachments
+            more[k] = 2 + v.frames + sum(a["n_tokens"] for a in v.attachments)
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), piece, pa.array(n), pa.array(more), pa.array(attached, pa.list_(_ATTACHMENT))], names=["id", "k", "piece", "n", "more", "attached"])
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Whole conversations, whose messages follow each other and are numbered from 0, to a row each."""
+    ids, k, piece, n, more, attached = (pa.concat_arrays(x) if len(x) > 1 else x[0] for x in zip(*(p.columns for p in parts)))
+    k, n, more = k.to_numpy(), n.to_numpy(), more.to_numpy()
+    first = np.flatnonzero(k == 0)
+    bounds = np.append(first, len(k))
+    prompt = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), piece), "")
+    # where a message begins in its conversation, in characters
+    length = np.concatenate(([0], np.cumsum(pc.utf8_length(piece).to_numpy(), dtype=np.int64)))
+    before = length[:-1] - np.repeat(length[first], np.diff(bounds))
+    found = pc.list_value_length(attached).to_numpy()
+    at = np.repeat(np.arange(len(k)), found)
+    _, _, kinds, urls, places, tokens = attached.flatten().flatten()
+    ends = np.concatenate(([0], np.cumsum(found)))[bounds]
+    number = np.arange(len(at)) - np.repeat(ends[:-1], np.diff(ends))
+    every = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(k[at]), kinds, urls, pa.array((places.to_numpy() + before[at]).astype(np.int32)), tokens], fields=list(_ATTACHMENT))
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), every)
+    spoken = np.add.reduceat(n, first)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), prompt, pa.array(np.diff(bounds).astype(np.int32)), pa.array(spoken), pa.array(spoken + np.add.reduceat(more, first)), lists], names=["conv_id", "prompt", "n_messages", "n_text_tokens", "n_tokens", "attachments"])
 
 
 def page_conversations(pages: DataFrame, first: int = 1 << 40) -> DataFrame:

@@ -144,6 +144,25 @@ def test_chat_equals_recursion_over_the_parts(spark):
     assert all(by_id.get(i, 0) == n for i, (_, n) in counts.items()) and len(counts) == 40
 
 
+def test_chat_moves_a_content_once_and_joins_over_batches(spark):
+    picture = json.dumps([{"type": "text", "text": "é漢"}, {"type": "image", "url": "a"}])
+    rows = [(c, t, "user", picture if (c + t) % 3 == 0 else f"words {c} {t}") for c in range(12) for t in range(c % 7 + 1)]
+    df = spark.createDataFrame(random.Random(2).sample(rows, len(rows)), "conv_id long, turn long, role string, text string")
+    found = chat_format.format_chat(df)
+    plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert [{x.split("#")[0] for x in m.split(", ")} for m in moved] == [{"id", "turn", "role", "content", "alone"}]
+    whole = sorted(found.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert sorted(chat_format.format_chat(df).collect()) == whole and len(whole) == 12
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for r in whole:
+        assert r.n_messages == r.conv_id % 7 + 1 and [a.number for a in r.attachments] == list(range(len(r.attachments)))
+        assert [a.message for a in r.attachments] == [t for t in range(r.n_messages) if (r.conv_id + t) % 3 == 0] and all(r.prompt[a.place :].startswith("<|image|>") for a in r.attachments)
+
+
 def test_pages_become_conversations_with_all_kinds_of_parts(spark):
     pages = spark.createDataFrame([(1, "http://a.b/1", "<html><title>Tea</title><script>no()</script><p>Some <b>text</b>"), (2, None, None), (None, "http://c", "<p>x")], "page_id long, url string, html string")
     rows = {r.conv_id: r for r in chat_format.format_chat(chat_format.page_conversations(pages, 100)).collect() if r.conv_id}
