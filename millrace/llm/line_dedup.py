@@ -17,7 +17,7 @@ order. Of rows repeated with the same id and text the least by all columns stays
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from .common import Written, col, components, fresh, lean, least_rows, table
 from .vectext import mix, powers, slices
 
 SHINGLE, LEAST, BANDS, ROWS = 7, 0.8, 12, 5
+#: Bytes of text up to which lines that meet are numbered together; more are compared with less memory.
+MOST_RUNS = 1 << 25
 _U = np.uint64
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -57,7 +59,10 @@ def line_spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     inner = np.flatnonzero(row[1:] == row[:-1])
     ends[inner] = starts[inner + 1] - 1
     number = np.arange(len(row)) - np.searchsorted(row, row)
-    filled = np.flatnonzero(~np.isin(points, np.array([9, 11, 12, 13, 32, 160], np.uint32)))
+    solid = (points > 32) & (points != 160)
+    control = np.flatnonzero(points < 32)
+    solid[control] = ~np.isin(points[control], np.array([9, 11, 12, 13], np.uint32))
+    filled = np.flatnonzero(solid)
     if len(filled):
         at = np.searchsorted(filled, starts)
         starts = np.minimum(np.where(at < len(filled), filled[np.minimum(at, len(filled) - 1)], ends), ends)
@@ -73,7 +78,11 @@ def shingles(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -
     up, down = powers(len(points) + 1)
     sums = np.empty(len(points) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((points.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(0xA0761D6478BD642F)) * up[:-1], out=sums[1:])
+    code = points.astype(np.uint64)
+    code *= _U(0xD6E8FEB86659FD93)
+    code += _U(0xA0761D6478BD642F)
+    code *= up[:-1]
+    np.cumsum(code, out=sums[1:])
     length = ends - starts
     count = np.where(length > 0, np.maximum(length - k + 1, 1), 0)
     bounds = np.concatenate(([0], np.cumsum(count)))
@@ -81,8 +90,9 @@ def shingles(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -
     window = sums[k:] - sums[:-k] if len(points) >= k else np.zeros(1, np.uint64)
     window *= down[: len(window)]
     window = mix(window)
-    at = np.repeat(starts - bounds[:-1], count) + np.arange(bounds[-1])
-    h = window[np.minimum(at, len(window) - 1)]
+    at = np.repeat(starts - bounds[:-1], count)
+    at += np.arange(bounds[-1])
+    h = window[np.minimum(at, len(window) - 1, out=at)]
     short = np.flatnonzero((length > 0) & (length < k))
     h[bounds[short]] = mix((sums[ends[short]] - sums[starts[short]]) * down[starts[short]])
     return h, bounds, mix((sums[ends] - sums[starts]) * down[starts] + length.astype(np.uint64))
@@ -92,9 +102,11 @@ def signature(hashes: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
     """One-permutation MinHash (lines, bins); empty bins borrow from others in an order that is the same for all lines."""
     lines = len(bounds) - 1
     out = np.full(lines * bins, _NONE, np.uint32)
-    bin_of = ((hashes >> _U(32)) * _U(bins)) >> _U(32)
-    line = np.repeat(np.arange(lines, dtype=np.int64) * bins, np.diff(bounds))
-    np.minimum.at(out, line + bin_of.astype(np.int64), hashes.astype(np.uint32) >> np.uint32(1))
+    place = hashes >> _U(32)
+    place *= _U(bins)
+    place >>= _U(32)
+    place += np.repeat(np.arange(lines, dtype=np.uint64) * _U(bins), np.diff(bounds))
+    np.minimum.at(out, place.view(np.int64), hashes.astype(np.uint32) >> np.uint32(1))
     out = out.reshape(lines, bins)
     full = out.copy()
     empty_line, empty_bin = np.nonzero((out == _NONE) & (np.diff(bounds) > 0)[:, None])
@@ -256,6 +268,76 @@ def similar_pairs(sizes: np.ndarray, sets: np.ndarray, bounds: np.ndarray, a: np
     return out
 
 
+def _shingled(texts: pa.ChunkedArray, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The first line of a slice, and the shingles of its lines with their bounds."""
+    for at, _, data, offsets in slices(texts, lower=True):
+        points, offsets = code_points(data, offsets)
+        h, bounds, _ = shingles(points, *_trimmed(points, offsets), shingle)
+        yield at, h, bounds
+
+
+def by_pairs(texts: pa.ChunkedArray, group: np.ndarray, shingle: int, least: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether lines a[i] and b[i] are similar enough, for many pairs at once: the sets of each pair are sorted together."""
+    values, sizes = [], []
+    for _, h, bounds in _shingled(texts, shingle):
+        row = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+        both = row << _U(44) | h >> _U(20)
+        both.sort()
+        both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+        values.append(both & _U((1 << 44) - 1))
+        sizes.append(np.bincount((both >> _U(44)).astype(np.int64), minlength=len(bounds) - 1))
+    sets, size = np.concatenate(values), np.concatenate(sizes)
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    return lambda a, b: similar_pairs(size, sets, bounds, a, b, least)
+
+
+def by_runs(texts: pa.ChunkedArray, group: np.ndarray, shingle: int, least: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The same for 2**20 lines at most, sorted by group, where the lines a of a call are one for each group: shingles are sorted once and
+    numbered by group, so that a pair takes no more than looking up which of b's numbers are a's."""
+    low, n = _U((1 << 20) - 1), len(group)
+    keys = []
+    for at, h, bounds in _shingled(texts, shingle):
+        h &= ~low
+        h |= np.repeat(np.arange(at, at + len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+        keys.append(h)
+    key = np.concatenate(keys) if len(keys) > 1 else keys[0]
+    del keys
+    key.sort()
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+    row = (key & low).astype(np.uint16 if n <= 1 << 16 else np.int32)
+    key >>= _U(20)
+    of = group.astype(np.int32)[row]
+    number = np.concatenate((np.zeros(min(1, len(key)), np.int32), np.cumsum((key[1:] != key[:-1]) | (of[1:] != of[:-1]), dtype=np.int32)))
+    size = np.bincount(row, minlength=n)
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    number = number[np.argsort(row, kind="stable")]
+    own = np.zeros(int(number.max()) + 1 if len(number) else 0, bool)
+
+    def numbers(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.concatenate(([0], np.cumsum(size[rows])))
+        at = np.repeat(bounds[rows] - ends[:-1], size[rows])
+        at += np.arange(ends[-1])
+        return number[at], ends
+
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        pivots = numbers(a[np.concatenate(([True], a[1:] != a[:-1]))])[0] if len(a) else number[:0]
+        own[pivots] = True
+        load, first = np.concatenate(([0], np.cumsum(size[b]))), 0
+        while first < len(b):
+            stop = max(first + 1, int(np.searchsorted(load, load[first] + (1 << 20), "right")) - 1)
+            x, y = a[first:stop], b[first:stop]
+            found, ends = numbers(y)
+            # a line that is met has a shingle
+            shared = np.add.reduceat(own[found].view(np.uint8), ends[:-1], dtype=np.int64)
+            out[first:stop] = shared >= least * (size[x] + size[y] - shared) - 1e-9
+            first = stop
+        own[pivots] = False
+        return out
+
+    return alike
+
+
 def _verify(shingle: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows (block, line, text) sorted by block; out: verified edges that span each block's components
@@ -266,35 +348,23 @@ def _verify(shingle: int, least: float):
             left, right = [], []
             names = np.frombuffer(b"".join(t["block"].to_pylist()), np.uint64).reshape(-1, 2)
             code = np.concatenate(([0], np.cumsum((names[1:] != names[:-1]).any(axis=1))))
-            values, sizes = [], []
-            for _, _, data, offsets in slices(t["text"], lower=True):
-                points, offsets = code_points(data, offsets)
-                starts, ends = _trimmed(points, offsets)
-                h, bounds, _ = shingles(points, starts, ends, shingle)
-                row = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
-                both = row << _U(44) | h >> _U(20)
-                both.sort()
-                both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
-                values.append(both & _U((1 << 44) - 1))
-                sizes.append(np.bincount((both >> _U(44)).astype(np.int64), minlength=len(bounds) - 1))
-            sets, size = np.concatenate(values), np.concatenate(sizes)
-            bounds = np.concatenate(([0], np.cumsum(size)))
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(code)) + 1, [len(code)]))
             length = np.diff(cuts)
+            group = np.repeat(np.arange(len(length)), length)
+            alike = (by_runs if len(code) <= 1 << 20 and t["text"].nbytes <= MOST_RUNS else by_pairs)(t["text"], group, shingle, least)
             two = np.flatnonzero(length == 2)
             a, b = cuts[two], cuts[two] + 1
-            hit = similar_pairs(size, sets, bounds, a, b, least)
+            hit = alike(a, b)
             left += [keys[i] for i in a[hit]]
             right += [keys[i] for i in b[hit]]
             # larger groups together: the next member of each is compared with those behind it that no chain links to it yet
-            group = np.repeat(np.arange(len(length)), length)
             place = np.arange(len(code)) - cuts[group]
             root, parts, c = np.arange(len(code)), np.where(length > 2, length, 1), 0
             while len(rows := np.flatnonzero((parts[group] > 1) & (place > c))):
                 pivot = cuts[group[rows]] + c
                 apart = root[rows] != root[pivot]
                 rows, pivot = rows[apart], pivot[apart]
-                hit = similar_pairs(size, sets, bounds, pivot, rows, least)
+                hit = alike(pivot, rows)
                 for p, x in zip(pivot[hit].tolist(), rows[hit].tolist()):
                     if root[x] != root[p]:
                         left.append(keys[p])

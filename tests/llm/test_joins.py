@@ -167,3 +167,33 @@ def test_line_ends_are_trimmed_whatever_the_number_of_blanks(spark):
     rows = [(1, "same line of text here\nfirst tail of this document"), (2, " " * 50_000 + "same line of text here" + "\t" * 50_000 + "\nsecond end of another one")]
     found = {r.doc_id: r.text for r in line_dedup.line_dedup(documents(spark, rows)).collect()}
     assert found == {1: rows[0][1], 2: "second end of another one"}
+
+
+def test_lines_that_meet_are_sorted_once_however_many_pairs(spark, monkeypatch):
+    """A bucket of chains, where each round compares: as brute force says, without sorting any pair."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(6):
+        x = prose(rng, 12)
+        for _ in range(rng.randrange(2, 9)):
+            at = rng.randrange(len(x) - 12)
+            x = x[:at] + "".join(rng.choice("QZ") for _ in range(rng.randrange(1, 12))) + x[at + 9 :]
+            texts.append(x)
+    texts += ["abc", "abcabcabcabcabc", "é漢 line"]
+    names = [bytes([k + 1]) * 16 for k in range(len(texts))]
+    blocks = [b"\1" * 16] * 2 + [b"\2" * 16] * (len(texts) - 2)
+    batch = pa.record_batch([pa.array(blocks, pa.binary()), pa.array(names, pa.binary()), pa.array(texts)], names=["block", "line", "text"])
+    sets = [shingles(x.strip()) for x in texts]
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if blocks[a] == blocks[b] and jaccard(sets[a], sets[b]) >= 0.8]
+    want = components(range(len(texts)), pairs)
+
+    def found():
+        edges = [(a[0] - 1, b[0] - 1) for out in line_dedup._verify(7, 0.8)(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        assert set(edges) <= set(pairs)
+        return components(range(len(texts)), edges)
+
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "MOST_RUNS", 0)
+        assert found() == want
+    monkeypatch.setattr(line_dedup, "similar_pairs", None)
+    assert found() == want and 3 < len(set(want.values())) < len(texts) - 3
