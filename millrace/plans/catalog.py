@@ -591,13 +591,9 @@ def hyperband_search(spark, d):
 c as (select conv_id, turn, term, count(*) as n from t group by 1, 2, 3), f as (select term, count(*) as df from c group by 1), m as (select count(*) as m from conversations)
 select conv_id, turn, term, n::double as tf, round(n * ln((m + 1) / (df + 1)), 6) as tfidf from c join f using (term), m""")
 def text_vectorizers(spark, d):
-    """Counts and TF-IDF of all terms, with terms in place of slots."""
-    tokens = _tokens(spark, d).withColumnRenamed("t", "tokens")
-    counts, idf = models.vectorizer("tfidf", "tokens", "tfidf", 1 << 18).fit(tokens).stages
-    rows = idf.transform(counts.transform(tokens)).select("conv_id", "turn", vector_to_array("tfidf_tf").alias("tf"), vector_to_array("tfidf").alias("idf"))
-    terms = spark.createDataFrame(list(enumerate(counts.vocabulary)), "slot int, term string")
-    each = rows.select("conv_id", "turn", F.explode(F.filter(F.transform("tf", lambda x, i: F.struct(i.alias("slot"), x.alias("tf"), F.get("idf", i).alias("idf"))), lambda x: x["tf"] > 0)).alias("x"))
-    return each.join(terms, F.col("x.slot") == F.col("slot")).select("conv_id", "turn", "term", F.col("x.tf").alias("tf"), F.round("x.idf", 6).alias("tfidf"))
+    """Counts and TF-IDF of all terms, one row for each; no list of terms goes through the driver."""
+    weights = models.term_weights(_tokens(spark, d), ["conv_id", "turn"], "t")
+    return weights.select("conv_id", "turn", "term", F.col("n").cast("double").alias("tf"), F.round("tfidf", 6).alias("tfidf"))
 
 
 @query()

@@ -46,3 +46,22 @@ def test_every_query_is_registered_and_sql_has_a_query():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and set(catalog.QUERIES) <= set(e.queries())
+
+
+def rows_and_sql(spark, name, folder, tables):
+    """The rows of a query on made tables (name: SELECT) and those of its SQL, as plain values."""
+    c = duckdb.connect()
+    for t, sql in tables.items():
+        c.execute(f"copy ({sql}) to '{folder}/{t}.parquet' (format parquet)")
+        c.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    df = catalog.QUERIES[name](spark, str(folder))
+    found = c.execute(catalog.ORACLE[name])
+    want = Counter(tuple(plain(dict(zip([x[0] for x in found.description], r))[k]) for k in df.columns) for r in found.fetchall())
+    return Counter(tuple(plain(list(r))) for r in df.collect()), want
+
+
+def test_text_vectorizers_keeps_all_terms_of_large_vocabularies(spark, tmp_path):
+    """More terms than 2**18, a key that two rows share, a text without terms and none at all."""
+    long = "select k as conv_id, 0 as turn, (select string_agg('w' || (k * 70000 + i), ' ') from range(70000) s(i)) || ' the the' as text from range(4) t(k)"
+    got, want = rows_and_sql(spark, "text_vectorizers", tmp_path, {"conversations": f"{long} union all select * from (values (0, 0, 'the W1'), (7, 1, ' '), (7, 2, null))"})
+    assert len(want) == 4 * 70001 and got == want
