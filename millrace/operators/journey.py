@@ -47,7 +47,7 @@ def hot_leads(df: DataFrame, keys: Sequence[str], page: str, label: str, hot: Co
     One pass: a visitor's first hot page and label come from one aggregation, the totals from that result."""
     flag = df.withColumn("_hot", hot)
     visitors = flag.groupBy(*keys).agg(F.min(F.when(F.col("_hot"), F.col(page))).alias("_page"), F.max(F.when(F.col("_hot"), F.col(label))).alias("_caught"), F.max(label).alias("_label"))
-    bucket = F.least(F.col("_page"), F.lit(pages)).cast("int")
+    bucket = F.when(F.col("_page").isNotNull(), F.least("_page", F.lit(pages))).cast("int")  # least() passes over nulls
     by_page = visitors.groupBy(bucket.alias("page")).agg(F.count("*").alias("n"), F.sum(F.col("_caught").cast("long")).alias("c"), F.sum(F.when(F.col("_label") > 0, 1).otherwise(0)).alias("positives"))
     every = Window.partitionBy()
     total = by_page.select("page", "n", "c", F.sum("n").over(every).alias("visitors"), F.sum("positives").over(every).alias("total_positives"))

@@ -76,7 +76,7 @@ select least(hot, 4)::int as page, count(*) as hot_leads, (select count(*) from
 def hotlead_journey(spark, d):
     v = visits(spark, d).withColumn("label", (F.col("event_type") == "purchase").cast("int")).withColumn("p", F.col("value") / 100)
     found = journey.hot_leads(v, ["user_id"], "page", "label", journey.is_hot(F.col("p"), F.col("page"), [0.9, 0.8, 0.7, 0.95]), 4)
-    return found.withColumns({c: F.round(c, 6) for c in ("hot_lead_rate", "capture_rate")})
+    return found.withColumns({c: F.round(F.col(c) * 1e6) / 1e6 for c in ("hot_lead_rate", "capture_rate")})  # halves fall as in SQL
 
 
 @query(f"""with v as (select least(page, 3) as b, event_type = 'purchase' as label, floor(value) as s from ({_VISITS})),

@@ -65,3 +65,11 @@ def test_text_vectorizers_keeps_all_terms_of_large_vocabularies(spark, tmp_path)
     long = "select k as conv_id, 0 as turn, (select string_agg('w' || (k * 70000 + i), ' ') from range(70000) s(i)) || ' the the' as text from range(4) t(k)"
     got, want = rows_and_sql(spark, "text_vectorizers", tmp_path, {"conversations": f"{long} union all select * from (values (0, 0, 'the W1'), (7, 1, ' '), (7, 2, null))"})
     assert len(want) == 4 * 70001 and got == want
+
+
+def test_hotlead_journey_with_visitors_that_are_never_hot(spark, tmp_path):
+    """3200 visitors, 201 of them hot on their first page, 64 on their fifth: a rate that ends in a half, and no other visitor in the last bucket."""
+    first = "select range as event_id, timestamp '2024-01-01' as ts, range as user_id, if(range % 2 = 0, 'purchase', 'view') as event_type, if(range < 201, 95.0, 10.0)::double as value from range(3200)"
+    later = "select 10000 + u * 10 + k, timestamp '2024-01-02', 1000 + u, 'purchase', if(k = 3, 99.0, 10.0)::double from range(64) a(u), range(4) b(k)"
+    got, want = rows_and_sql(spark, "hotlead_journey", tmp_path, {"events": f"{first} union all {later}"})
+    assert sum(n for n in want.values()) == 2 and got == want
